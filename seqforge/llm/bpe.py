@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import table, text_or_empty
 
-CACHED_WORDS = 400_000
-#: A word of more bytes isn't kept.
-CACHED_BYTES = 64
+CACHED_WORDS = 600_000
+#: A longer word isn't kept.
+CACHED_CHARS = 64
 
 
 def _byte_chars() -> dict[str, int]:
@@ -56,66 +56,71 @@ class Tokenizer:
         self.special = special
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.first = [ids[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        self.pairs: list[dict[int, tuple[int, int]]] = [{} for _ in range(max(self.strings) + 1)]  # left id -> right id -> (rank, merged id)
         for rank, merge in enumerate(spec["model"]["merges"]):
             a, b = (raw(x) for x in (merge.split(" ") if isinstance(merge, str) else merge))
-            self.pairs.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
-        self.whole = ids
-        self.seen: dict[str, tuple[int, ...]] = {}
+            self.pairs[ids[a]].setdefault(ids[b], (rank, ids[a + b]))
+        self.seen: dict[str, bytes] = {}
         self.by_id = [self.strings.get(i, b"") for i in range(max(self.strings) + 1)]
 
     def merged(self, word: bytes) -> list[int]:
-        """The ids of one word."""
+        """The ids of one word. A queue entry is rank and place in one number; it is stale if the pair that now stands
+        at its place has another rank."""
         sym = [self.first[b] for b in word]
         n = len(sym)
         if n < 2:
             return sym
         pairs = self.pairs
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = []
-        for i in range(n - 1):
-            if got := pairs.get((sym[i], sym[i + 1])):
-                queue.append((got[0], i, sym[i], sym[i + 1], got[1]))
+        queue = [got[0] * n + i for i in range(n - 1) if (got := pairs[sym[i]].get(sym[i + 1]))]
         heapify(queue)
         while queue:
-            _, i, a, b, new = heappop(queue)
+            rank, i = divmod(heappop(queue), n)
             j = after[i]
-            if j < 0 or sym[i] != a or sym[j] != b:
-                continue  # stale
-            sym[i], sym[j] = new, -1
+            if j < 0 or (a := sym[i]) < 0:
+                continue
+            got = pairs[a].get(sym[j])
+            if got is None or got[0] != rank:
+                continue
+            sym[i] = new = got[1]
+            sym[j] = -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if got := pairs.get((new, sym[k])):
-                    heappush(queue, (got[0], i, new, sym[k], got[1]))
-            if (h := before[i]) >= 0 and (got := pairs.get((sym[h], new))):
-                heappush(queue, (got[0], h, sym[h], new, got[1]))
+                if got := pairs[new].get(sym[k]):
+                    heappush(queue, got[0] * n + i)
+            h = before[i]
+            if h >= 0 and (got := pairs[sym[h]].get(new)):
+                heappush(queue, got[0] * n + h)
         return [s for s in sym if s >= 0]
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        seen, add = self.seen, out.extend
+    def _learn(self, words: list[str]) -> None:
+        seen = self.seen
+        if len(seen) >= CACHED_WORDS:
+            seen.clear()
+        for word in words:
+            if word not in seen:
+                seen[word] = np.array(self.merged(word.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids as unsigned 32-bit integers."""
+        out: list[bytes] = []
         for piece in self.cut.split(text) if self.cut else [text]:
             if piece in self.special:
-                out.append(self.special[piece])
+                out.append(np.array([self.special[piece]], "<u4").tobytes())
                 continue
-            for word in self.PATTERN.findall(piece):
-                ids = seen.get(word)
-                if ids is None:
-                    raw = word.encode("utf-8", "surrogatepass")
-                    ids = tuple(self.merged(raw))
-                    if len(raw) <= CACHED_BYTES:
-                        if len(seen) >= CACHED_WORDS:
-                            seen.clear()
-                        seen[word] = ids
-                add(ids)
-        return out
-
-    def decode_bytes(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.by_id.__getitem__, ids))
+            words = self.PATTERN.findall(piece)
+            got = list(map(self.seen.get, words))
+            if None in got:
+                self._learn(words)
+                got = list(map(self.seen.__getitem__, words))
+                for word in {w for w in words if len(w) > CACHED_CHARS}:
+                    del self.seen[word]
+            out += got
+        return np.frombuffer(b"".join(out), "<u4")
 
-    def decode(self, ids: list[int]) -> str:
-        return self.decode_bytes(ids).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray | list[int]) -> str:
+        return b"".join(map(self.by_id.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode("utf-8", "replace")
 
 
 @lru_cache(2)
@@ -139,7 +144,7 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", out_col: str
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                ids = [np.array(t.encode(x.as_py() or ""), np.int32) for x in part.column(text_col)]
+                ids = [t.encode(x.as_py() or "").astype(np.int32) for x in part.column(text_col)]
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 values = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), values)], names=[*part.schema.names, out_col])
@@ -173,8 +178,8 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
                 rows = []
                 for x in part.column(text_col):
                     ids = t.encode(x.as_py())
-                    text = t.decode_bytes(ids).decode("utf-8", "replace")
-                    rows.append((len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), text if decoded_too else None))
+                    text = t.decode(ids)
+                    rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), text if decoded_too else None))
                 n, a, d, text = (list(c) for c in zip(*rows)) if rows else ([], [], [], [])
                 out = [part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
                 yield pa.RecordBatch.from_arrays(out + [pa.array(text, pa.string())] * decoded_too, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["decoded"] * decoded_too)
