@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["bpe", "quality_rules", "sharding", "line_dedup"]
+MODULES = ["bpe", "quality_rules", "sharding", "language_id", "line_dedup"]
 
 
 def collected() -> tuple[dict, dict]:
