@@ -4,7 +4,7 @@ Every language has a zstandard raw-content dictionary: the beginnings of a bound
 (PIECES pieces of PIECE_CHARS characters, chosen by a hash of the id). A text is lower-cased, freed of ASCII signs and
 digits and cut into blocks; all its blocks are compressed with each dictionary, and the language with the smallest sum
 wins. The margin is the saving against the second; where it is narrower than min_margin the operator marks the text as
-rejected. Of tied languages the one with more labelled documents comes first.
+rejected, unless the text is too short to tell (LEAST_BYTES). Of tied languages the one with more labelled documents comes first.
 
 Defined cases: a null or empty text, or one without letters, is `und` with score 0 and rejected; null languages and
 null ids aren't learned from; with no labelled document every text is `und`; repeated rows are judged alike; an empty
@@ -27,6 +27,8 @@ from .common import table
 PIECES, PIECE_CHARS = 256, 512
 LEVEL, BLOCK = 6, 2048
 MIN_MARGIN = 0.002
+#: A text of fewer bytes hardly compresses; its margin says nothing and rejects nothing.
+LEAST_BYTES = 64
 _SIGNS = bytes(c for c in range(128) if not chr(c).isalpha() and c not in b" \n")
 _LETTER = regex.compile(r"\p{L}")
 
@@ -60,17 +62,17 @@ class Classifier:
             d.precompute_compress(level=LEVEL)
             self.by.append((lang, zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)))
 
-    def __call__(self, text: str | None) -> tuple[str, float, float]:
-        """Language, score and margin."""
+    def __call__(self, text: str | None) -> tuple[str, float, float, int]:
+        """Language, score, margin and bytes judged."""
         if not text or not self.by or not _LETTER.search(text):
-            return "und", 0.0, 0.0
+            return "und", 0.0, 0.0, 0
         raw = plain(text)
         blocks = [raw[i : i + BLOCK] for i in range(0, max(1, len(raw)), BLOCK)]
         sizes = [(sum(len(c.compress(b)) for b in blocks), k, lang) for k, (lang, c) in enumerate(self.by)]
         best, *rest = sorted(sizes)
         margin = (rest[0][0] - best[0]) / rest[0][0] if rest else 1.0
         score = 1 / sum(math.exp(-25 * (s - best[0]) / best[0]) for s, *_ in sizes)
-        return best[2], score, margin
+        return best[2], score, margin, len(raw)
 
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN, text_col: str = "text", prefix: str = "lang_") -> DataFrame:
@@ -82,7 +84,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
         for b in batches:
             got = [judge(t.as_py()) for t in b.column(text_col)]
             more = [pa.array([g[i] for g in got], k) for i, k in enumerate((pa.string(), pa.float64(), pa.float64()))]
-            rejected = pa.array([g[0] == "und" or g[2] < min_margin for g in got], pa.bool_())
+            rejected = pa.array([g[0] == "und" or (g[2] < min_margin and g[3] >= LEAST_BYTES) for g in got], pa.bool_())
             yield pa.RecordBatch.from_arrays([*b.columns, *more, rejected], names=[*b.schema.names, *names])
 
     kinds = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *(f"`{n}` {k}" for n, k in zip(names, ("string", "double", "double", "boolean")))]
