@@ -1,13 +1,74 @@
-"""The corpus pipeline: language ID, line dedup, near-dedup, decontamination and tokenisation of documents."""
+"""The corpus pipeline: language ID, line dedup, near-dedup, decontamination and tokenisation of documents.
 
-from pyspark.sql import DataFrame, SparkSession
+Each stage takes (spark, docs, sf_dir), with docs in the columns of documents, and returns what it keeps in the same
+columns; the last returns the digests of the encoded texts. A stage's output is written as Parquet and read again as
+the input of the next.
 
-STAGES: list = []
+Defined cases: rows with a null text have no language and go in the first stage; texts without words are never near
+copies; where rows share one id, the near-dedup stage keeps the first by text; an empty table passes through all
+stages; columns beyond those of documents pass through all stages but the last.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from seqforge.llm import bpe, decontamination, language_id, line_dedup, near_dedup
+from seqforge.llm.common import cut, table
+
+#: Ids broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what language ID rejects: texts without letters, and those whose margin is too narrow."""
+    judged = language_id.classify(docs, language_id.fit(docs), prefix="_lang_")
+    return judged.where(~F.col("_lang_rejected")).select(docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops lines that ten documents or more have, in all of them."""
+    kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs, min_docs=10))
+    changed = F.col("kept.n_dropped") > 0
+    new = {"text": F.when(changed, F.col("kept.text")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("kept.text").cast("long")).otherwise(F.col("n_chars"))}
+    return kept.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of near-duplicates, the one with the smallest id."""
+    found = cut(near_dedup.classes(docs), "classes")
+    gone = found.where("id <> class_id").select(F.col("id").alias("_id")).distinct()
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    twice = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL")
+    if not twice.isEmpty():  # rows that share an id
+        first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+        kept = kept.withColumn("_n", first).where("_n = 1 OR doc_id IS NULL").drop("_n")
+    return kept
+
+
+def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encodes every text and decodes it again: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return bpe.round_trip(docs, bpe.tokenizer_path())
+
+
+STAGES = [("language ID", languages), ("line dedup", lines), ("MinHash near-dedup", near_copies), ("benchmark decontamination", benchmarks), ("BPE encoding and decoding", tokens)]
+
+#: The first, third and last stage have no SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = cut(docs, f"stage{k}")
     return docs
