@@ -1,4 +1,7 @@
 """All queries over the driver's tables, by name, with their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import alignment_queries, read_queries
+
+_MODULES = [read_queries, alignment_queries]
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
