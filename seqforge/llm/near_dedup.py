@@ -6,13 +6,13 @@ connected component of links. Steps:
 1. Each text gets a ProbMinHash signature and band keys. Equal word sequences (128-bit hash) become one node, the
    smallest id.
 2. Nodes with the same band key share a bucket. A bucket of up to SMALL nodes gives all its pairs, a larger one the
-   pairs with its leader, another one in each band.
+   pairs with its leader: the node with most company in large buckets, near the middle of a cloud of copies.
 3. Pairs whose signatures agree too little are dropped (LEAST_AGREEMENT is five standard deviations below 0.8); the
    rest is verified exactly over whole texts.
-4. Large buckets whose nodes aren't one class yet go on to a finer level: longer bands of a longer signature, for
-   their nodes only. What is still open after the last level is compared without limit: every node that isn't in the
-   leader's class with every node of its bucket. So a bucket costs pairs by its size where it is one class, and no
-   candidate is dropped.
+4. In large buckets whose nodes aren't one class yet, the nodes outside of the bucket's main class are a query set: in
+   blocks of bounded size they are compared with all nodes of the bucket, exactly, and only links are returned. A pair
+   is compared in the first band that it shares. So no pair of a bucket is left out, none is emitted without being a
+   link, and a bucket of real copies costs as much as it has nodes.
 
 Work is done on ids, keys and signatures; only texts with a candidate are shuffled. Components are joins that run until
 nothing changes. Hot keys are rows of skew joins, which Spark splits, or of aggregations with a map side.
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +37,11 @@ from .common import cut, table, text_or_empty
 from .shingles import mix, probability_jaccard, shingles, signatures
 
 THRESHOLD = 0.8
-#: (rows of a band, bands): at 0.8 a pair shares a band with probability 0.9998, then 0.99999.
-LEVELS = [(4, 16), (6, 40)]
+#: Rows of a band and bands: at 0.8 a pair shares a band with probability 0.9998.
+ROWS, BANDS = 4, 16
 SMALL = 24
+#: Nodes of a block that asks and of one that is asked.
+ASKING, ASKED = 200, 800
 LEAST_AGREEMENT = 0.55
 #: Ids broadcast at most to pick texts before they are shuffled.
 BROADCAST_IDS = 2_000_000
@@ -109,15 +112,18 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
 
 
-def _pairs(nodes: DataFrame, band_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a < b), and the nodes of large buckets: band, key, id, leader."""
-    stats = band_rows.groupBy("band", "key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("id", "band").alias("o"), "id"))["id"].alias("leader")).where("size > 1")
-    members = cut(band_rows.join(stats, ["band", "key"]), "members")
+def _pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a < b), and the nodes of large buckets: band, key, id."""
+    band_rows = nodes.select("id", F.posexplode("bands").alias("band", "key"))
+    sizes = band_rows.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
+    members = cut(band_rows.join(sizes, ["band", "key"]), "members")
     small = members.where(F.col("size") <= SMALL).groupBy("band", "key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     pair = small.select(F.posexplode("ids").alias("i", "a"), "ids").select("a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("b"))
-    large = members.where(F.col("size") > SMALL).select("band", "key", "id", "leader")
-    star = large.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
-    return pair.union(star).distinct(), large
+    large = members.where(F.col("size") > SMALL)
+    company = large.groupBy("id").agg(F.sum("size").alias("company"))
+    leaders = large.join(company, "id").groupBy("band", "key").agg(F.max(F.struct("company", F.xxhash64("id").alias("o"), "id"))["id"].alias("leader"))
+    star = large.join(leaders, ["band", "key"]).where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+    return pair.union(star).distinct(), large.select("band", "key", "id")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -129,44 +135,96 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _open(large: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of large buckets whose nodes aren't all in one class, with comp."""
+    """The rows of large buckets whose nodes aren't all in one class, with comp and the bucket's size and main class."""
     got = large.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = got.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "key")
-    return cut(got.join(mixed, ["band", "key"]), "open")
+    by_comp = got.groupBy("band", "key", "comp").agg(F.count("*").alias("k"))
+    mixed = by_comp.groupBy("band", "key").agg(F.sum("k").alias("size"), F.count("*").alias("comps"), F.max(F.struct("k", "comp"))["comp"].alias("main"), F.max("k").alias("k")).where("comps > 1")
+    return cut(got.join(mixed.select("band", "key", "size", "main", (F.col("size") - F.col("k")).alias("asking")), ["band", "key"]), "open")
+
+
+def _first_common(x: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """The first band in which x has the key of each of ys."""
+    return (ys == x).argmax(axis=1)
+
+
+def block_links(band: int, asking: pd.DataFrame, asked: pd.DataFrame, threshold: float) -> list[tuple[int, int, float]]:
+    """Links (a, b, sim) between nodes of two blocks (id, comp, bands, text) of a bucket."""
+    of = [s for df in (asking, asked) for s in _shingled(df["text"].tolist())]
+    mine, theirs = of[: len(asking)], of[len(asking) :]
+    e = np.concatenate([x[0] for x in theirs])
+    node = np.repeat(np.arange(len(theirs)), [len(x[0]) for x in theirs])
+    weight = np.concatenate([x[1] for x in theirs])
+    by = np.argsort(e, kind="stable")
+    e, node, weight = e[by], node[by], weight[by]
+    total = np.array([x[1].sum() for x in theirs])
+    plain = np.array([x[1].max() == 1 for x in theirs])
+    comps, ids, bands = asked["comp"].to_numpy(), asked["id"].to_numpy(), np.stack(asked["bands"].to_list())
+    out = []
+    for row, (h, w) in zip(asking.itertuples(index=False), mine):
+        ok = (comps != row.comp) & (_first_common(np.asarray(row.bands), bands) == band)
+        if not ok.any():
+            continue
+        lo, hi = np.searchsorted(e, h, "left"), np.searchsorted(e, h, "right")
+        size = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        common = np.bincount(node[at], minlength=len(ids))
+        share = np.bincount(node[at], np.repeat(w, size), minlength=len(ids)) / w.sum()  # of the one's weight
+        back = np.bincount(node[at], weight[at], minlength=len(ids)) / total
+        # the similarity is at most the share of either's weight that the other has; of sets it is common / union
+        near = ok & (share >= threshold) & (back >= threshold)
+        if w.max() == 1:
+            near &= ~plain | (common / (len(h) + total - common) >= threshold)
+        for k in np.flatnonzero(near):
+            sim = probability_jaccard((h, w), theirs[k])
+            if sim >= threshold:
+                out.append((min(row.id, ids[k]), max(row.id, ids[k]), sim))
+    return out
+
+
+def _shingled(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    out = []
+    for i in range(0, len(texts), 512):
+        part = texts[i : i + 512]
+        t, e, w = shingles(part)
+        cuts = np.searchsorted(t, np.arange(len(part) + 1))
+        out += [(e[cuts[k] : cuts[k + 1]], w[cuts[k] : cuts[k + 1]]) for k in range(len(part))]
+    return out
+
+
+def _links_in_blocks(undecided: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links of the nodes outside of each bucket's main class with all nodes of the bucket."""
+    rows = undecided.join(nodes.select("id", "bands"), "id").join(texts, "id")
+    x, y = F.ceil(F.col("asking") / ASKING), F.ceil(F.col("size") / ASKED)
+    keys = ["band", "key", "bx", "by"]
+    spread = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+    asking = rows.where("comp <> main").select("band", "key", "id", "comp", "bands", "text", F.pmod(F.xxhash64("id"), x).cast("int").alias("bx"), spread(y).alias("by"))
+    asked = rows.select("band", "key", "id", "comp", "bands", "text", F.pmod(F.xxhash64("id", F.lit(1)), y).cast("int").alias("by"), spread(x).alias("bx")).select(*asking.columns)
+
+    def compare(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = block_links(key[0], left, right, threshold) if len(left) and len(right) else []
+        return pd.DataFrame(found, columns=["a", "b", "sim"]).astype({"a": "int64", "b": "int64", "sim": "float64"})
+
+    return asking.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(compare, "a long, b long, sim double")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and class_id of each row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    rows, bands = LEVELS[0]
-    sketched = cut(sketches(docs, rows, bands), "sketches")
+    sketched = cut(sketches(docs, ROWS, BANDS), "sketches")
     own = sketched.where("n > 0")
-    nodes = cut(own.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).where("rep IS NOT NULL"), "nodes")
-    level_nodes = nodes.select(F.col("rep").alias("id"), "sig", "bands")
-    links, labels = None, None
-    for depth, (rows, bands) in enumerate(LEVELS):
-        band_rows = level_nodes.select("id", F.posexplode("bands").alias("band", "key"))
-        pairs, large = _pairs(level_nodes, band_rows)
-        likely = cut(_likely(pairs, level_nodes), "likely")
-        wanted = _texts_of(docs, likely.select(F.col("a").alias("id")).union(likely.select("b")))
-        found = cut(verify(likely, cut(wanted, "texts"), threshold), "links")
-        links = found if links is None else links.union(found)
-        labels = components(links)
-        undecided = _open(large, labels)
-        if undecided.isEmpty():
-            break
-        if depth + 1 < len(LEVELS):
-            level_nodes = cut(sketches(_texts_of(docs, undecided.select("id")), *LEVELS[depth + 1]).select("id", "sig", "bands"), "nodes")
-    else:  # the rest, in full
-        leaders = undecided.select("band", "key", "leader").distinct().join(labels.withColumnRenamed("id", "leader"), "leader", "left").select("band", "key", F.coalesce("comp", "leader").alias("main"))
-        rest = undecided.join(leaders, ["band", "key"]).where("comp <> main").select("band", "key", F.col("id").alias("x"), F.col("comp").alias("cx"))
-        every = undecided.select("band", "key", F.col("id").alias("y"), F.col("comp").alias("cy"))
-        pairs = rest.join(every, ["band", "key"]).where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        likely = cut(_likely(pairs, level_nodes), "likely")
-        texts = cut(_texts_of(docs, likely.select(F.col("a").alias("id")).union(likely.select("b"))), "texts")
-        links = links.union(cut(verify(likely, texts, threshold), "links"))
-        labels = components(links)
-    rep = nodes.where("copies > 1").select("c1", "c2", "rep")
+    reps = cut(own.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).where("rep IS NOT NULL"), "nodes")
+    nodes = reps.select(F.col("rep").alias("id"), "sig", "bands")
+    pairs, large = _pairs(nodes)
+    likely = cut(_likely(pairs, nodes), "likely")
+    texts = cut(_texts_of(docs, likely.select(F.col("a").alias("id")).union(likely.select("b"))), "texts")
+    links = cut(verify(likely, texts, threshold), "links")
+    labels = components(links)
+    undecided = _open(large, labels)
+    if not undecided.isEmpty():
+        more = cut(_links_in_blocks(undecided, nodes, cut(_texts_of(docs, undecided.select("id")), "texts"), threshold), "links")
+        if not more.isEmpty():
+            labels = components(links.union(more))
+    rep = reps.where("copies > 1").select("c1", "c2", "rep")
     shared = sketched.select("id", "c1", "c2", "n").join(rep, ["c1", "c2"], "left").withColumn("node", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")))
     named = labels.select(F.col("id").alias("node"), "comp")
     return shared.join(named, "node", "left").select("id", F.coalesce("comp", "node").alias("class_id"))
