@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, parts
 
-BROADCAST_ROWS = 4_000_000
+BROADCAST_ROWS = 2_000_000
 CACHED_WORDS = 500_000
 #: Characters of a word beyond which the rest counts as words of their own.
 LONGEST = 400
@@ -194,16 +194,20 @@ def hashes(codes: np.ndarray, n: int) -> np.ndarray:
     return _finish(h, n)
 
 
+def gram_keys(grams: list[str]) -> np.ndarray:
+    codes, lengths = _codes(grams)
+    ends = np.cumsum(lengths) - 1
+    key = np.zeros(len(grams), np.uint64)
+    for n in np.unique(lengths):
+        at = lengths == n
+        key[at] = hashes(codes, int(n))[ends[at]]
+    return key
+
+
 class Scorer:
-    """Log-likelihoods of words from arrays of n-grams and values (columns p0.. b0.. s0..)."""
-
-    def __init__(self, grams: list[str], values: np.ndarray, order: int, classes: int, vocabulary: int):
-        codes, lengths = _codes(grams)
-        ends = np.cumsum(lengths) - 1
-        key = np.zeros(len(grams), np.uint64)
-        for n in np.unique(lengths):
-            at = lengths == n
-            key[at] = hashes(codes, int(n))[ends[at]]
+    """Log-likelihoods of words from arrays of n-gram keys and values (columns p0.. b0.. s0..)."""
+
+    def __init__(self, key: np.ndarray, values: np.ndarray, order: int, classes: int, vocabulary: int):
         by = np.argsort(key)
         self.key, self.values = key[by], values[by].astype(np.float32)
         self.order, self.classes, self.floor = order, classes, -np.log(vocabulary)
@@ -300,8 +304,15 @@ def score_documents(docs: DataFrame, model: Model, features: Callable[[np.ndarra
     values = [f"{x}{k}" for x in "pbs" for k in range(m)]
     if sharded:
         return _score_sharded(docs, model, features, names, words_of, text_col, others, schema)
-    rows = model.rows.select("g", *values).toPandas()  # BROADCAST_ROWS at most
-    shipped = spark.sparkContext.broadcast((rows["g"].tolist(), rows[values].to_numpy(np.float32).reshape(-1, 3 * m)))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.float32) for c in values])
+            yield pa.RecordBatch.from_arrays([pa.array([gram_keys(b.column("g").to_pylist()).tobytes()]), pa.array([v.tobytes()])], names=["k", "v"])
+
+    rows = model.rows.select("g", *values).mapInArrow(packed, "k binary, v binary").collect()  # BROADCAST_ROWS n-grams at most
+    shipped = spark.sparkContext.broadcast((np.frombuffer(b"".join(r[0] for r in rows), np.uint64), np.frombuffer(b"".join(r[1] for r in rows), np.float32).reshape(-1, 3 * m)))
+    del rows
     key = shipped.id if hasattr(shipped, "id") else id(shipped)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,7 +355,7 @@ def _score_sharded(docs, model, features, names, words_of, text_col, others, sch
     def scored(words: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(words):
             return pd.DataFrame({"word": [], **{f"l{k}": [] for k in range(m)}, "events": []})
-        s, n = Scorer(rows["g"].tolist(), rows[values].to_numpy(np.float32).reshape(-1, 3 * m), order, m, vocabulary)(words["word"].tolist())
+        s, n = Scorer(gram_keys(rows["g"].tolist()), rows[values].to_numpy(np.float32).reshape(-1, 3 * m), order, m, vocabulary)(words["word"].tolist())
         return pd.DataFrame({"word": words["word"], **{f"l{k}": s[:, k] for k in range(m)}, "events": n})
 
     kinds = ", ".join(["word string", *(f"l{k} double" for k in range(m)), "events long"])
