@@ -190,7 +190,7 @@ def hashes(codes: np.ndarray, n: int) -> np.ndarray:
     h = np.zeros(len(codes), np.uint64)
     for back in range(n - 1, -1, -1):
         h = h * _BASE
-        h[back:] += codes[: len(codes) - back] + np.uint64(1)
+        h[back:] += codes[: max(0, len(codes) - back)] + np.uint64(1)
     return _finish(h, n)
 
 
