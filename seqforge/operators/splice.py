@@ -17,10 +17,8 @@ MIN_INTRON, MAX_INTRON = 40, 500_000
 def splice_type(motif: Column | str) -> Column:
     """Code of a motif such as GT-AG; -1 for others."""
     m = F.col(motif) if isinstance(motif, str) else motif
-    out = None
-    for name, code in TYPES.items():
-        out = (out or F).when(m == name, code)
-    return out.otherwise(-1).cast("long")
+    codes = F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])
+    return F.coalesce(F.try_element_at(codes, m), F.lit(-1)).cast("long")
 
 
 def splice_strand(kind: Column | str) -> Column:

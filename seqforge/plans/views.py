@@ -25,7 +25,7 @@ DUCK = {
       + CASE WHEN l_partkey % 11 = 0 THEN 256 ELSE 0 END + CASE WHEN l_partkey % 13 = 0 THEN 1024 ELSE 0 END AS flag FROM lineitem))""",
     "contigs": f"contigs AS (SELECT CAST(i AS BIGINT) AS contig, 'chr' || i AS name, CAST({CONTIG_LENGTH} AS BIGINT) AS length, CASE WHEN i = 4 THEN 2 ELSE 0 END AS kind FROM range(5) t(i))",
     "intervals": 'intervals AS (SELECT event_id AS id, user_id AS contig, CAST(floor(epoch(ts)) AS BIGINT) AS s, CAST(floor(epoch(ts)) AS BIGINT) + CAST(ceil("value") AS BIGINT) AS e FROM events)',
-    "exons": "exons AS (SELECT frag AS transcript, contig, CASE WHEN flag & 16 <> 0 THEN 1 ELSE 0 END AS strand, pos + 1 AS s, pos + len - 50 AS e FROM aln)",
+    "exons": "exons AS (SELECT DISTINCT frag AS transcript, frag % 5 AS contig, frag % 2 AS strand, pos + 1 AS s, pos + len - 50 AS e FROM aln)",
     "genome": "genome AS (SELECT read_id % 5 AS contig, string_agg(seq, '' ORDER BY read_id) AS bases FROM reads GROUP BY 1)",
     "probes": """probes AS (SELECT read_id, CASE WHEN read_id % 2 = 0 THEN substr(seq, 11, 60) ELSE substr(seq, 11, 29) || translate(substr(seq, 40, 1), 'ACGTN', 'CATGA') || substr(seq, 41, 30) END AS seq FROM reads WHERE length(seq) >= 80)""",
     "cals": """cals AS (SELECT frag AS read_id, ln AS mate, pk AS id, contig, flag // 16 % 2 AS strand, pos AS start, pos + len AS e, len AS length, len - 3 * nm AS score, len AS read_area, nm, len % 9 = 0 AS invalid FROM aln)""",
@@ -82,7 +82,7 @@ def intervals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exons(spark: SparkSession, d: str) -> DataFrame:
-    return alignments(spark, d).selectExpr("frag AS transcript", "contig", "if((flag & 16) <> 0, 1, 0) AS strand", "pos + 1 AS start", "pos + len - 50 AS end")
+    return alignments(spark, d).selectExpr("frag AS transcript", "frag % 5 AS contig", "frag % 2 AS strand", "pos + 1 AS start", "pos + len - 50 AS end").distinct()
 
 
 def genome(spark: SparkSession, d: str) -> DataFrame:
