@@ -198,13 +198,15 @@ def _links_in_blocks(undecided: DataFrame, nodes: DataFrame, texts: DataFrame, t
     keys = ["band", "key", "bx", "by"]
     spread = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
     asking = rows.where("comp <> main").select("band", "key", "id", "comp", "bands", "text", F.pmod(F.xxhash64("id"), x).cast("int").alias("bx"), spread(y).alias("by"))
-    asked = rows.select("band", "key", "id", "comp", "bands", "text", F.pmod(F.xxhash64("id", F.lit(1)), y).cast("int").alias("by"), spread(x).alias("bx")).select(*asking.columns)
+    asked = rows.select("band", "key", "id", "comp", "bands", "text", F.pmod(F.xxhash64("id", F.lit(1)), y).cast("int").alias("by"), spread(x).alias("bx"))
+    asked = asked.select(*[F.col(c).alias(f"{c}_") for c in asking.columns])  # a cogroup wants other columns
 
     def compare(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right.columns = left.columns
         found = block_links(key[0], left, right, threshold) if len(left) and len(right) else []
         return pd.DataFrame(found, columns=["a", "b", "sim"]).astype({"a": "int64", "b": "int64", "sim": "float64"})
 
-    return asking.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(compare, "a long, b long, sim double")
+    return asking.groupBy(*keys).cogroup(asked.groupBy(*[f"{k}_" for k in keys])).applyInPandas(compare, "a long, b long, sim double")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
