@@ -26,9 +26,12 @@ def query(name: str, sql: str | None = None):
 
 
 _GENOME = V.duck("genome", "probes") + """,
-k AS (SELECT contig, pos, substr(bases, CAST(pos + 1 AS BIGINT), 18) AS w FROM (SELECT contig, bases, unnest(range(0, length(bases) - 17)) AS pos FROM genome)),
-i AS (SELECT contig, pos, replace(w, 'N', 'A') AS w FROM k WHERE w NOT LIKE 'N%'), idx AS (SELECT * FROM i WHERE w IN (SELECT w FROM i GROUP BY 1 HAVING count(*) < 2000)),
-sides AS (SELECT read_id, 0 AS strand, seq AS s FROM probes UNION ALL SELECT read_id, 1, reverse(translate(seq, 'ACGTN', 'TGCAN')) FROM probes)"""
+k AS (SELECT contig, s + o AS pos, substr(piece, CAST(o + 1 AS BIGINT), 100) AS win FROM (SELECT contig, s, piece, unnest(range(0, least(256, length(piece) - 17))) AS o
+  FROM (SELECT contig, s, substr(bases, CAST(s + 1 AS BIGINT), 355) AS piece FROM (SELECT contig, bases, unnest(range(0, length(bases) - 17, 256)) AS s FROM genome)))),
+i AS (SELECT contig, pos, win, replace(substr(win, 1, 18), 'N', 'A') AS w FROM k WHERE win NOT LIKE 'N%'), idx AS (SELECT * FROM i WHERE w IN (SELECT w FROM i GROUP BY 1 HAVING count(*) < 2000)),
+sides AS (SELECT read_id, 0 AS strand, seq AS s FROM probes UNION ALL SELECT read_id, 1, reverse(translate(seq, 'ACGTN', 'TGCAN')) FROM probes),
+sd AS (SELECT read_id, strand, s, p AS read_pos, replace(substr(s, CAST(p + 1 AS BIGINT), 18), 'N', 'A') AS w
+  FROM (SELECT read_id, strand, s, unnest(list_concat(range(0, length(s) - 18, 9), CASE WHEN (length(s) - 18) % 9 <> 0 THEN [length(s) - 18] ELSE [] END)) AS p FROM sides WHERE length(s) > 18))"""
 
 
 @query("A04_index_build", _GENOME + " SELECT contig, count(*) AS kmers, count(DISTINCT w) AS distinct_kmers FROM idx GROUP BY 1")
@@ -53,21 +56,20 @@ def reference_fetch(spark, d):
     return M.fetch(spans, V.reference(spark, d), ["id"], V.WIDTH).where("bases <> ''").select("id", "bases")
 
 
-@query("J01_seed_lookup", _GENOME + """, sd AS (SELECT read_id, strand, p AS read_pos, replace(substr(s, CAST(p + 1 AS BIGINT), 18), 'N', 'A') AS w FROM (SELECT read_id, strand, s, unnest(list_concat(range(0, 42, 9), [42])) AS p FROM sides))
- SELECT read_id, strand, contig, read_pos, pos FROM sd JOIN idx USING (w) QUALIFY count(*) OVER (PARTITION BY read_id, strand, read_pos) < 2000""")
+@query("J01_seed_lookup", _GENOME + """ SELECT read_id, strand, contig, read_pos, pos FROM sd JOIN idx USING (w) QUALIFY count(*) OVER (PARTITION BY read_id, strand, read_pos) < 2000""")
 def seed_lookup(spark, d):
     return M.seed_hits(V.probes(spark, d), V.index(spark, d))
 
 
-@query("A06_exact_reads", _GENOME + " SELECT read_id, strand, contig, pos, cigar FROM (SELECT read_id, strand, contig, pos, '60=' AS cigar, count(*) OVER (PARTITION BY read_id) AS n FROM sides JOIN (SELECT contig, pos, substr(bases, CAST(pos + 1 AS BIGINT), 60) AS s FROM (SELECT contig, bases, unnest(range(0, length(bases) - 59)) AS pos FROM genome)) g USING (s) WHERE s NOT LIKE 'N%') WHERE n <= 500")
+@query("A06_exact_reads", _GENOME + " SELECT read_id, strand, contig, pos, cigar FROM (SELECT read_id, strand, contig, pos, length(s) || '=' AS cigar, count(*) OVER (PARTITION BY read_id) AS n FROM sides JOIN idx ON w = replace(substr(s, 1, 18), 'N', 'A') AND substr(win, 1, length(s)) = s WHERE length(s) >= 18) WHERE n <= 500")
 def exact_reads(spark, d):
     got = M.exact_reads(V.probes(spark, d), V.index(spark, d), V.reference(spark, d), width=V.WIDTH)
     return got.select("read_id", "strand", "contig", "pos", "cigar")
 
 
-@query("J02_longest_match", _GENOME + """, sd AS (SELECT read_id, strand, s, CAST(p AS BIGINT) AS read_pos, replace(substr(s, CAST(p + 1 AS BIGINT), 18), 'N', 'A') AS w FROM (SELECT read_id, strand, s, unnest([0, 9, 18, 27, 36, 42]) AS p FROM sides)),
- h AS (SELECT read_id, strand, contig, read_pos, pos, substr(s, read_pos + 1) AS rest, substr(bases, CAST(pos + 1 AS BIGINT), 60 - read_pos) AS ref FROM sd JOIN idx USING (w) JOIN genome USING (contig)),
- m AS (SELECT *, coalesce((SELECT min(x) FROM (SELECT unnest(range(1, least(length(rest), length(ref)) + 1)) AS x) WHERE substr(rest, x, 1) <> substr(ref, x, 1)) - 1, least(length(rest), length(ref))) AS match_len FROM h)
+@query("J02_longest_match", _GENOME + """,
+ h AS (SELECT read_id, strand, contig, read_pos, pos, substr(s, CAST(read_pos + 1 AS BIGINT)) AS rest, substr(win, 1, CAST(length(s) - read_pos AS BIGINT)) AS ref FROM sd JOIN idx USING (w)),
+ m AS (SELECT *, coalesce(list_position(list_transform(range(1, least(length(rest), length(ref)) + 1), lambda x: substr(rest, x, 1) <> substr(ref, x, 1)), true) - 1, least(length(rest), length(ref))) AS match_len FROM (SELECT * FROM h QUALIFY count(*) OVER (PARTITION BY read_id, strand, read_pos) < 2000))
  SELECT read_id, strand, contig, read_pos, pos, match_len FROM m QUALIFY match_len = max(match_len) OVER (PARTITION BY read_id, strand, read_pos)""")
 def longest_match(spark, d):
     hits = M.seed_hits(V.probes(spark, d), V.index(spark, d))

@@ -1,8 +1,11 @@
-"""Sequencing views of the driver's tables, in Spark and as DuckDB text with the same rows."""
+"""Sequencing views of the driver's tables, in Spark and as DuckDB text with the same rows.
+
+Reads are consecutive pieces of READ characters of the whole text of every document; the reference has a contig for
+each document, which is its whole text in bases."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
@@ -10,10 +13,17 @@ from ..operators import mapping
 
 WIDTH = 256
 CONTIG_LENGTH = 200_100
+READ = 100
+LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
+
+
+def _duck_bases(text: str) -> str:
+    return f"regexp_replace(translate(lower({text}), '{LETTERS}', '{BASES}'), '[^ACGT]', 'N', 'g')"
+
 
 DUCK = {
-    "reads": """reads AS (SELECT read_id, seq, array_to_string(list_transform(range(1, length(seq) + 1), lambda i: chr(CAST(35 + (ascii(substr(seq, i, 1)) * 31 + i * 17 + read_id * 13) % 40 AS INTEGER))), '') AS qual
-  FROM (SELECT doc_id AS read_id, regexp_replace(translate(lower(substr(text, 1, 100)), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', 'N', 'g') AS seq FROM documents WHERE n_chars >= 36))""",
+    "reads": f"""reads AS (SELECT read_id, seq, array_to_string(list_transform(range(1, length(seq) + 1), lambda i: chr(CAST(35 + (ascii(substr(seq, i, 1)) * 31 + i * 17 + read_id * 13) % 40 AS INTEGER))), '') AS qual
+  FROM (SELECT doc_id * 100000 + k AS read_id, {_duck_bases(f"substr(text, CAST(k * {READ} + 1 AS BIGINT), {READ})")} AS seq FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / {READ}.0) AS BIGINT))) AS k FROM documents)))""",
     "bases": """bases AS (SELECT read_id, pos, substr(seq, CAST(pos AS BIGINT), 1) AS base, ascii(substr(qual, CAST(pos AS BIGINT), 1)) AS a, CASE WHEN pos > 1 THEN substr(seq, CAST(pos - 1 AS BIGINT), 1) ELSE '' END AS prev
   FROM (SELECT read_id, seq, qual, unnest(range(1, length(seq) + 1)) AS pos FROM reads))""",
     "aln": """aln AS (SELECT *, CASE WHEN nm % 3 = 0 THEN len || 'M' WHEN nm % 3 = 1 THEN (len // 2) || 'M2D' || (len - len // 2) || 'M' ELSE (len // 2) || 'M2I' || (len - len // 2 - 2) || 'M' END AS cigar,
@@ -26,11 +36,11 @@ DUCK = {
     "contigs": f"contigs AS (SELECT CAST(i AS BIGINT) AS contig, 'chr' || i AS name, CAST({CONTIG_LENGTH} AS BIGINT) AS length, CASE WHEN i = 4 THEN 2 ELSE 0 END AS kind FROM range(5) t(i))",
     "intervals": 'intervals AS (SELECT event_id AS id, user_id AS contig, CAST(floor(epoch(ts)) AS BIGINT) AS s, CAST(floor(epoch(ts)) AS BIGINT) + CAST(ceil("value") AS BIGINT) AS e FROM events)',
     "exons": "exons AS (SELECT DISTINCT frag AS transcript, frag % 5 AS contig, frag % 2 AS strand, pos + 1 AS s, pos + len - 50 AS e FROM aln)",
-    "genome": "genome AS (SELECT read_id % 5 AS contig, string_agg(seq, '' ORDER BY read_id) AS bases FROM reads GROUP BY 1)",
-    "probes": """probes AS (SELECT read_id, CASE WHEN read_id % 2 = 0 THEN substr(seq, 11, 60) ELSE substr(seq, 11, 29) || translate(substr(seq, 40, 1), 'ACGTN', 'CATGA') || substr(seq, 41, 30) END AS seq FROM reads WHERE length(seq) >= 80)""",
+    "genome": f"genome AS (SELECT doc_id AS contig, {_duck_bases('text')} AS bases FROM documents WHERE text <> '')",
+    "probes": """probes AS (SELECT read_id, CASE WHEN read_id % 2 = 0 OR length(seq) < 40 THEN seq ELSE substr(seq, 1, 39) || translate(substr(seq, 40, 1), 'ACGTN', 'CATGA') || substr(seq, 41) END AS seq FROM reads)""",
     "cals": """cals AS (SELECT frag AS read_id, ln AS mate, pk AS id, contig, flag // 16 % 2 AS strand, pos AS start, pos + len AS e, len AS length, len - 3 * nm AS score, len AS read_area, nm, len % 9 = 0 AS invalid FROM aln)""",
 }
-NEEDS = {"bases": ["reads"], "exons": ["aln"], "genome": ["reads"], "probes": ["reads"], "cals": ["aln"]}
+NEEDS = {"bases": ["reads"], "exons": ["aln"], "probes": ["reads"], "cals": ["aln"]}
 
 
 def duck(*names: str) -> str:
@@ -52,10 +62,14 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _as_bases(text) -> Column:
+    return F.regexp_replace(F.translate(F.lower(text), LETTERS, BASES), "[^ACGT]", "N")
+
+
 def reads(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("n_chars >= 36")
-    bases = F.regexp_replace(F.translate(F.lower(F.substring("text", 1, 100)), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"), "[^ACGT]", "N")
-    seqs = docs.select(F.col("doc_id").alias("read_id"), bases.alias("seq"))
+    pieces = F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{READ}}}"), F.lit(0))).alias("k", "piece")
+    cut = table(spark, d, "documents").select("doc_id", pieces)
+    seqs = cut.select((F.col("doc_id") * 100_000 + F.col("k")).alias("read_id"), _as_bases(F.col("piece")).alias("seq"))
     q = lambda i: F.char(35 + (F.ascii(F.substring(F.col("seq"), i, F.lit(1))) * 31 + i * 17 + F.col("read_id") * 13) % 40)
     return seqs.withColumn("qual", F.array_join(F.transform(F.sequence(F.lit(1), F.length("seq")), q), ""))
 
@@ -86,9 +100,8 @@ def exons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def genome(spark: SparkSession, d: str) -> DataFrame:
-    """Five contigs from the reads: a small synthetic genome for the queries."""
-    rows = reads(spark, d).groupBy((F.col("read_id") % 5).alias("contig")).agg(F.array_sort(F.collect_list(F.struct("read_id", "seq"))).alias("x"))
-    return rows.select("contig", F.array_join(F.transform("x", lambda r: r["seq"]), "").alias("bases"))
+    """A contig for each document."""
+    return table(spark, d, "documents").where("text <> ''").select(F.col("doc_id").alias("contig"), _as_bases(F.col("text")).alias("bases"))
 
 
 def reference(spark: SparkSession, d: str) -> DataFrame:
@@ -100,10 +113,9 @@ def index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def probes(spark: SparkSession, d: str) -> DataFrame:
-    """Reads of 60 bases from the genome, every other one with a substitution."""
-    r = reads(spark, d).where("length(seq) >= 80")
-    mutated = F.expr("concat(substring(seq, 11, 29), translate(substring(seq, 40, 1), 'ACGTN', 'CATGA'), substring(seq, 41, 30))")
-    return r.select("read_id", F.when(F.col("read_id") % 2 == 0, F.substring("seq", 11, 60)).otherwise(mutated).alias("seq"), F.substring("qual", 11, 60).alias("qual"))
+    """All reads, every other one with a substitution."""
+    mutated = F.expr("concat(substring(seq, 1, 39), translate(substring(seq, 40, 1), 'ACGTN', 'CATGA'), substring(seq, 41))")
+    return reads(spark, d).select("read_id", F.when((F.col("read_id") % 2 == 0) | (F.length("seq") < 40), F.col("seq")).otherwise(mutated).alias("seq"), "qual")
 
 
 def cals(spark: SparkSession, d: str) -> DataFrame:
