@@ -22,7 +22,7 @@ from .common import table
 from .language_id import fold
 
 ORDER = 6
-#: Labelled documents that fit the logistic function.
+#: Labelled documents that fit the logistic function, about: a hash of the id picks them where there are more.
 CALIBRATION_ROWS = 20_000
 #: Labels broadcast at most; more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
@@ -92,7 +92,7 @@ def fit(labelled: DataFrame, order: int = ORDER) -> ToxicityModel:
     n = labelled.count()
     if n > 4 * CALIBRATION_ROWS:  # about CALIBRATION_ROWS of them, by another hash
         rest = rest.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < int((1 << 20) * 4 * CALIBRATION_ROWS / n))
-    rows = kneser_ney.score_documents(rest.limit(2 * CALIBRATION_ROWS), model, features, NAMES, words_of).select("klass", *NAMES).toPandas()
+    rows = kneser_ney.score_documents(rest, model, features, NAMES, words_of).select("klass", *NAMES).toPandas()
     x, y = rows[NAMES].to_numpy(float), rows["klass"].to_numpy(float)
     if len(set(y)) < 2:
         return ToxicityModel(model, np.array([0.0] * len(NAMES) + [-1.0]))
