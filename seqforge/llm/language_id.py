@@ -1,7 +1,7 @@
 """Language ID by compression.
 
-Every language has a zstandard raw-content dictionary: the beginnings of a bounded number of labelled documents
-(PIECES pieces of PIECE_CHARS characters, chosen by a hash of the id). A text is lower-cased, freed of ASCII signs and
+Every language has a zstandard raw-content dictionary: pieces of a bounded number of labelled documents (PIECES pieces
+of PIECE_CHARS characters; a hash of the id chooses the documents and where a piece begins). A text is lower-cased, freed of ASCII signs and
 digits and cut into blocks; all its blocks are compressed with each dictionary, and the language with the smallest sum
 wins. The margin is the saving against the second; where it is narrower than min_margin the operator marks the text as
 rejected, unless the text is too short to tell (LEAST_BYTES). Of tied languages the one with more labelled documents comes first.
@@ -46,7 +46,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         return {}
     order = F.pmod(F.xxhash64(id_col, F.lit(11)), F.lit(1 << 30))
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, 4 * PIECES / n) * (1 << 30)))])
-    few = rows.select(lang_col, F.substring(text_col, 1, PIECE_CHARS).alias("piece"), order.alias("o"), F.col(id_col).alias("id")).where(F.col("o") <= share[F.col(lang_col)])
+    first = F.pmod(F.xxhash64(id_col, F.lit(13)), F.greatest(F.length(text_col) - PIECE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    piece = F.col(text_col).substr(first, F.lit(PIECE_CHARS))
+    few = rows.select(lang_col, piece.alias("piece"), order.alias("o"), F.col(id_col).alias("id")).where(F.col("o") <= share[F.col(lang_col)])
     ranked = few.withColumn("r", F.row_number().over(Window.partitionBy(lang_col).orderBy("o", "id", "piece"))).where(F.col("r") <= PIECES)
     pieces: dict[str, list[tuple[int, str]]] = {lang: [] for lang in counts}
     for lang, piece, r in ranked.select(lang_col, "piece", "r").collect():
@@ -76,8 +78,9 @@ class Classifier:
 
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN, text_col: str = "text", prefix: str = "lang_") -> DataFrame:
-    """docs with <prefix>pred, <prefix>score, <prefix>margin and <prefix>rejected."""
+    """docs with <prefix>pred, <prefix>score, <prefix>margin and <prefix>rejected, which replace columns of these names."""
     names = [f"{prefix}{n}" for n in ("pred", "score", "margin", "rejected")]
+    docs = docs.drop(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Classifier(dictionaries)
