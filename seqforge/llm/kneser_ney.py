@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parts
+from .common import cut, free, parts
 
 BROADCAST_ROWS = 2_000_000
 CACHED_WORDS = 500_000
@@ -197,8 +197,8 @@ def hashes(codes: np.ndarray, n: int) -> np.ndarray:
 def gram_keys(grams: list[str]) -> np.ndarray:
     codes, lengths = _codes(grams)
     ends = np.cumsum(lengths) - 1
-    key = np.zeros(len(grams), np.uint64)
-    for n in np.unique(lengths):
+    key = np.zeros(len(grams), np.uint64)  # the empty one has 0
+    for n in np.unique(lengths[lengths > 0]):
         at = lengths == n
         key[at] = hashes(codes, int(n))[ends[at]]
     return key
@@ -208,14 +208,16 @@ class Scorer:
     """Log-likelihoods of words from arrays of n-gram keys and values (columns p0.. b0.. s0..)."""
 
     def __init__(self, key: np.ndarray, values: np.ndarray, order: int, classes: int, vocabulary: int):
+        if not len(key):  # a model of nothing: one row that no n-gram finds
+            key, values = np.full(1, np.uint64(2**64 - 1)), np.full((1, 3 * classes), np.nan)
         by = np.argsort(key)
         self.key, self.values = key[by], values[by].astype(np.float32)
-        self.order, self.classes, self.floor = order, classes, -np.log(vocabulary)
+        self.order, self.classes = order, classes
+        weight = self.values[self.find(gram_keys([""]))][:, 2 * classes :]  # of the empty context
+        self.floor = np.nan_to_num(weight, nan=0.0)[0] * (self.find(gram_keys([""]))[0] >= 0) - np.log(vocabulary)
 
     def find(self, key: np.ndarray) -> np.ndarray:
         """Places in the table; -1: not there."""
-        if not len(self.key):
-            return np.full(len(key), -1)
         at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
         return np.where(self.key[at] == key, at, -1)
 
@@ -329,23 +331,24 @@ def score_documents(docs: DataFrame, model: Model, features: Callable[[np.ndarra
 
 def _score_sharded(docs, model, features, names, words_of, text_col, others, schema) -> DataFrame:
     m, order, vocabulary = model.classes, model.order, model.vocabulary
-    keyed = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
+    row_col, words_col = free(docs, "_row", "_words")
+    keyed = cut(docs.withColumn(row_col, F.monotonically_increasing_id()), "docs")
 
     def words(batches):
         for b in batches:
-            for r, t in zip(b.column("_row"), b.column(text_col)):
+            for r, t in zip(b.column("_row"), b.column("text")):
                 c = Counter(words_of(t.as_py()))
                 if c:
                     yield pa.RecordBatch.from_arrays([pa.array([r.as_py()] * len(c), pa.int64()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["_row", "word", "times"])
 
-    used = cut(keyed.select("_row", text_col).mapInArrow(words, "_row long, word string, times long"), "words")
+    used = cut(keyed.select(F.col(row_col).alias("_row"), F.col(text_col).alias("text")).mapInArrow(words, "_row long, word string, times long"), "words")
     distinct = used.select("word").distinct()
     shards = max(parts(docs.sparkSession), distinct.count() // 100_000 + 1)
     sharded = distinct.select("word", F.pmod(F.xxhash64("word"), F.lit(shards)).cast("int").alias("shard"))
 
     def asked(batches):
         for b in batches:
-            need = {(s.as_py(), g) for w, s in zip(b.column("word"), b.column("shard")) for t in [f"{_LEFT}{w.as_py()}{_RIGHT}"] for end in range(1, len(t) + 1) for g in {t[i:end] for i in range(max(0, end - order), end)}}
+            need = {(s.as_py(), g) for w, s in zip(b.column("word"), b.column("shard")) for t in [f"{_LEFT}{w.as_py()}{_RIGHT}"] for end in range(1, len(t) + 1) for g in {"", *(t[i:end] for i in range(max(0, end - order), end))}}
             got = list(need)
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in got], pa.int32()), pa.array([g for _, g in got], pa.string())], names=["shard", "g"])
 
@@ -360,13 +363,13 @@ def _score_sharded(docs, model, features, names, words_of, text_col, others, sch
 
     kinds = ", ".join(["word string", *(f"l{k} double" for k in range(m)), "events long"])
     by_word = sharded.groupBy("shard").cogroup(need.groupBy("shard")).applyInPandas(scored, kinds)
-    of_doc = used.join(by_word, "word").groupBy("_row").agg(F.collect_list(F.struct("times", *[f"l{k}" for k in range(m)], "events")).alias("w"))
-    back = keyed.drop(text_col).join(of_doc, "_row", "left")
+    of_doc = used.join(by_word, "word").groupBy(F.col("_row").alias(row_col)).agg(F.collect_list(F.struct("times", *[f"l{k}" for k in range(m)], "events")).alias(words_col))
+    back = keyed.drop(text_col).join(of_doc, row_col, "left")
 
     def finished(batches):
         for b in batches:
             out = []
-            for w in b.column("w"):
+            for w in b.column(words_col):
                 w = w.as_py() or []
                 times = np.array([x["times"] for x in w], int)
                 s = np.repeat(np.array([[x[f"l{k}"] for k in range(m)] for x in w], float).reshape(-1, m), times, axis=0)

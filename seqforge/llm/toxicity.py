@@ -48,7 +48,8 @@ def features(scores: np.ndarray, events: np.ndarray) -> list[float]:
 
 
 def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that have a label, with klass: 1 if it is toxic."""
+    """doc_id, text and klass (1: toxic) of the documents that have a label."""
+    docs = docs.select("doc_id", "text")
     own = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("klass"))
     own = own.where("klass IN (0, 1)").withColumnRenamed("doc_id", "_id")
     if labels.count() <= BROADCAST_LABELS:
@@ -77,8 +78,8 @@ class ToxicityModel:
         self.model, self.weights = model, weights
 
     def score(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """docs without the text, with NAMES, score and predicted."""
-        rows = kneser_ney.score_documents(docs, self.model, features, NAMES, words_of, text_col)
+        """docs without the text, with NAMES, score and predicted, which replace columns of these names."""
+        rows = kneser_ney.score_documents(docs.drop(*NAMES, "score", "predicted"), self.model, features, NAMES, words_of, text_col)
         z = sum((F.col(n) * float(w) for n, w in zip(NAMES, self.weights)), F.lit(float(self.weights[-1])))
         score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
         return rows.withColumn("score", score).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
