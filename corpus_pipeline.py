@@ -6,7 +6,8 @@ the input of the next.
 
 Defined cases: rows with a null text have no language and go in the first stage; texts without words are never near
 copies; where rows share one id, the near-dedup stage keeps the first by text; an empty table passes through all
-stages; columns beyond those of documents pass through all stages but the last.
+stages; columns beyond those of documents, whatever
+their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -15,37 +16,46 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqforge.llm import bpe, decontamination, language_id, line_dedup, near_dedup
-from seqforge.llm.common import cut, table
+from seqforge.llm.common import cut, free, table
 
 #: Ids broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what language ID rejects: texts without letters, and those whose margin is too narrow."""
-    judged = language_id.classify(docs, language_id.fit(docs), prefix="_lang_")
-    return judged.where(~F.col("_lang_rejected")).select(docs.columns)
+    prefix = "_lang_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    judged = language_id.classify(docs, language_id.fit(docs), prefix=prefix)
+    return judged.where(~F.col(f"{prefix}rejected")).select(_columns(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that ten documents or more have, in all of them."""
-    kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs, min_docs=10))
-    changed = F.col("kept.n_dropped") > 0
-    new = {"text": F.when(changed, F.col("kept.text")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("kept.text").cast("long")).otherwise(F.col("n_chars"))}
-    return kept.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    out = free(docs, "_kept")[0]
+    kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs, min_docs=10), out_col=out)
+    changed = F.col(f"{out}.n_dropped") > 0
+    new = {"text": F.when(changed, F.col(f"{out}.text")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length(f"{out}.text").cast("long")).otherwise(F.col("n_chars"))}
+    return kept.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of near-duplicates, the one with the smallest id."""
     found = cut(near_dedup.classes(docs), "classes")
-    gone = found.where("id <> class_id").select(F.col("id").alias("_id")).distinct()
+    own, rank = free(docs, "_id", "_rank")
+    gone = found.where("id <> class_id").select(F.col("id").alias(own)).distinct()
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    kept = docs.join(gone, F.col("doc_id") == F.col(own), "left_anti")
     twice = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL")
     if not twice.isEmpty():  # rows that share an id
         first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-        kept = kept.withColumn("_n", first).where("_n = 1 OR doc_id IS NULL").drop("_n")
+        kept = kept.withColumn(rank, first).where((F.col(rank) == 1) | F.col("doc_id").isNull()).drop(rank)
     return kept
 
 

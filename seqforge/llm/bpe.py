@@ -7,7 +7,7 @@ Words repeat, so a worker keeps the ids of the words it has seen in a dictionary
 
 Defined cases: a null or empty text has no ids and decodes to the empty string; texts of any length are encoded whole;
 rows are independent, so ties and repeated rows need nothing; an empty table gives an empty result; columns other than
-the text are passed through by encode and decode, and a name that they would add must not exist yet.
+the text are passed through by encode and decode, but for one named as what they add, which is replaced.
 """
 
 from __future__ import annotations
@@ -136,7 +136,9 @@ def _shipped(spark: SparkSession, path: str) -> str:
 
 
 def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """docs with the ids of the text; tokenizer: path of a byte-level BPE's JSON file."""
+    """docs with the ids of the text in out_col, which replaces a column of that name; tokenizer: path of a byte-level
+    BPE's JSON file."""
+    docs = docs.drop(out_col)
     file = _shipped(docs.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +155,9 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", out_col: str
 
 
 def decode(coded: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """coded with the text of its ids; bytes that aren't UTF-8 become U+FFFD."""
+    """coded with the text of its ids in out_col, which replaces a column of that name; bytes that aren't UTF-8 become
+    U+FFFD."""
+    coded = coded.drop(out_col)
     file = _shipped(coded.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_RE, cut, table, text_or_empty
+from .common import SPACE_RE, cut, free, table, text_or_empty
 
 SIZE = 5
 RADIUS = 15
@@ -98,9 +98,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that hold an item."""
-    bad = cut(matches(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct(), "leaks")
+    own, th = free(docs, "_id", "_th")
+    bad = cut(matches(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("id").alias(own), F.col("th").alias(th)).distinct(), "leaks")
     at = F.xxhash64(text_or_empty(text_col))
-    return docs.join(_small(bad), F.col(id_col).eqNullSafe(F.col("_id")) & (at == F.col("_th")), "left_anti")
+    return docs.join(_small(bad), F.col(id_col).eqNullSafe(F.col(own)) & (at == F.col(th)), "left_anti")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, cut, hash128, parts, table, text_or_empty
+from .common import SPACE, cut, free, hash128, parts, table, text_or_empty
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -137,8 +137,9 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep: str = "none", id_col
     return dropped.select("id", "th", F.size("dropped").cast("long").alias("n_dropped"), _bitmap("dropped").alias("bitmap"))
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with a column kept: a struct (text, n_lines, n_dropped) of what the bitmaps keep. A null text stays null."""
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "kept") -> DataFrame:
+    """docs with a column out_col, which replaces one of that name: a struct (text, n_lines, n_dropped) of what the bitmaps
+    keep. A null text stays null."""
 
     @F.pandas_udf("text string, n_lines long, n_dropped long")
     def kept(text: pd.Series, bitmap: pd.Series) -> pd.DataFrame:
@@ -154,10 +155,12 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
             out.append(("\n".join(left), n, n - len(left)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
-    b = bitmaps.select(F.col("id").alias("_bid"), F.col("th").alias("_bth"), "bitmap")
+    docs = docs.drop(out_col)
+    own, bid, bth, bits = free(docs, "_th", "_bid", "_bth", "_bits")
+    b = bitmaps.select(F.col("id").alias(bid), F.col("th").alias(bth), F.col("bitmap").alias(bits))
     at = F.xxhash64(text_or_empty(text_col))
-    joined = docs.withColumn("_th", at).join(b, F.col(id_col).eqNullSafe(F.col("_bid")) & (F.col("_th") == F.col("_bth")), "left")
-    return joined.select(*[F.col(c) for c in docs.columns], kept(F.col(text_col), F.col("bitmap")).alias("kept"))
+    joined = docs.withColumn(own, at).join(b, F.col(id_col).eqNullSafe(F.col(bid)) & (F.col(own) == F.col(bth)), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], kept(F.col(text_col), F.col(bits)).alias(out_col))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
