@@ -31,7 +31,7 @@ def test_kmer_code(spark, kmer, code):
     assert one(spark, S.kmer_code("s"), s=kmer) == code
 
 
-@pytest.mark.parametrize("length, want", [(100, [*range(0, 82, 9), 82]), (18, []), (27, [0, 9][:1] + [9]), (17, [])])
+@pytest.mark.parametrize("length, want", [(100, [*range(0, 82, 9), 82]), (18, []), (27, [0]), (28, [0, 9, 10]), (17, [])])
 def test_seed_positions(spark, length, want):
     assert one(spark, R.seed_positions(F.lit(length), 18, 20)) == want
 
@@ -57,13 +57,13 @@ def test_cigar_algebra(spark):
     assert one(spark, C.projected_reference(F.lit("ACGTAC"), p, F.lit("GGTCC")), c="2M2I1D2M") == "GGGTCC"
 
 
-@pytest.mark.parametrize("area, best, second, hits, want", [(100, 100, None, 1, 60), (100, 100, 100, 2, 0), (100, 90, 84, 2, 28), (100, 90, 84, 3, 26)])
+@pytest.mark.parametrize("area, best, second, hits, want", [(100, 100, None, 1, 60), (100, 100, 100, 2, 0), (100, 90, 84, 2, 26), (100, 90, 84, 3, 24)])
 def test_mapq(spark, area, best, second, hits, want):
     got = one(spark, scores.mapq(F.lit(area), F.lit(best), F.lit(second), F.lit(hits)))
     assert got == want
 
 
-@pytest.mark.parametrize("seq, cut, left", [("CCCCCCCCCCACGTACGG", "right", "CCCCCCCCCC"), ("ACGTACGGCCCCCCCCCCCCCCCCCCCCCCCC", "left", "C" * 24), ("TTTTTTTTTTTTACGTACGGTTTTTTTTTTTTTTTTTTTTTTTTTTTTTT", "none", None), ("CCCCCCCCCCACGTATTT", "none", None), ("TTTTTTTTTT", "none", None), ("CCCCCCCCCCCCGTACGT", "right", "CCCCCCCCCC")])
+@pytest.mark.parametrize("seq, cut, left", [("CCCCCCCCCCACGTACGG", "right", "CCCCCCCCCC"), ("ACGTACGGCCCCCCCCCCCCCCCCCCCCCCCC", "left", "C" * 24), ("T" * 12 + "ACGTACGG" + "T" * 30, "left", "T" * 30), ("T" * 20 + "ACGTACGG" + "T" * 22, "none", None), ("CCCCCCCCCCACGTATTT", "none", None), ("TTTTTTTTTT", "none", None), ("CCCCCCCCCCCCGTACGT", "right", "CCCCCCCCCC")])
 def test_adapter(spark, seq, cut, left):
     row = R.trim_adapter(spark.createDataFrame([("r", seq, "I" * len(seq))], "read_id string, seq string, qual string"), "ACGTACGG").first()
     assert (row["adapter_cut"], row["seq"], len(row["qual"])) == (cut, left or seq, len(left or seq))
