@@ -1,15 +1,22 @@
-"""Main text of HTML pages, with a suffix array per host for what markup doesn't tell.
+"""Main text of HTML pages, with suffix arrays per host for what markup doesn't tell.
 
 A page is cut into blocks, each with the path of its containers. Blocks in containers that name themselves as menus,
-headers, footers, sidebars, notices, adverts, forms or comments are left out; where a page declares an article, its
-blocks are the text. Everything outside of declared articles goes, as a stream of tokens, to its host: streams of
-about PAGES pages are put in a row and sorted as a suffix array. Substrings of at least RUN tokens that MIN_PAGES
-distinct pages share are boilerplate. On pages without a declared article, blocks of a path whose tokens are mostly
-covered on their host are left out, and in the other blocks the covered runs are removed and the unique ones kept.
+headers, footers, sidebars, notices, adverts, forms or comments are left out. All tokens of a page, those of declared
+articles included, are a stream of its host; what MIN_PAGES pages of different content share on a host, as runs of RUN
+tokens or more, is boilerplate and goes from every page, and so do blocks of SHORT tokens or more outside of declared
+articles that as many pages have whole. Unique runs stay. Markup is a prior: a declared article of which runs cover
+COVERED or more is a copy of others and stays whole; text beside a declared article is kept where more of it is unique
+than of the article, which then is a teaser. Content is the text of the declared articles, or else of all blocks that
+no container names.
+
+Counts are those of the whole host, however large. Of each run of RUN tokens the anchor, its GRAM tokens of the least
+hash, is counted by host; equal runs have equal anchors. Passages around the anchors that MIN_PAGES contents share are
+dealt by host and anchor into lots of about SEGMENTS, so that equal runs meet in one lot, and sorted there as a suffix
+array, which tells the runs that are shared. Their hashes go back to the pages. Of equal passages MIN_PAGES contents a
+batch are passed on, which is all that the counts ask for, so no hot passage fills a task.
 
 The suffixes are sorted by their first DEPTH tokens, which orders all repeated substrings of up to that length; longer
-repeats are covered by overlapping ones. Hot hosts are dealt by page into lots of about PAGES pages, so no task holds
-a host; only what lies outside of articles is shuffled, and pages are read again for the result.
+repeats are covered by overlapping ones.
 
 Defined cases: a null or empty html has the empty text; page ids and urls may be null or repeated, rows are judged one
 by one; a page cut off anywhere yields what was there; an empty table gives an empty result; other columns are neither
@@ -30,8 +37,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, table, text_or_empty
 
-RUN, DEPTH, MIN_PAGES, PAGES = 5, 16, 3, 250
+RUN, GRAM, SHORT, DEPTH, MIN_PAGES, SEGMENTS = 12, 5, 5, 16, 3, 10_000
 COVERED = 0.5
+#: Pages whose tokens are held at a time.
+SLICE = 500
 BROADCAST_ROWS = 1_000_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>|<[!?][^>]*+>|<[^<]*\Z", re.S)
@@ -117,12 +126,12 @@ def blocks_of(html: str | None) -> list[tuple[str, str, str]]:
     return out
 
 
-def covered_tokens(streams: list[list[str]]) -> list[np.ndarray]:
-    """Of each page's tokens: whether they lie in a substring of RUN tokens or more that MIN_PAGES pages share."""
+def shared_starts(streams: list[list[str]], owner: np.ndarray) -> list[np.ndarray]:
+    """Of each stream's tokens: whether RUN tokens begin there that streams of MIN_PAGES owners (numbers from 0) share."""
     lengths = np.array([len(s) + 1 for s in streams], np.int64)
     ids: dict[str, int] = {}
     text = np.concatenate([np.array([ids.setdefault(t, len(ids)) for t in s] + [-1 - k], np.int64) for k, s in enumerate(streams)])
-    page = np.repeat(np.arange(len(streams)), lengths)
+    page = np.repeat(owner, lengths)
     n = len(text)
     rank = np.unique(text, return_inverse=True)[1]
     step, ranks = 1, {1: rank}
@@ -147,103 +156,222 @@ def covered_tokens(streams: list[list[str]]) -> list[np.ndarray]:
     pages = np.bincount(pairs // len(streams), minlength=group[-1] + 1)
     hit = np.zeros(n, bool)
     hit[order[pages[group] >= MIN_PAGES]] = True
-    mark = np.zeros(n + RUN, np.int64)
-    at = np.flatnonzero(hit)
-    np.add.at(mark, at, 1)
-    np.add.at(mark, at + RUN, -1)
-    inside = np.cumsum(mark)[:n] > 0
     starts = np.cumsum(lengths) - lengths
-    return [inside[s : s + m - 1] for s, m in zip(starts, lengths)]
+    return [hit[s : s + m - 1] for s, m in zip(starts, lengths)]
+
+
+def spread(starts: np.ndarray) -> np.ndarray:
+    """Whether tokens lie in one of the runs of RUN tokens that begin at starts."""
+    mark = np.zeros(len(starts) + RUN, np.int64)
+    at = np.flatnonzero(starts)
+    mark[at] += 1
+    mark[at + RUN] -= 1
+    return np.cumsum(mark)[: len(starts)] > 0
+
+
+def covered_tokens(streams: list[list[str]]) -> list[np.ndarray]:
+    """Of each page's tokens: whether they lie in a substring of RUN tokens or more that MIN_PAGES pages share."""
+    return [spread(x) for x in shared_starts(streams, np.arange(len(streams)))]
 
 
 def _host(url: str):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-def boilerplate(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From pages (page_id, url, html): (host, path) that are mostly boilerplate, and (key, block, at) of the covered
-    tokens of other blocks that no markup assigns. key is the hash of id, url and html."""
+def _hashes(words: list[str]) -> np.ndarray:
+    return pd.util.hash_array(np.array(words, object), categorize=False) if words else np.zeros(0, np.uint64)
+
+
+def _mixed(code: np.ndarray) -> np.ndarray:
+    code = (code ^ (code >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return code ^ (code >> np.uint64(29))
+
+
+def window_hashes(h: np.ndarray, seed: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the size tokens from each position, from the tokens' hashes and a seed by position."""
+    n = max(0, len(h) - size + 1)
+    code = seed[:n].copy()
+    for k in range(size):
+        code = code * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+    return _mixed(code)
+
+
+class Slice:
+    """Blocks and tokens of some pages, with hashes that are the same everywhere: run and anchor at each position (ok:
+    where a run lies in one page), and the hash of each block outside of declared articles."""
+
+    def __init__(self, hosts: list[str], htmls: list[str | None]):
+        self.blocks = [blocks_of(x) for x in htmls]
+        self.words: list[str] = []
+        sizes, places, short, contents = [], [], [], []
+        for p, blocks in enumerate(self.blocks):
+            before = len(self.words)
+            declared = any(r == "main" for r, *_ in blocks)
+            contents.append("\n".join(t for r, _, t in blocks if r == ("main" if declared else "open")))
+            for i, (region, _, text) in enumerate(blocks):
+                words = text.split()
+                if region == "open" and len(words) >= SHORT:
+                    places.append((p, i))
+                    short.append(" ".join(words))
+                self.words += words
+            sizes.append(len(self.words) - before)
+        self.ends = np.cumsum(sizes)
+        self.page = np.repeat(np.arange(len(sizes)), sizes)
+        self.content = _hashes(contents).view(np.int64)
+        seeds = _hashes(hosts)
+        n = max(0, len(self.words) - RUN + 1)
+        h, seed = _hashes(self.words), seeds[self.page]
+        self.run = window_hashes(h, seed, RUN)
+        self.ok = self.page[:n] == self.page[RUN - 1 : RUN - 1 + n]
+        gram = window_hashes(h, seed, GRAM)
+        self.anchor = np.minimum.reduce([gram[k : k + n] for k in range(RUN - GRAM + 1)]) if n else self.run
+        self.places = places
+        self.block = _mixed(_hashes(short) + seeds[[p for p, _ in places]] * np.uint64(3)) if places else np.zeros(0, np.uint64)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(page, hash) of anchors and blocks."""
+        page = np.concatenate([self.page[: len(self.ok)][self.ok], np.array([p for p, _ in self.places], np.int64)])
+        return page, np.concatenate([self.anchor[self.ok], self.block]).view(np.int64)
+
+
+def _slices(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Slice]]:
+    for k in range(0, b.num_rows, SLICE):
+        part = b.slice(k, SLICE)
+        yield part, Slice(part.column("host").to_pylist(), part.column("html").to_pylist())
+
+
+def _few(frame: pd.DataFrame, by: list[str]) -> pd.DataFrame:
+    """MIN_PAGES contents of each value of by."""
+    frame = frame.drop_duplicates([*by, "content"])
+    return frame[frame.groupby(by, sort=False).cumcount() < MIN_PAGES]
+
+
+def _several(rows: DataFrame, by: str) -> DataFrame:
+    """The values of by that MIN_PAGES contents have."""
+    return rows.select(by, "content").repartition(by).distinct().groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES).select(by)
+
+
+def _tell(keyed: DataFrame, wanted: DataFrame, runs: bool):
+    """keyed with found, and a function of a batch's found that gives the sorted hashes of wanted among those of its
+    pages: all of them, broadcast, where they are few, else those that a join by hash brings to the pages."""
+    if wanted.count() <= BROADCAST_ROWS:
+        all_of = keyed.sparkSession.sparkContext.broadcast(np.unique(wanted.toPandas()["hash"].to_numpy(np.int64)))
+        return keyed.withColumn("found", F.lit(None).cast("array<bigint>")), lambda found: all_of.value
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, s in _slices(b):
+                page, h = s.pairs()
+                if runs:
+                    page, h = np.concatenate([page, s.page[: len(s.ok)][s.ok]]), np.concatenate([h, s.run[s.ok].view(np.int64)])
+                key = part.column("key").to_numpy()[page]
+                own = pd.DataFrame({"key": key, "hash": h}).drop_duplicates()
+                yield pa.RecordBatch.from_pandas(own, preserve_index=False)
 
-    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    asked = keyed.mapInArrow(ask, "key long, hash long").distinct()
+    found = asked.join(wanted, "hash").groupBy("key").agg(F.collect_list("hash").alias("found"))
+    return keyed.join(found, "key", "left"), lambda found: np.unique(found.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+
+
+def boilerplate(keyed: DataFrame) -> DataFrame:
+    """hash: of the runs that MIN_PAGES contents of a host share, and of their anchors and of blocks that they have whole,
+    from keyed (host, key, html)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, s in _slices(b):
+                page, h = s.pairs()
+                yield pa.RecordBatch.from_pandas(_few(pd.DataFrame({"hash": h, "content": s.content[page]}), ["hash"]), preserve_index=False)
+
+    first = cut(_several(keyed.mapInArrow(count, "hash long, content long"), "hash"), "anchors")
+    asked, known = _tell(keyed, first, False)
+
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for host, key, html in zip(b.column("host").to_pylist(), b.column("key").to_pylist(), b.column("html")):
-                found = [(i, r, p, t) for i, (r, p, t) in enumerate(blocks_of(html.as_py())) if r != "main"]
-                if found:
-                    i, r, p, t = map(list, zip(*found))
-                    rows.append((host, key, i, r, p, t))
-            if rows:
-                cols = list(map(list, zip(*rows)))
-                kinds = [pa.string(), pa.int64(), pa.list_(pa.int32()), *[pa.list_(pa.string())] * 3]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "key", "block", "region", "path", "text"])
-
-    keyed = pages.select(_host("url").alias("host"), F.xxhash64("page_id", "url", "html").alias("key"), text_or_empty("html").alias("html"))
-    sizes = keyed.groupBy("host").agg(F.count("*").alias("pages")).withColumn("lots", F.ceil(F.col("pages") / PAGES)).select("host", "lots")
-    rows = keyed.mapInArrow(streams, "host string, key long, block array<int>, region array<string>, path array<string>, text array<string>")
-    lots = rows.join(_small(sizes), "host").withColumn("lot", F.pmod("key", "lots"))
+            for part, s in _slices(b):
+                n = len(s.ok)
+                at = np.flatnonzero(s.ok & np.isin(s.anchor.view(np.int64), known(part.column("found"))))
+                page, anchor = s.page[:n][at], s.anchor[at]
+                new = np.ones(len(at), bool)
+                new[1:] = (np.diff(at) > 1) | (page[1:] != page[:-1]) | (anchor[1:] != anchor[:-1])
+                begin = np.flatnonzero(new)
+                last = np.append(begin[1:], len(at)) - 1
+                hosts = part.column("host").to_pylist()
+                texts = [" ".join(s.words[at[i] : at[j] + RUN]) for i, j in zip(begin, last)]
+                own = pd.DataFrame({"host": [hosts[p] for p in page[begin]], "anchor": anchor[begin].view(np.int64), "content": s.content[page[begin]], "text": texts})
+                own = _few(own, ["anchor", "text"]).astype({"host": object, "text": object})
+                kinds = [("host", pa.string()), ("anchor", pa.int64()), ("content", pa.int64()), ("text", pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array(own[c].tolist(), k) for c, k in kinds], names=[c for c, _ in kinds])
+
+    found = cut(asked.mapInArrow(passages, "host string, anchor long, content long, text string"), "passages")
+    sizes = found.groupBy("host").agg(F.ceil(F.count("*") / SEGMENTS).alias("lots"))
+    lots = found.join(_small(sizes), "host").withColumn("lot", F.pmod("anchor", "lots"))
 
     def sort(key: tuple, lot: pd.DataFrame) -> pd.DataFrame:
-        tokens = [[x for t in texts for x in t.split()] for texts in lot["text"]]
-        inside = covered_tokens(tokens)
-        by_path: dict[str, list[int]] = {}
-        spans = []
-        for page, (row, mask) in enumerate(zip(lot.itertuples(index=False), inside)):
-            at = 0
-            for block, region, path, text in zip(row.block, row.region, row.path, row.text):
-                n = len(text.split())
-                own = mask[at : at + n]
-                at += n
-                have = by_path.setdefault(path, [0, 0])
-                have[0] += int(own.sum())
-                have[1] += n
-                if region == "open" and own.any():
-                    spans.append((None, None, None, row.key, int(block), np.flatnonzero(own).tolist()))
-        out = [(p, c, n, None, None, None) for p, (c, n) in by_path.items()] + spans
-        return pd.DataFrame(out, columns=["path", "covered", "total", "key", "block", "at"]).astype({"covered": "Int64", "total": "Int64", "key": "Int64", "block": "Int64"}).assign(host=key[0])
-
-    found = cut(lots.groupBy("host", "lot").applyInPandas(sort, "path string, covered long, total long, key long, block long, at array<long>, host string"), "runs")
-    paths = found.where("path IS NOT NULL").groupBy("host", "path").agg(F.sum("covered").alias("c"), F.sum("total").alias("n")).where(F.col("c") >= COVERED * F.col("n")).select("host", "path")
-    spans = found.where("key IS NOT NULL").select("host", "key", "block", "at")
-    return paths, spans
+        streams = [t.split() for t in lot["text"]]
+        starts = shared_starts(streams, np.unique(lot["content"], return_inverse=True)[1])
+        out = []
+        for words, hit in zip(streams, starts):
+            if hit.any():
+                seed = np.repeat(_hashes([key[0]]), len(words))
+                out.append(window_hashes(_hashes(words), seed, RUN)[hit[: len(words) - RUN + 1]].view(np.int64))
+        return pd.DataFrame({"hash": np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)})
+
+    return cut(lots.groupBy("host", "lot").applyInPandas(sort, "hash long").union(first), "runs").distinct()
 
 
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def main_text(blocks: list[tuple[str, str, str]], paths: set[str], covered: dict[int, list[int]]) -> str:
-    kept = [t for r, _, t in blocks if r == "main"]
-    if not kept:
-        for i, (region, path, text) in enumerate(blocks):
-            if region != "open" or path in paths:
-                continue
-            if gone := set(covered.get(i, ())):
-                text = " ".join(x for k, x in enumerate(text.split()) if k not in gone)
-            if text:
-                kept.append(text)
-    return "\n".join(kept)
+def main_text(blocks: list[tuple[str, str, str]], covered: np.ndarray, shared: set[int]) -> str:
+    """The text of a page, from its blocks, which of its tokens lie in shared runs, and which blocks are shared whole."""
+    at, parts = 0, {"main": [], "open": []}
+    for i, (region, _, text) in enumerate(blocks):
+        words = text.split()
+        gone = covered[at : at + len(words)]
+        at += len(words)
+        if region in parts:
+            own = [] if i in shared else [w for w, g in zip(words, gone) if not g]
+            parts[region].append((text, len(words), own))
+    sizes = {r: sum(n for _, n, _ in p) for r, p in parts.items()}
+    unique = {r: sum(len(own) for *_, own in p) for r, p in parts.items()}
+    copy = sizes["main"] > 0 and sizes["main"] - unique["main"] >= COVERED * sizes["main"]
+    teaser = unique["open"] > (sizes["main"] if copy else unique["main"])
+    kept = []
+    at = {"main": iter(parts["main"]), "open": iter(parts["open"])}
+    for region, *_ in blocks:
+        if region in at:
+            text, _, own = next(at[region])
+            if region == "main":
+                kept.append(text if copy else " ".join(own))
+            elif not sizes["main"] or teaser:
+                kept.append(" ".join(own))
+    return "\n".join(t for t in kept if t)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and text of each row of pages (page_id, url, html)."""
-    paths, spans = boilerplate(pages)
-    by_host = paths.groupBy("host").agg(F.collect_set("path").alias("paths")).withColumnRenamed("host", "_host")
-    by_page = spans.groupBy("key").agg(F.collect_set(F.struct("block", "at")).alias("spans")).withColumnRenamed("key", "_key")
     keyed = pages.select("page_id", "url", text_or_empty("html").alias("html"), F.xxhash64("page_id", "url", "html").alias("key"), _host("url").alias("host"))
-    joined = keyed.join(_small(by_host), F.col("host") == F.col("_host"), "left").join(_small(by_page), F.col("key") == F.col("_key"), "left").select("page_id", "url", "html", "paths", "spans")
+    narrow = keyed.select("host", "key", "html")
+    asked, known = _tell(keyed, boilerplate(narrow), True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = []
-            for html, p, s in zip(b.column("html"), b.column("paths"), b.column("spans")):
-                blocks = blocks_of(html.as_py())
-                if any(r == "main" for r, *_ in blocks):
-                    texts.append(main_text(blocks, set(), {}))
-                else:
-                    texts.append(main_text(blocks, set(p.as_py() or ()), {x["block"]: x["at"] for x in s.as_py() or ()}))
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-    return joined.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string")
+            for part, s in _slices(b):
+                hashes = known(part.column("found"))
+                starts = np.zeros(len(s.words), bool)
+                starts[: len(s.ok)] = s.ok & np.isin(s.run.view(np.int64), hashes)
+                covered = spread(starts)
+                shared: dict[int, set[int]] = {}
+                for (p, i), hit in zip(s.places, np.isin(s.block.view(np.int64), hashes)):
+                    if hit:
+                        shared.setdefault(p, set()).add(i)
+                begin = np.append(0, s.ends)
+                texts = [main_text(x, covered[begin[p] : begin[p + 1]], shared.get(p, set())) for p, x in enumerate(s.blocks)]
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    return asked.select("page_id", "url", "html", "host", "found").mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,3 +48,26 @@ def test_covered_tokens_against_plain_counting():
                     inside[i : i + H.RUN] = [True] * H.RUN
             want.append(inside)
         assert [x.tolist() for x in H.covered_tokens(streams)] == want
+
+
+def words(rnd, n):
+    return " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+
+
+def pages_df(spark, data):
+    return spark.createDataFrame([(i, "https://site.example/", h) for i, h in enumerate(data)], "page_id long, url string, html string")
+
+
+def test_runs_decide_within_declared_articles(spark):
+    """Boilerplate under an untelling class of an article goes; copied articles and text beside a teaser stay."""
+    rnd = random.Random(11)
+    notice = "this text was first printed in our paper and may not be sold or passed on"
+    bodies = [words(rnd, 60) for _ in range(4)]
+    data = [f"<article><p>{b}</p><div class=x>{notice}</div></article>" for b in bodies]
+    copied, teaser, beside = words(rnd, 60), "a short teaser", words(rnd, 80)
+    data += [f"<nav>{words(rnd, 9)}</nav><article><p>{copied}</p><p>{words(rnd, 5)}</p></article>" for _ in range(4)]
+    data.append(f"<article>{teaser}</article><div>{beside}</div>")
+    got = dict(rows(spark, H.extract(pages_df(spark, data))))
+    assert [got[i] for i in range(4)] == bodies
+    assert all(got[i].startswith(copied) for i in range(4, 8))
+    assert got[8] == f"{teaser}\n{beside}"
