@@ -71,3 +71,14 @@ def test_runs_decide_within_declared_articles(spark):
     assert [got[i] for i in range(4)] == bodies
     assert all(got[i].startswith(copied) for i in range(4, 8))
     assert got[8] == f"{teaser}\n{beside}"
+
+
+def test_unique_text_stays(spark):
+    """Unique paragraphs beside a notice of the same path, pages with copies, and common phrases."""
+    rnd = random.Random(12)
+    notice = "please note that this shop is closed on all public holidays and that orders are sent on the next working day"
+    bodies = [f"{words(rnd, 7)} as soon as it can be {words(rnd, 7)}" for _ in range(4)]
+    alone = words(rnd, 40)
+    data = [f"<p>{notice}</p><p>{b}</p>" for b in bodies] + [f"<p>{alone}</p>"] * 3
+    got = dict(rows(spark, H.extract(pages_df(spark, data))))
+    assert got == dict(enumerate(bodies + [alone] * 3))
