@@ -82,3 +82,16 @@ def test_unique_text_stays(spark):
     data = [f"<p>{notice}</p><p>{b}</p>" for b in bodies] + [f"<p>{alone}</p>"] * 3
     got = dict(rows(spark, H.extract(pages_df(spark, data))))
     assert got == dict(enumerate(bodies + [alone] * 3))
+
+
+def test_boilerplate_is_counted_over_the_whole_host(spark, monkeypatch):
+    """Five pages of a host of 1,500 share a passage; it goes wherever they are dealt, and by either way of telling pages."""
+    rnd = random.Random(13)
+    notice = "the editors of this page take no liability for what is said on pages that are linked from here"
+    bodies = [words(rnd, 20) for _ in range(1500)]
+    data = [f"<div><p>{b} {notice if i % 300 == 0 else ''}</p></div>" for i, b in enumerate(bodies)]
+    df = pages_df(spark, data)
+    assert dict(rows(spark, H.extract(df))) == dict(enumerate(bodies))
+    monkeypatch.setattr(H, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(H, "SEGMENTS", 2)
+    assert dict(rows(spark, H.extract(df))) == dict(enumerate(bodies))
