@@ -145,8 +145,13 @@ class Model:
 
 def fit(texts: DataFrame, order: int, classes: int = 1, words_of: Callable[[str | None], list[str]] = raw_words) -> Model:
     """texts: text, klass (int from 0). An empty table gives a model in which all characters are equally likely."""
+    return of_events(cut(count_events(texts, order, classes, words_of), "events"), order, classes)
+
+
+def of_events(events: DataFrame, order: int, classes: int = 1) -> Model:
+    """The model of counted events (g, c0, c1, ...); each row has a count above 0 in one of the classes at least."""
     names = [f"c{k}" for k in range(classes)]
-    events = cut(count_events(texts, order, classes, words_of), "events").withColumn("n", F.length("g"))
+    events = events.withColumn("n", F.length("g"))
     vocabulary = 1 + events.select(F.expr("right(g, 1)").alias("x")).distinct().count()
     # kinds[n]: the distinct n-grams of n characters; shared[n]: continuation counts of those that don't begin a word
     kinds = events.where(F.col("n") == order).select("g")

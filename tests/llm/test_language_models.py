@@ -95,6 +95,15 @@ def test_toxicity_edges(spark):
     assert all(r["score"] <= 0.5 for r in only.score(asked).collect())
 
 
+def test_toxicity_counts_all_labelled_rows(spark):
+    """The model that scores knows each labelled text, those of the calibration sample included."""
+    rows = [(i, f"{t} only{'abcdefghij'[i % 10] * (1 + i // 10)}", i % 2) for i, t in enumerate(corpus(60, 8))]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, klass int")
+    want = K.fit(labelled, toxicity.ORDER, 2, toxicity.words_of)
+    out = [m.rows.select("g", *[F.round(c, 6) for c in ("p0", "p1", "b0", "b1")]).collect() for m in (toxicity.fit(labelled).model, want)]
+    assert sorted(map(str, out[0])) == sorted(map(str, out[1]))
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
 def test_toxicity_held_out(spark):
     labels = spark.read.parquet(f"{DATA}/labels.parquet").select(F.col("doc_id").alias("_id"), "toxic").where("toxic IS NOT NULL")
