@@ -3,7 +3,8 @@
 Encoding cuts a text at special tokens and into words by the tokenizer's pattern. In each word a priority queue holds
 the merges that two neighbours of a doubly linked list of symbols allow, lowest rank first and leftmost among equals;
 an entry whose symbols have changed since is stale and skipped. Decoding concatenates the vocabulary's byte strings.
-Words repeat, so a worker keeps the ids of the words it has seen in a dictionary that is emptied when it is full.
+Words repeat, so a worker keeps the ids of the words it has seen, in a dictionary that becomes the older one when it
+holds CACHED_BYTES; what the older one has needs no merges, and it goes when the next is full.
 
 Defined cases: a null or empty text has no ids and decodes to the empty string; texts of any length are encoded whole;
 rows are independent, so ties and repeated rows need nothing; an empty table gives an empty result; columns other than
@@ -25,11 +26,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import chunks, map_batches, table, text_or_empty
 
-CACHED_WORDS = 600_000
+#: Bytes that each of a worker's two dictionaries of words holds, about.
+CACHED_BYTES = 48 << 20
 #: A longer word isn't kept.
 CACHED_CHARS = 64
+#: What an entry costs beside its word and ids: two objects' headers and a slot.
+_ENTRY_BYTES = 200
 
 
 def _byte_chars() -> dict[str, int]:
@@ -41,12 +45,15 @@ def _byte_chars() -> dict[str, int]:
 
 
 class Tokenizer:
-    """A byte-level BPE from the text of its JSON file."""
+    """A byte-level BPE from the text of its JSON file; a file that names another way to cut words is refused."""
 
     PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
     def __init__(self, source: str):
         spec = json.loads(source)
+        cutter = spec.get("pre_tokenizer") or {}
+        if spec["model"].get("type", "BPE") != "BPE" or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex", True) or spec.get("normalizer"):
+            raise ValueError("not a byte-level BPE that cuts words by the usual pattern")
         byte = _byte_chars()
         raw = lambda s: bytes(byte[c] for c in s)
         self.strings = {i: raw(s) for s, i in spec["model"]["vocab"].items() if all(c in byte for c in s)}
@@ -61,6 +68,8 @@ class Tokenizer:
             a, b = (raw(x) for x in (merge.split(" ") if isinstance(merge, str) else merge))
             self.pairs[ids[a]].setdefault(ids[b], (rank, ids[a + b]))
         self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
         self.by_id = [self.strings.get(i, b"") for i in range(max(self.strings) + 1)]
 
     def merged(self, word: bytes) -> list[int]:
@@ -95,12 +104,17 @@ class Tokenizer:
         return [s for s in sym if s >= 0]
 
     def _learn(self, words: list[str]) -> None:
-        seen = self.seen
-        if len(seen) >= CACHED_WORDS:
-            seen.clear()
+        if self.held >= CACHED_BYTES:
+            self.older, self.seen, self.held = self.seen, {}, 0
+        seen, older = self.seen, self.older
         for word in words:
             if word not in seen:
-                seen[word] = np.array(self.merged(word.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+                ids = older.get(word)
+                if ids is None:
+                    ids = np.array(self.merged(word.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+                seen[word] = ids
+                if len(word) <= CACHED_CHARS:
+                    self.held += len(word) + len(ids) + _ENTRY_BYTES
 
     def encode(self, text: str) -> np.ndarray:
         """The ids as unsigned 32-bit integers."""
@@ -123,7 +137,7 @@ class Tokenizer:
         return b"".join(map(self.by_id.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode("utf-8", "replace")
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _loaded(file: str) -> Tokenizer:
     with open(SparkFiles.get(file), encoding="utf-8") as f:
         return Tokenizer(f.read())
@@ -143,15 +157,13 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", out_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _loaded(file)
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                ids = [t.encode(x.as_py() or "").astype(np.int32) for x in part.column(text_col)]
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                values = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), values)], names=[*part.schema.names, out_col])
+        for part in chunks(batches, text_col):
+            ids = [t.encode(x.as_py() or "").astype(np.int32) for x in part.column(text_col)]
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            values = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), values)], names=[*part.schema.names, out_col])
 
-    return docs.mapInArrow(run, _with(docs, f"{out_col} array<int>"))
+    return map_batches(docs, run, _with(docs, f"{out_col} array<int>"))
 
 
 def decode(coded: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -166,7 +178,7 @@ def decode(coded: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str
             texts = [t.decode(x.as_py() or []) for x in b.column(ids_col)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out_col])
 
-    return coded.mapInArrow(run, _with(coded, f"{out_col} string"))
+    return map_batches(coded, run, _with(coded, f"{out_col} string"))
 
 
 def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -176,21 +188,19 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _loaded(file)
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                rows = []
-                for x in part.column(text_col):
-                    ids = t.encode(x.as_py())
-                    text = t.decode(ids)
-                    rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), text if decoded_too else None))
-                n, a, d, text = (list(c) for c in zip(*rows)) if rows else ([], [], [], [])
-                out = [part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
-                yield pa.RecordBatch.from_arrays(out + [pa.array(text, pa.string())] * decoded_too, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["decoded"] * decoded_too)
+        for part in chunks(batches, text_col):
+            rows = []
+            for x in part.column(text_col):
+                ids = t.encode(x.as_py())
+                text = t.decode(ids)
+                rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), text if decoded_too else None))
+            n, a, d, text = (list(c) for c in zip(*rows)) if rows else ([], [], [], [])
+            out = [part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
+            yield pa.RecordBatch.from_arrays(out + [pa.array(text, pa.string())] * decoded_too, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["decoded"] * decoded_too)
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", decoded string" * decoded_too
-    return docs.select(id_col, text_or_empty(text_col).alias(text_col)).mapInArrow(run, schema)
+    return map_batches(docs.select(id_col, text_or_empty(text_col).alias(text_col)), run, schema)
 
 
 def _with(df: DataFrame, more: str) -> str:

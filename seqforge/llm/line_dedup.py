@@ -10,8 +10,8 @@ A line's key is the line with ASCII white space stripped at both ends and A-Z lo
 always kept.
 
 Defined cases: a null or empty text is one empty line; rows with one id count as one document (null is an id like
-others); repeated rows and rows with one id and other texts each get the decisions of their own lines; an empty table
-gives an empty result; other columns are neither read nor returned by keep_bitmaps, whatever their names.
+others); repeated rows and rows with one id and other texts each get the decisions of their own lines; texts of any
+length are split whole; an empty table gives an empty result; other columns are neither read nor returned by keep_bitmaps, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, cut, free, hash128, parts, table, text_or_empty
+from .common import SPACE, cut, free, hash128, map_batches, parts, table, text_or_empty
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -102,9 +102,7 @@ def repeated_lines(rows: DataFrame, min_docs: int) -> DataFrame:
     """The hashes found in at least min_docs documents, with the number of documents and the first occurrence."""
     spark = rows.sparkSession
     dealt = rows.repartitionByRange(parts(spark), "h1", "h2", "id").sortWithinPartitions("h1", "h2", "id", "pos", "th")
-    runs = dealt.mapInArrow(
-        lambda it: _count_runs(it, min_docs), "h1 long, h2 long, n_docs long, id long, th long, pos int"
-    )
+    runs = map_batches(dealt, lambda it: _count_runs(it, min_docs), "h1 long, h2 long, n_docs long, id long, th long, pos int")
     return (
         runs.groupBy("h1", "h2")
         .agg(F.sum("n_docs").alias("n_docs"), F.min(F.struct(F.coalesce(F.col("id"), F.lit(-(2**63))).alias("o"), "pos", "th")).alias("first"))

@@ -3,8 +3,8 @@
 Two texts are linked if the probability Jaccard of their weighted five-word shingles is at least 0.8; a class is a
 connected component of links. Steps:
 
-1. Each text gets a ProbMinHash signature and band keys. Equal word sequences (128-bit hash) become one node, the
-   smallest id.
+1. Each text gets a ProbMinHash signature and band keys. Equal word sequences (128-bit hash) become one node, numbered
+   by a row of theirs.
 2. Nodes with the same band key share a bucket. A bucket of up to SMALL nodes gives all its pairs, a larger one the
    pairs with its leader: the node with most company in large buckets, near the middle of a cloud of copies.
 3. Pairs whose signatures agree too little are dropped (LEAST_AGREEMENT is five standard deviations below 0.8); the
@@ -17,9 +17,13 @@ connected component of links. Steps:
 Work is done on ids, keys and signatures; only texts with a candidate are shuffled. Components are joins that run until
 nothing changes. Hot keys are rows of skew joins, which Spark splits, or of aggregations with a map side.
 
-Defined cases: texts without words are in a class of their own each; rows with one id are one document; a null id gets
-its text's class if another id has that text, else null; an empty table gives an empty result; other columns are
-neither read nor changed.
+Rows are told apart by id and text (th, the text's hash), so an id that several texts share, or a null one, is no case
+of its own. A class is named by its smallest id, and its member with the smallest id (null last) and th is the one that
+stays.
+
+Defined cases: texts without words are in a class of their own each; rows with one id and other texts are documents of
+their own; a class of null ids only has a null name; ties go to the smaller th; texts of any length are compared whole,
+in batches cut by bytes; an empty table gives an empty result; other columns are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -33,32 +37,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_or_empty
+from .common import chunks, cut, map_batches, table, text_or_empty
 from .shingles import mix, probability_jaccard, shingles, signatures
 
 THRESHOLD = 0.8
 #: Rows of a band and bands: at 0.8 a pair shares a band with probability 0.9998.
 ROWS, BANDS = 4, 16
 SMALL = 24
-#: Nodes of a block that asks and of one that is asked.
-ASKING, ASKED = 200, 800
+#: Distinct shingles of a block that asks and of one that is asked, about, and matches of shingles that are counted at a time.
+ASKING, ASKED, MATCHES = 100_000, 400_000, 1 << 20
 LEAST_AGREEMENT = 0.55
-#: Ids broadcast at most to pick texts before they are shuffled.
+#: Rows broadcast at most to pick texts before they are shuffled.
 BROADCAST_IDS = 2_000_000
-_TEXTS = 128
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, _TEXTS):
-            yield b.slice(at, _TEXTS)
 
 
 def sketches(docs: DataFrame, rows: int, bands: int) -> DataFrame:
-    """id, c1, c2 (hash of the words), n (distinct shingles), sig (low 32 bits of each register), bands."""
+    """Of docs (id, th, text): id, th, c1, c2 (hash of the words), n (distinct shingles), sig (low 32 bits of each
+    register), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _chunks(batches):
+        for b in chunks(batches, "text"):
             texts = b.column("text").to_pylist()
             sig, n = signatures(texts, rows * bands)
             key = np.zeros((len(texts), bands), np.uint64)
@@ -66,9 +64,9 @@ def sketches(docs: DataFrame, rows: int, bands: int) -> DataFrame:
                 key = mix(key * np.uint64(31) + sig[:, k::rows])
             digest = np.array([np.frombuffer(blake2b(b" ".join(t.lower().encode("utf-8", "surrogatepass").split()), digest_size=16).digest(), np.int64) for t in texts]).reshape(-1, 2)
             arrays = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel().astype(kind)))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(n.astype(np.int32)), arrays(sig.view(np.int64), np.int32), arrays(key.view(np.int64), np.int64)], names=["id", "c1", "c2", "n", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(n.astype(np.int32)), arrays(sig.view(np.int64), np.int32), arrays(key.view(np.int64), np.int64)], names=["id", "th", "c1", "c2", "n", "sig", "bands"])
 
-    return docs.mapInArrow(run, "id long, c1 long, c2 long, n int, sig array<int>, bands array<long>")
+    return map_batches(docs, run, "id long, th long, c1 long, c2 long, n int, sig array<int>, bands array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -77,7 +75,7 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _chunks(batches):
+        for b in chunks(batches, "ta", "tb", most=500):
             n = b.num_rows
             distinct: dict[str, int] = {}
             at = [distinct.setdefault(t, len(distinct)) for c in ("ta", "tb") for t in b.column(c).to_pylist()]
@@ -88,7 +86,7 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             ok = np.flatnonzero(sim >= threshold)
             yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(ok)), b.column("b").take(pa.array(ok)), pa.array(sim[ok])], names=["a", "b", "sim"])
 
-    return both.mapInArrow(run, "a long, b long, sim double")
+    return map_batches(both, run, "a long, b long, sim double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -105,16 +103,19 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    ids = cut(ids.distinct(), "ids")
+def _texts_of(docs: DataFrame, rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and text of nodes; rows: node (a row's number), id and th of the rows that nodes are named by."""
+    ids = cut(rows.join(ids.distinct(), rows["node"] == ids["id"], "left_semi"), "ids")
+    wanted = ids.select("node", F.col("id").alias("_id"), F.col("th").alias("_th"))
     if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+        wanted = F.broadcast(wanted)
+    found = docs.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
+    return found.groupBy(F.col("node").alias("id")).agg(F.min("text").alias("text"))
 
 
 def _pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a < b), and the nodes of large buckets: band, key, id."""
-    band_rows = nodes.select("id", F.posexplode("bands").alias("band", "key"))
+    """Candidate pairs (a < b), and the nodes of large buckets: band, key, id, n."""
+    band_rows = nodes.select("id", "n", F.posexplode("bands").alias("band", "key"))
     sizes = band_rows.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
     members = cut(band_rows.join(sizes, ["band", "key"]), "members")
     small = members.where(F.col("size") <= SMALL).groupBy("band", "key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
@@ -123,7 +124,7 @@ def _pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     company = large.groupBy("id").agg(F.sum("size").alias("company"))
     leaders = large.join(company, "id").groupBy("band", "key").agg(F.max(F.struct("company", F.xxhash64("id").alias("o"), "id"))["id"].alias("leader"))
     star = large.join(leaders, ["band", "key"]).where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
-    return pair.union(star).distinct(), large.select("band", "key", "id")
+    return pair.union(star).distinct(), large.select("band", "key", "id", "n")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -135,9 +136,10 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _open(large: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of large buckets whose nodes aren't all in one class, with comp and the bucket's size and main class."""
+    """The rows of large buckets whose nodes aren't all in one class, with comp and the bucket's main class and sizes in
+    shingles, whole and without that class."""
     got = large.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    by_comp = got.groupBy("band", "key", "comp").agg(F.count("*").alias("k"))
+    by_comp = got.groupBy("band", "key", "comp").agg(F.sum("n").alias("k"))
     mixed = by_comp.groupBy("band", "key").agg(F.sum("k").alias("size"), F.count("*").alias("comps"), F.max(F.struct("k", "comp"))["comp"].alias("main"), F.max("k").alias("k")).where("comps > 1")
     return cut(got.join(mixed.select("band", "key", "size", "main", (F.col("size") - F.col("k")).alias("asking")), ["band", "key"]), "open")
 
@@ -147,6 +149,14 @@ def _first_common(x: np.ndarray, ys: np.ndarray) -> np.ndarray:
     return (ys == x).argmax(axis=1)
 
 
+def _matches(e: np.ndarray, h: np.ndarray, w: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Where each of h begins in the sorted e, how often it is there, and its weight, in pieces of about MATCHES."""
+    low = np.searchsorted(e, h, "left")
+    size = np.searchsorted(e, h, "right") - low
+    cuts = np.flatnonzero(np.diff(np.cumsum(size) // MATCHES)) + 1
+    yield from zip(np.split(low, cuts), np.split(size, cuts), np.split(w, cuts))
+
+
 def block_links(band: int, asking: pd.DataFrame, asked: pd.DataFrame, threshold: float) -> list[tuple[int, int, float]]:
     """Links (a, b, sim) between nodes of two blocks (id, comp, bands, text) of a bucket."""
     of = [s for df in (asking, asked) for s in _shingled(df["text"].tolist())]
@@ -164,14 +174,14 @@ def block_links(band: int, asking: pd.DataFrame, asked: pd.DataFrame, threshold:
         ok = (comps != row.comp) & (_first_common(np.asarray(row.bands), bands) == band)
         if not ok.any():
             continue
-        lo, hi = np.searchsorted(e, h, "left"), np.searchsorted(e, h, "right")
-        size = hi - lo
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        common = np.bincount(node[at], minlength=len(ids))
-        share = np.bincount(node[at], np.repeat(w, size), minlength=len(ids)) / w.sum()  # of the one's weight
-        back = np.bincount(node[at], weight[at], minlength=len(ids)) / total
+        common, share, back = np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros(len(ids))
+        for low, size, times in _matches(e, h, w):
+            at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            common += np.bincount(node[at], minlength=len(ids))
+            share += np.bincount(node[at], np.repeat(times, size), minlength=len(ids)) / w.sum()  # of the one's weight
+            back += np.bincount(node[at], weight[at], minlength=len(ids)) / total
         # the similarity is at most the share of either's weight that the other has; of sets it is common / union
-        near = ok & (share >= threshold) & (back >= threshold)
+        near = ok & (share >= threshold - 1e-9) & (back >= threshold - 1e-9)  # sums of pieces may be a rounding apart
         if w.max() == 1:
             near &= ~plain | (common / (len(h) + total - common) >= threshold)
         for k in np.flatnonzero(near):
@@ -183,11 +193,10 @@ def block_links(band: int, asking: pd.DataFrame, asked: pd.DataFrame, threshold:
 
 def _shingled(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
-    for i in range(0, len(texts), 512):
-        part = texts[i : i + 512]
-        t, e, w = shingles(part)
-        cuts = np.searchsorted(t, np.arange(len(part) + 1))
-        out += [(e[cuts[k] : cuts[k + 1]], w[cuts[k] : cuts[k + 1]]) for k in range(len(part))]
+    for part in chunks(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])]), "text"):
+        t, e, w = shingles(part.column("text").to_pylist())
+        cuts = np.searchsorted(t, np.arange(part.num_rows + 1))
+        out += [(e[cuts[k] : cuts[k + 1]], w[cuts[k] : cuts[k + 1]]) for k in range(part.num_rows)]
     return out
 
 
@@ -209,27 +218,40 @@ def _links_in_blocks(undecided: DataFrame, nodes: DataFrame, texts: DataFrame, t
     return asking.groupBy(*keys).cogroup(asked.groupBy(*[f"{k}_" for k in keys])).applyInPandas(compare, "a long, b long, sim double")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and class_id of each row of docs."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    sketched = cut(sketches(docs, ROWS, BANDS), "sketches")
-    own = sketched.where("n > 0")
-    reps = cut(own.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).where("rep IS NOT NULL"), "nodes")
-    nodes = reps.select(F.col("rep").alias("id"), "sig", "bands")
+def members(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, th, class_id and stays (the one row of its class, by id and th, that stays) of each row of docs."""
+    text = text_or_empty(text_col)
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    sketched = cut(sketches(docs, ROWS, BANDS).withColumn("node", F.monotonically_increasing_id()), "sketches")
+    first = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "th")).alias("first")
+    own = sketched.where("n > 0").groupBy("c1", "c2")
+    named = F.min(F.struct("node", "id", "th")).alias("named")
+    reps = cut(own.agg(named, first, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).select("c1", "c2", "named.node", "named.id", "named.th", "first", "copies", "n", "sig", "bands"), "nodes")
+    nodes = reps.select(F.col("node").alias("id"), "n", "sig", "bands")
+    rows = reps.select("node", "id", "th")
     pairs, large = _pairs(nodes)
     likely = cut(_likely(pairs, nodes), "likely")
-    texts = cut(_texts_of(docs, likely.select(F.col("a").alias("id")).union(likely.select("b"))), "texts")
+    texts = cut(_texts_of(docs, rows, likely.select(F.col("a").alias("id")).union(likely.select("b"))), "texts")
     links = cut(verify(likely, texts, threshold), "links")
     labels = components(links)
     undecided = _open(large, labels)
     if not undecided.isEmpty():
-        more = cut(_links_in_blocks(undecided, nodes, cut(_texts_of(docs, undecided.select("id")), "texts"), threshold), "links")
+        more = cut(_links_in_blocks(undecided, nodes, cut(_texts_of(docs, rows, undecided.select("id")), "texts"), threshold), "links")
         if not more.isEmpty():
             labels = components(links.union(more))
-    rep = reps.where("copies > 1").select("c1", "c2", "rep")
-    shared = sketched.select("id", "c1", "c2", "n").join(rep, ["c1", "c2"], "left").withColumn("node", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")))
-    named = labels.select(F.col("id").alias("node"), "comp")
-    return shared.join(named, "node", "left").select("id", F.coalesce("comp", "node").alias("class_id"))
+    linked = reps.select("c1", "c2", "node", "first").join(labels.select(F.col("id").alias("node"), "comp"), "node")
+    firsts = linked.groupBy("comp").agg(F.min("first").alias("low"))
+    by_link = linked.join(firsts, "comp").select("c1", "c2", "low")
+    alone = reps.where("copies > 1").join(labels, reps["node"] == labels["id"], "left_anti").select("c1", "c2", F.col("first").alias("low"))
+    out = sketched.select("id", "th", "c1", "c2", "n").join(by_link.union(alone), ["c1", "c2"], "left")
+    shared = (F.col("n") > 0) & F.col("low").isNotNull()
+    stays = ~shared | (F.col("id").eqNullSafe(F.col("low.id")) & (F.col("th") == F.col("low.th")))
+    return out.select("id", "th", F.when(shared, F.col("low.id")).otherwise(F.col("id")).alias("class_id"), stays.alias("stays"))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and class_id of each row of docs."""
+    return members(docs, threshold, id_col, text_col).select("id", "class_id")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,9 +11,7 @@ import numpy as np
 SIZE = 5
 BITS = 54
 _B = np.uint64(0x9E3779B97F4A7C15)
-_B_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MULTIPLIERS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,16 +21,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        n = max(n, 1 << 16)
-        for i, base in enumerate((_B, _B_INVERSE)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _powers[i] = np.multiply.accumulate(p)
-    return _powers
-
-
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each word of all texts, and the text that it belongs to."""
     raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
@@ -44,10 +32,15 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(np.concatenate([[1], space.view(np.int8)])))
     starts, ends = edge[::2], edge[1::2]  # the text ends with a space, so words begin and end in turn
     ends = ends[: len(starts)]
-    power, inverse = _power(len(b) + 1)
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)], out=sums[1:])
-    h = mix((sums[ends] - sums[starts]) * inverse[starts])
+    if not len(starts):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    sizes = ends - starts
+    begin = np.cumsum(sizes) - sizes
+    power = np.full(sizes.max(), _B, np.uint64)
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    place = np.arange(sizes.sum()) - np.repeat(begin, sizes)  # of each byte in its word
+    h = mix(np.add.reduceat((b[~space].astype(np.uint64) + np.uint64(1)) * power[place], begin))
     of = np.searchsorted(np.cumsum(lengths), starts, side="right")
     return h, of
 

@@ -47,8 +47,9 @@ def cloud(n, words, edits, seed):
 @pytest.mark.parametrize("small", [24, 3])
 def test_clouds_of_copies_match_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(N, "SMALL", small)
-    monkeypatch.setattr(N, "ASKING", 5)
-    monkeypatch.setattr(N, "ASKED", 7)
+    monkeypatch.setattr(N, "ASKING", 500)
+    monkeypatch.setattr(N, "ASKED", 800)
+    monkeypatch.setattr(N, "MATCHES", 64)
     texts = cloud(60, 120, 5, 1) + cloud(30, 80, 3, 2) + cloud(10, 200, 2, 3)
     rows = [(i, t, "en") for i, t in enumerate(texts)]
     got = {r["id"]: r["class_id"] for r in N.classes(spark.createDataFrame(rows, SCHEMA)).collect()}
