@@ -3,12 +3,13 @@
 Every language has a zstandard raw-content dictionary: pieces of a bounded number of labelled documents (PIECES pieces
 of PIECE_CHARS characters; a hash of the id chooses the documents and where a piece begins). A text is lower-cased, freed of ASCII signs and
 digits and cut into blocks; all its blocks are compressed with each dictionary, and the language with the smallest sum
-wins. The margin is the saving against the second; where it is narrower than min_margin the operator marks the text as
-rejected, unless the text is too short to tell (LEAST_BYTES). Of tied languages the one with more labelled documents comes first.
+wins. The margin is the saving against the second, as a share of the second's size; where the bytes saved are fewer than
+min_margin of that size by more than what rounding to whole bytes can hide (ROUNDING), the text is marked as rejected.
 
 Defined cases: a null or empty text, or one without letters, is `und` with score 0 and rejected; null languages and
-null ids aren't learned from; with no labelled document every text is `und`; repeated rows are judged alike; an empty
-table gives an empty result; columns that aren't named stay as they are in classify.
+null ids aren't learned from; with no labelled document every text is `und`; of tied languages the one with more
+labelled documents comes first; repeated rows are judged alike; texts of any length are compressed whole, block by
+block; an empty table gives an empty result; columns that aren't named stay as they are in classify.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_batches, table
 
 PIECES, PIECE_CHARS = 256, 512
 LEVEL, BLOCK = 6, 2048
 MIN_MARGIN = 0.002
-#: A text of fewer bytes hardly compresses; its margin says nothing and rejects nothing.
-LEAST_BYTES = 64
+#: Bytes of a difference of sizes that rounding can hide.
+ROUNDING = 0.5
 _SIGNS = bytes(c for c in range(128) if not chr(c).isalpha() and c not in b" \n")
 _LETTER = regex.compile(r"\p{L}")
 
@@ -57,24 +58,25 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 class Classifier:
-    def __init__(self, dictionaries: dict[str, bytes]):
-        self.by = []
+    def __init__(self, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN):
+        self.by, self.min_margin = [], min_margin
         for lang, raw in dictionaries.items():
             d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
             self.by.append((lang, zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)))
 
-    def __call__(self, text: str | None) -> tuple[str, float, float, int]:
-        """Language, score, margin and bytes judged."""
+    def __call__(self, text: str | None) -> tuple[str, float, float, bool]:
+        """Language, score, margin and whether the text is rejected."""
         if not text or not self.by or not _LETTER.search(text):
-            return "und", 0.0, 0.0, 0
+            return "und", 0.0, 0.0, True
         raw = plain(text)
         blocks = [raw[i : i + BLOCK] for i in range(0, max(1, len(raw)), BLOCK)]
         sizes = [(sum(len(c.compress(b)) for b in blocks), k, lang) for k, (lang, c) in enumerate(self.by)]
         best, *rest = sorted(sizes)
         margin = (rest[0][0] - best[0]) / rest[0][0] if rest else 1.0
         score = 1 / sum(math.exp(-25 * (s - best[0]) / best[0]) for s, *_ in sizes)
-        return best[2], score, margin, len(raw)
+        narrow = bool(rest) and rest[0][0] - best[0] < self.min_margin * rest[0][0] - ROUNDING
+        return best[2], score, margin, narrow
 
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN, text_col: str = "text", prefix: str = "lang_") -> DataFrame:
@@ -83,15 +85,14 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
     docs = docs.drop(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Classifier(dictionaries)
+        judge = Classifier(dictionaries, min_margin)
         for b in batches:
             got = [judge(t.as_py()) for t in b.column(text_col)]
-            more = [pa.array([g[i] for g in got], k) for i, k in enumerate((pa.string(), pa.float64(), pa.float64()))]
-            rejected = pa.array([g[0] == "und" or (g[2] < min_margin and g[3] >= LEAST_BYTES) for g in got], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*b.columns, *more, rejected], names=[*b.schema.names, *names])
+            more = [pa.array([g[i] for g in got], k) for i, k in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, *names])
 
     kinds = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *(f"`{n}` {k}" for n, k in zip(names, ("string", "double", "double", "boolean")))]
-    return docs.mapInArrow(run, ", ".join(kinds))
+    return map_batches(docs, run, ", ".join(kinds))
 
 
 def fold(id_col: str, of: int) -> Column:
