@@ -1,17 +1,21 @@
 """Benchmark decontamination in DataFrame functions only.
 
 A window of a document is as long as a benchmark item, in words, and stands where the document shares a five-word
-shingle with an item: any window with a shingle similarity above 0 does, so none is lost. A 64-bit SimHash of its words
-must lie within RADIUS of the fingerprint of an item of that length. The multi-index cuts fingerprints into RADIUS + 1
-blocks; two fingerprints within the radius agree in one block at least, so a join by (length, block, value) finds all
-of them. Candidates are verified by the weighted Jaccard similarity of their shingles, at least 0.8.
+shingle with an item: any window with a shingle similarity above 0 does, so none is lost. A SimHash of its words, BITS
+long, must lie within RADIUS of the fingerprint of an item of that length. The multi-index cuts fingerprints into BLOCKS
+blocks of 16 bits; two fingerprints within the radius differ by NEAR bits at most in one block at least, so a join of a
+window's blocks with all values that are as near to an item's blocks, by (length, block, value), finds all of them. An
+unrelated pair meets in a given block with probability 697 / 65536. At a similarity of 0.8 words agree to a cosine of
+0.89, so fingerprints differ in 38 bits of 256 on average with a deviation of 6; the radius is 4 deviations beyond.
+Candidates are verified by the weighted Jaccard similarity of their shingles, at least 0.8.
 
 Words are what stands between ASCII white space, lower-cased. The benchmark's shingles are broadcast up to
 BROADCAST_ROWS rows (checked) and joined by a shuffle beyond.
 
 Defined cases: null and empty texts have no window; items of fewer than five words have no shingle and match nothing;
 windows are clipped at the ends of a text; rows with the same id and text give one result; of windows with the same
-similarity the first is returned; empty tables give an empty result; other columns are neither read nor changed.
+similarity the first is returned; texts of any length are searched whole; empty tables give an empty result; other
+columns are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -22,10 +26,11 @@ from pyspark.sql import functions as F
 from .common import SPACE_RE, cut, free, table, text_or_empty
 
 SIZE = 5
-RADIUS = 15
-THRESHOLD = 0.8
+BITS, RADIUS, THRESHOLD = 256, 63, 0.8
+_LONGS, BLOCKS = BITS // 64, BITS // 16
+#: Bits in which the nearest block of two fingerprints within the radius differs at most.
+NEAR = RADIUS // BLOCKS
 BROADCAST_ROWS = 1_000_000
-_WIDTH = 64 // (RADIUS + 1)
 
 
 def _words(text_col: str) -> Column:
@@ -41,20 +46,35 @@ def _shingles(words: Column) -> Column:
 
 
 def _simhash(words: Column) -> Column:
-    """Bit b is set if most words' hashes have it set."""
-    bit = lambda b: F.aggregate(words, F.lit(0), lambda n, h: n + F.when(F.expr("0L") == F.call_function("shiftright", h, b).bitwiseAND(F.lit(1)), -1).otherwise(1)) > 0
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda f, b: F.when(bit(b), f.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))).otherwise(f))
+    """Longs of 64 bits each; a bit is set if most words' hashes have it set."""
+
+    def one(hashes: Column) -> Column:
+        bit = lambda b: F.aggregate(hashes, F.lit(0), lambda n, h: n + F.when(F.expr("0L") == F.call_function("shiftright", h, b).bitwiseAND(F.lit(1)), -1).otherwise(1)) > 0
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda f, b: F.when(bit(b), f.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))).otherwise(f))
+
+    return F.array(*[one(F.transform(words, lambda h: F.xxhash64(h, F.lit(k)))) for k in range(_LONGS)])
 
 
 def _blocks(fingerprint: Column) -> Column:
     """(block, value) of each block of a fingerprint."""
-    mask = (1 << _WIDTH) - 1
-    return F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(fingerprint, k * _WIDTH).bitwiseAND(F.lit(mask)).alias("value")) for k in range(RADIUS + 1)])
+    value = lambda k: F.shiftrightunsigned(F.get(fingerprint, k // 4), k % 4 * 16).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    return F.array(*[F.struct(F.lit(k).alias("block"), value(k).alias("value")) for k in range(BLOCKS)])
+
+
+def _distance(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.get(F.col(a), k).bitwiseXOR(F.get(F.col(b), k))) for k in range(_LONGS)), F.lit(0))
 
 
 def _numbered(shingles: Column) -> Column:
-    """Each shingle with the number of equal ones before it: sets of these have the similarity of the multisets."""
-    return F.transform(shingles, lambda s, i: F.struct(s.alias("s"), F.size(F.filter(F.slice(shingles, 1, i), lambda x: x == s)).alias("k")))
+    """Hashes of each shingle with the number of equal ones before it: sets of these have the similarity of the
+    multisets."""
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).alias("k"), F.array().cast("array<bigint>").alias("out"))
+
+    def add(acc: Column, s: Column) -> Column:
+        k = F.when(acc["last"] == s, acc["k"] + 1).otherwise(0)
+        return F.struct(s.alias("last"), k.alias("k"), F.concat(acc["out"], F.array(F.xxhash64(s, k))).alias("out"))
+
+    return F.aggregate(F.array_sort(shingles), start, add, lambda acc: acc["out"])
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -78,11 +98,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     windows = found.select("id", "th", F.explode("at").alias("a"), "w").select("id", "th", "a.start", "a.len", F.slice("w", F.col("a.start") + 1, F.col("a.len")).alias("w"))
     marked = cut(windows.select("id", "th", "start", "len", F.size("w").alias("n_words"), _simhash(F.col("w")).alias("wfp"), _numbered(_shingles(F.col("w"))).alias("ws")), "windows")
 
-    index = prints.select("item_id", "len", "fp", F.explode(_blocks(F.col("fp"))).alias("b")).select("item_id", "len", "fp", "b.block", "b.value")
+    masks = F.lit([m for m in range(1 << 16) if m.bit_count() <= NEAR])  # a block's neighbours differ from it by these
+    blocks = prints.select("item_id", "len", F.explode(_blocks(F.col("fp"))).alias("b"), masks.alias("masks"))
+    index = blocks.select("item_id", "len", "b.block", F.col("b.value").alias("v"), F.explode("masks").alias("m")).select("item_id", "len", "block", F.col("v").bitwiseXOR(F.col("m")).alias("value"))
     probes = marked.select("id", "th", "start", "len", "wfp", F.explode(_blocks(F.col("wfp"))).alias("b")).select("id", "th", "start", "len", "wfp", "b.block", "b.value")
+    met = probes.join(index.hint("merge"), ["len", "block", "value"]).drop("block", "value").distinct()  # the index is larger than its source tells
     near = (
-        probes.join(_small(index), ["len", "block", "value"])
-        .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("wfp"))) <= RADIUS)
+        met.join(_small(prints.select("item_id", "fp")), "item_id")
+        .where(_distance("fp", "wfp") <= RADIUS)
         .select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("start").alias("_start"), F.col("len").alias("_len"), "item_id").distinct()
     )
     on = F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")) & (F.col("start") == F.col("_start")) & (F.col("len") == F.col("_len"))
