@@ -5,8 +5,8 @@ columns; the last returns the digests of the encoded texts. A stage's output is
 the input of the next.
 
 Defined cases: rows with a null text have no language and go in the first stage; texts without words are never near
-copies; where rows share one id, the near-dedup stage keeps the first by text; an empty table passes through all
-stages; columns beyond those of documents, whatever
+copies; rows that share one id, or have none, are told apart by their texts; of rows equal in id and text one stays;
+texts of any length pass whole; an empty table passes through all stages; columns beyond those of documents, whatever
 their names, pass through all stages but the last.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqforge.llm import bpe, decontamination, language_id, line_dedup, near_dedup
-from seqforge.llm.common import cut, free, table
+from seqforge.llm.common import cut, free, table, text_or_empty
 
 #: Ids broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -45,18 +45,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near-duplicates, the one with the smallest id."""
-    found = cut(near_dedup.classes(docs), "classes")
-    own, rank = free(docs, "_id", "_rank")
-    gone = found.where("id <> class_id").select(F.col("id").alias(own)).distinct()
+    """Keeps one document of each class of near-duplicates, the one with the smallest id. Rows are told apart by id and
+    text; of rows that are equal in both, one stays."""
+    own, th, at, rank = free(docs, "_id", "_th", "_at", "_rank")
+    found = cut(near_dedup.members(docs).select(F.col("id").alias(own), F.col("th").alias(th), "stays"), "members")
+    marked = docs.withColumn(at, F.xxhash64(text_or_empty("text")))
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(at) == F.col(th))
+    gone = found.where(~F.col("stays")).select(own, th).distinct()
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, F.col("doc_id") == F.col(own), "left_anti")
-    twice = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL")
-    if not twice.isEmpty():  # rows that share an id
-        first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-        kept = kept.withColumn(rank, first).where((F.col(rank) == 1) | F.col("doc_id").isNull()).drop(rank)
-    return kept
+    kept = marked.join(gone, same, "left_anti")
+    twice = found.groupBy(own, th).count().where("count > 1")
+    if not twice.isEmpty():  # rows equal in id and text
+        kept = kept.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id", at).orderBy(F.lit(0)))).where((F.col(rank) == 1) | ~text_or_empty("text").rlike(r"[^ \t\n\x0B\f\r]")).drop(rank)
+    return kept.select(_columns(docs))
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
