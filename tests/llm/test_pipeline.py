@@ -22,8 +22,7 @@ def test_against_a_plain_version(spark):
     judge = language_id.Classifier(language_id.fit(docs))
     rows = []
     for r in docs.select("doc_id", "text").collect():
-        lang, _, margin, size = judge(r["text"])
-        if lang != "und" and not (margin < language_id.MIN_MARGIN and size >= language_id.LEAST_BYTES):
+        if not judge(r["text"])[3]:
             rows.append((r["doc_id"], r["text"]))
     lines = brute_lines(rows, 10)
     rows = [(i, lines[(i, t)]) for i, t in rows]
@@ -61,3 +60,16 @@ def test_edges(spark, tmp_path):
             ids[r["doc_id"]] += 1
         assert set(ids) <= {1, 6, 7, None} and (some is docs) == bool(ids)
         assert ids[2] == ids[3] == ids[4] == ids[5] == 0
+        assert some is not docs or ids[7] == 2  # two texts under one id
+
+
+def test_rows_that_share_ids(spark, tmp_path):
+    """Of near copies one stays, whatever their ids; other texts under the same id, or none, stay."""
+    words = [f"w{k}" for k in range(400)]
+    copy = lambda k: " ".join(words[:60] + [f"x{k}"])
+    rows = [(1, copy(1)), (1, copy(2)), (None, copy(3)), (1, " ".join(words[100:160])), (None, " ".join(words[200:260])), (None, " ".join(words[300:360])), (None, " ".join(words[300:360])), (8, "\n"), (8, "\n")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in P.near_copies(spark, docs, "").collect()), key=str)
+    (one,) = [t for i, t in got if t.startswith("w0 ")]
+    assert one in (copy(1), copy(2))
+    assert got == sorted([(1, one), *rows[3:6], *rows[7:]], key=str)
