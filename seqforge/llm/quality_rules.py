@@ -2,12 +2,13 @@
 
 Each document gets counts of its words, symbols and repetitions. Ratios of these counts go, by language and source,
 into mergeable KLL quantile sketches; sketches of small sources are merged into those of their language, and these
-into one of all documents. A document fails a rule if its ratio lies beyond the fence upper quartile + spread x
-interquartile range of its own group, and beyond a floor under which no value is odd. The thresholds are a few rows
-a (language, source) pair and join the documents by that pair.
+into one of all documents. A document fails a rule if its ratio lies beyond the threshold of its group: upper quartile
++ SPREAD x interquartile range or, where the middle half of the group has one value (most have no symbol at all), the
+quantile TAIL. No threshold is fixed. They are a few rows a (language, source) pair and join the documents by that pair.
 
 Defined cases: a null or empty text has no words and fails the base; null languages and sources form groups of their
-own; repeated rows are judged alike; an empty table gives an empty result; other columns are not read.
+own; a ratio equal to the threshold passes, so a group of equal ratios fails nowhere; repeated rows are judged alike;
+texts of any length are counted whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -16,22 +17,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import chunks, cut, map_batches, table
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
-#: Ratio, its numerator and denominator, and the floor below which no fence lies.
+#: Ratio, its numerator and denominator.
 RULES = [
-    ("symbol_ratio", "n_symbols", "word_chars", 0.05),
-    ("dup_line_ratio", "n_dup_lines", "n_lines", 0.3),
-    ("repeat_ratio", "n_repeat_words", "n_words", 0.1),
-    ("upper_ratio", "n_upper", "word_chars", 0.3),
-    ("word_length", "word_chars", "n_words", 15.0),
+    ("symbol_ratio", "n_symbols", "word_chars"),
+    ("dup_line_ratio", "n_dup_lines", "n_lines"),
+    ("repeat_ratio", "n_repeat_words", "n_words"),
+    ("upper_ratio", "n_upper", "word_chars"),
+    ("word_length", "word_chars", "n_words"),
 ]
+SPREAD, TAIL = 6.0, 0.99
+#: Documents below which a group takes the sketch of its language, and a language that of all.
+LEAST = 200
+#: Accuracy of the sketches: ranks err by about 0.003.
+SKETCH_K = 1000
 
 
 def repeated_words(words: list[bytes], size: int = 5) -> int:
@@ -76,7 +82,7 @@ def document_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     others = [f for f in docs.schema.fields if f.name != text_col]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in chunks(batches, text_col):
             got = np.array([counts_of(t.as_py()) for t in b.column(text_col)], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays(
                 [b.column(f.name) for f in others] + [pa.array(got[:, i]) for i in range(len(COUNTS))],
@@ -84,42 +90,40 @@ def document_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             )
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + [f"{c} long" for c in COUNTS])
-    return docs.mapInArrow(count, schema)
+    return map_batches(docs, count, schema)
 
 
-def _ratios():
-    return [F.when(F.col(d) > 0, F.col(n) / F.col(d)).otherwise(0.0).alias(r) for r, n, d, _ in RULES]
+def ratio(n: str, d: str) -> Column:
+    return F.when(F.col(d) > 0, F.col(n) / F.col(d)).otherwise(0.0)
 
 
-def thresholds(counts: DataFrame, spread: float = 6.0, least: int = 200) -> DataFrame:
+def thresholds(counts: DataFrame, spread: float = SPREAD, tail: float = TAIL, least: int = LEAST) -> DataFrame:
     """A row for each (lang, source) with max_<ratio>: groups of under least documents use the sketch of their
     language, languages of under least documents that of all documents."""
-    base = counts.where("n_words >= 10").select("lang", "source", *_ratios())
+    base = counts.where("n_words >= 10").select("lang", "source", *[ratio(n, d).alias(r) for r, n, d in RULES])
     names = [r for r, *_ in RULES]
-    own = base.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(r).alias(r) for r in names])
-    merged = lambda df: [F.sum("n").alias("n"), *[F.kll_merge_agg_double(r).alias(r) for r in names]]
-    by_lang = own.groupBy("lang").agg(*merged(own))
-    whole = own.agg(*merged(own))
+    own = base.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(r, SKETCH_K).alias(r) for r in names])
+    merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(r, SKETCH_K).alias(r) for r in names]]
+    by_lang = own.groupBy("lang").agg(*merged)
+    whole = own.agg(*merged)
     a, b, c = own.alias("a"), by_lang.alias("b"), whole.alias("c")
     joined = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang"))).join(F.broadcast(c))  # c is one row
 
-    def fence(r: str, floor: float):
+    def limit(r: str) -> Column:
         sketch = F.when(F.col("a.n") >= least, F.col(f"a.{r}")).when(F.col("b.n") >= least, F.col(f"b.{r}")).otherwise(F.col(f"c.{r}"))
-        q1, q3 = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
-        return F.greatest(F.lit(floor), q3 + spread * (q3 - q1)).alias(f"max_{r}")
+        q1, q3, far = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75, tail))
+        return F.when(q3 > q1, q3 + spread * (q3 - q1)).otherwise(far).alias(f"max_{r}")
 
-    return joined.select(F.col("a.lang").alias("lang"), F.col("a.source").alias("source"), *[fence(r, floor) for r, _, _, floor in RULES])
+    return joined.select(F.col("a.lang").alias("lang"), F.col("a.source").alias("source"), *[limit(r) for r in names])
 
 
-def judged(docs: DataFrame, spread: float = 6.0) -> DataFrame:
+def judged(docs: DataFrame, spread: float = SPREAD, tail: float = TAIL) -> DataFrame:
     """doc_id, COUNTS, base_failed, kept and the first rule that failed (null: none)."""
-    from .common import cut
-
     counts = cut(document_counts(docs.select("doc_id", "text", "lang", "source")), "counts")
-    limits = thresholds(counts, spread).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    limits = thresholds(counts, spread, tail).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
-    rule = F.coalesce(*[F.when(F.when(F.col(d) > 0, F.col(n) / F.col(d)).otherwise(0.0) > F.col(f"max_{r}"), F.lit(r)) for r, n, d, _ in RULES])
+    rule = F.coalesce(*[F.when(ratio(n, d) > F.col(f"max_{r}"), F.lit(r)) for r, n, d in RULES])
     return (
         counts.join(limits, same, "left")
         .withColumn("base_failed", failed)

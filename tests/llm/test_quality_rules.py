@@ -60,3 +60,44 @@ def test_thresholds_follow_the_data(spark):
     assert all(got[i]["kept"] for i in range(400))
     assert sum(got[1000 + i]["kept"] for i in range(400)) >= 395
     assert not got[5000]["kept"] and got[5000]["failed_rule"] == "symbol_ratio"
+
+
+def test_against_plain_quantiles(spark):
+    """Thresholds and verdicts of every rule, from sorted values; groups this small have exact sketches."""
+    rnd = random.Random(11)
+    vocabulary = [rnd.choice(["", "X", "#"]) * (rnd.random() < 0.1) + "ab" * rnd.randrange(1, 5) + str(k) for k in range(300)]
+    rows = []
+    for lang, source, n in (("en", "web", 400), ("en", "code", 300), ("en", "rare", 30), ("fr", "web", 250), ("de", "web", 20), (None, None, 15)):
+        for _ in range(n):
+            lines = [" ".join(rnd.choice(vocabulary) for _ in range(rnd.randrange(4, 12))) for _ in range(rnd.randrange(2, 9))]
+            if rnd.random() < 0.1:
+                lines += lines[:1] * rnd.randrange(1, 3)
+            rows.append((len(rows), "\n".join(lines), lang, source))
+    ratios, groups = {}, {}
+    for i, t, lang, source in rows:
+        c = dict(zip(Q.COUNTS, Q.counts_of(t)))
+        failed = c["n_words"] < 10 or 100 * c["n_repeat_words"] > 20 * c["n_words"]
+        ratios[i] = (failed, {r: c[n] / c[d] if c[d] else 0.0 for r, n, d in Q.RULES})
+        if c["n_words"] >= 10:
+            for key in ((lang, source), (lang, "any"), "all"):
+                groups.setdefault(key, []).append(i)
+    at = lambda x, q: x[max(0, -int(-q * len(x) // 1) - 1)]
+    want = {}
+    for i, _, lang, source in rows:
+        mine = next(g for key in ((lang, source), (lang, "any"), "all") if len(g := groups.get(key, [])) >= Q.LEAST or key == "all")
+        first = None
+        for r, *_ in Q.RULES:
+            x = sorted(ratios[k][1][r] for k in mine)
+            q1, q3 = at(x, 0.25), at(x, 0.75)
+            limit = q3 + Q.SPREAD * (q3 - q1) if q3 > q1 else at(x, Q.TAIL)
+            first = first or (r if ratios[i][1][r] > limit else None)
+        want[i] = (not ratios[i][0] and first is None, first)
+    got = {r["doc_id"]: (r["kept"], r["failed_rule"]) for r in Q.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got == want
+    assert len({rule for _, rule in want.values()}) >= 3
+
+
+def test_ties_at_the_threshold_pass(spark):
+    """A group whose ratios are all equal fails no rule."""
+    rows = [(i, "one two three four five six seven eight nine ten eleven #", "en", "s") for i in range(250)]
+    assert all(r["kept"] for r in Q.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect())
