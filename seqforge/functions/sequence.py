@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import batches
+
 PHRED = 33
 
 
@@ -63,8 +67,27 @@ def array_sum(a: Column) -> Column:
 
 
 def mean_quality(qual: Column | str, phred: int = PHRED) -> Column:
-    q = _c(qual)
-    return F.when(F.length(q) > 0, array_sum(qualities(q, phred)) / F.length(q))
+    """Null for an empty string. Batches of strings are summed as one array."""
+
+    @F.arrow_udf("double")
+    def mean(q: pa.Array) -> pa.Array:
+        data, at = batches.flat(q)
+        n = np.diff(at)
+        return pa.array(batches.sums(data, at[:-1], at[1:]) / np.maximum(n, 1) - phred, mask=n == 0)
+
+    return mean(_c(qual))
+
+
+def out_of_range(qual: Column | str, low: float, high: float, phred: int = PHRED) -> Column:
+    """How many qualities are below low or above high."""
+
+    @F.arrow_udf("long")
+    def count(q: pa.Array) -> pa.Array:
+        data, at = batches.flat(q)
+        value = data.astype(np.int64) - phred
+        return pa.array(batches.sums((value < low) | (value > high), at[:-1], at[1:]))
+
+    return count(_c(qual))
 
 
 def first_token(name: Column | str) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import batches
 from ..functions import sequence as S
 
 Range = tuple[float, float]
@@ -41,8 +45,7 @@ def passes(f: ReadFilter) -> Column:
     ok = _between(n, f.length) & (S.count_of("seq", "N") <= f.max_n)
     if f.quality != ANY:
         ok &= _between(S.mean_quality(q, f.phred), f.quality)
-        out = F.size(F.filter(S.qualities(q, f.phred), lambda x: ~_between(x, f.quality)))
-        ok &= out <= f.max_out_of_quality
+        ok &= S.out_of_range(q, *f.quality, f.phred) <= f.max_out_of_quality
     if f.left_length:
         ok &= _between(S.mean_quality(F.substring(q, 1, f.left_length), f.phred), f.left_quality)
     if f.right_length:
@@ -61,10 +64,12 @@ def split_counts(filtered: DataFrame) -> DataFrame:
 
 def trim_reads(reads: DataFrame, left_length: int, left_quality: Range, right_length: int, right_quality: Range, phred: int = S.PHRED) -> DataFrame:
     """Cut bases from the left end while their quality is out of range, at most left_length; likewise at the right."""
-    q, n = S.qualities("qual", phred), F.length("seq")
-    good_left = F.array_position(F.transform(F.slice(q, 1, left_length), lambda x: _between(x, left_quality).cast("int")), 1) if left_length else F.lit(1)
+    n = F.length("seq")
+    ends = lambda text: S.qualities(text, phred)
+    head = ends(F.substring("qual", 1, left_length))
+    good_left = F.array_position(F.transform(head, lambda x: _between(x, left_quality).cast("int")), 1) if left_length else F.lit(1)
     cut_left = F.when(F.lit(left_length) == 0, 0).when(good_left > 0, good_left - 1).otherwise(F.least(F.lit(left_length), n))
-    tail = F.slice(F.reverse(q), 1, max(1, right_length))
+    tail = F.reverse(ends(F.substring("qual", -max(1, right_length), max(1, right_length))))
     good_right = F.array_position(F.transform(tail, lambda x: _between(x, right_quality).cast("int")), 1)
     cut_right = F.when(F.lit(right_length) == 0, 0).when(good_right > 0, good_right - 1).otherwise(F.least(F.lit(right_length), n))
     kept = F.greatest(n - F.col("_l") - F.col("_r"), F.lit(0))
@@ -169,15 +174,64 @@ def bases(reads: DataFrame) -> DataFrame:
     )
 
 
+def _by_position(reads: DataFrame, column: str, tally: Callable[[np.ndarray, np.ndarray], np.ndarray], names: list[str]) -> DataFrame:
+    """pos (from 1) and sums: each task adds up tables of positions x names that tally makes of places and bytes."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((0, len(names)), np.int64)
+        for b in it:
+            data, at = batches.flat(b.column(0))
+            if len(data):
+                total = batches.added(total, tally(batches.places(at), data))
+        if len(total):
+            yield batches.table({"pos": np.arange(1, len(total) + 1), **{n: total[:, k].copy() for k, n in enumerate(names)}})
+
+    parts = reads.select(column).mapInArrow(run, ", ".join(["pos long", *(f"{n} long" for n in names)]))
+    return parts.groupBy("pos").agg(*[F.sum(n).alias(n) for n in names])
+
+
 def position_quality(reads: DataFrame, phred: int = S.PHRED) -> DataFrame:
-    return bases(reads).groupBy("pos").agg(F.count("*").alias("n"), F.sum("q").alias("sum_q")).withColumn("mean_quality", F.col("sum_q") / F.col("n") - phred)
+    """pos, n, sum_q (ASCII) and mean_quality; qual has a character for each base."""
+
+    def tally(place: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(place), np.bincount(place, q).astype(np.int64)], axis=1)
+
+    return _by_position(reads, "qual", tally, ["n", "sum_q"]).withColumn("mean_quality", F.col("sum_q") / F.col("n") - phred)
 
 
 def position_bases(reads: DataFrame) -> DataFrame:
-    counted = bases(reads).groupBy("pos").agg(F.count("*").alias("n"), *[F.count_if(F.col("base") == b).alias(f"n_{b.lower()}") for b in "ATGCN"])
+    kind = np.full(256, 5)
+    kind[np.frombuffer(b"ATGCN", np.uint8)] = np.arange(5)
+
+    def tally(place: np.ndarray, base: np.ndarray) -> np.ndarray:
+        by = np.bincount(place * 6 + kind[base], minlength=6 * (int(place.max()) + 1)).reshape(-1, 6)
+        return np.column_stack([by.sum(axis=1), by[:, :5]])
+
+    counted = _by_position(reads, "seq", tally, ["n", *(f"n_{b}" for b in "atgcn")])
     return counted.select("*", *[(100.0 * F.col(f"n_{b}") / F.col("n")).alias(f"pct_{b}") for b in "atgcn"])
 
 
+def dinucleotides(reads: DataFrame) -> DataFrame:
+    """dinuc (0 to 15 in the order A, G, C, T of a base and the one before it; 16 without a pair of these) and n."""
+    code = np.full(256, 4)
+    code[np.frombuffer(b"AGCT", np.uint8)] = np.arange(4)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(17, np.int64)
+        for b in it:
+            total += np.bincount(pair_codes(*batches.flat(b.column(0)), code), minlength=17)
+        yield batches.table({"dinuc": np.arange(17), "n": total})
+
+    return reads.select("seq").mapInArrow(run, "dinuc long, n long").groupBy("dinuc").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def pair_codes(bases: np.ndarray, at: np.ndarray, code: np.ndarray) -> np.ndarray:
+    own = code[bases]
+    before = np.concatenate([[4], own[:-1]])[: len(own)]
+    before[at[:-1][at[:-1] < len(own)]] = 4
+    return np.where((own < 4) & (before < 4), 4 * before + own, 16)
+
+
 def position_gc(reads: DataFrame, least: float = 1.0) -> DataFrame:
     gc = 100.0 * (F.col("n_g") + F.col("n_c")) / F.col("n")
     return position_bases(reads).select("pos", gc.alias("gc")).where(F.col("gc") > least)
@@ -189,13 +243,36 @@ def _kmers(reads: DataFrame, k: int) -> DataFrame:
     return words.where(~F.col("kmer").contains("N"))
 
 
+def _kmer_sums(reads: DataFrame, k: int) -> DataFrame:
+    """kmer and n of the k-mers without N (k up to 31): codes are counted batch by batch, then summed."""
+    code = np.full(256, -1)
+    code[np.frombuffer(b"ACGT", np.uint8)] = np.arange(4)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            data, at = batches.flat(b.column(0))
+            n = len(data) - k + 1
+            if n <= 0:
+                continue
+            digit = code[data]
+            word, ok = np.zeros(n, np.int64), batches.places(at)[k - 1 :] >= k - 1
+            for i in range(k):
+                word = word * 4 + digit[i : i + n]
+                ok &= digit[i : i + n] >= 0
+            found, count = np.unique(word[ok], return_counts=True)
+            letters = np.frombuffer(b"ACGT", np.uint8)[(found[:, None] >> np.arange(2 * k - 2, -1, -2)) & 3]
+            yield pa.RecordBatch.from_arrays([batches.strings(letters.ravel(), np.arange(len(found) + 1) * k), pa.array(count)], names=["kmer", "n"])
+
+    return reads.select("seq").mapInArrow(run, "kmer string, n long").groupBy("kmer").agg(F.sum("n").alias("n"))
+
+
 def kmer_counts(reads: DataFrame, k: int = 5) -> DataFrame:
     """All 4^k k-mers with their counts, zero included."""
     letters = F.array(*[F.lit(b) for b in "ACGT"])
     domain = reads.sparkSession.range(1).select(F.lit("").alias("kmer"))
     for _ in range(k):
         domain = domain.select("kmer", F.explode(letters).alias("b")).select(F.concat("kmer", "b").alias("kmer"))
-    return domain.join(_kmers(reads, k).groupBy("kmer").agg(F.count("*").alias("n")), "kmer", "left").na.fill(0, ["n"])
+    return domain.join(_kmer_sums(reads, k), "kmer", "left").na.fill(0, ["n"])
 
 
 def top_kmers(reads: DataFrame, k: int = 5, top: int = 20) -> DataFrame:

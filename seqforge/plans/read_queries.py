@@ -63,16 +63,16 @@ s AS (SELECT read_id, seq, length(seq) - 18 AS last, greatest(length(seq) // 20,
 p AS (SELECT read_id, seq, CAST(unnest(range(0, last, step)) AS BIGINT) AS read_pos FROM s UNION ALL SELECT read_id, seq, CAST(last AS BIGINT) FROM s WHERE last % step <> 0)
 SELECT read_id, read_pos, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(substr(seq, read_pos + 1, 18), ''), lambda b: CAST(CASE b WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 0 END AS BIGINT))), lambda x, y: x * 4 + y) AS kmer FROM p""")
 def seed_positions(spark, d):
-    return R.seeds(V.reads(spark, d)).select("read_id", F.col("read_pos").cast("long").alias("read_pos"), "kmer")
+    return R.seeds(V.sequences(spark, d)).select("read_id", F.col("read_pos").cast("long").alias("read_pos"), "kmer")
 
 
 @query("PJ1_revcomp", V.duck("reads") + " SELECT read_id, reverse(translate(seq, 'ACGTN', 'TGCAN')) AS seq FROM reads")
 def revcomp(spark, d):
-    return V.reads(spark, d).select("read_id", S.revcomp("seq").alias("seq"))
+    return V.sequences(spark, d).select("read_id", S.revcomp("seq").alias("seq"))
 
 
 @query("X03_hamming", V.duck("bases") + """ SELECT a.read_id, count(*) FILTER (a.base <> b.base) AS mism, CAST(coalesce(sum(a.a - 33) FILTER (a.base <> b.base), 0) AS BIGINT) AS weighted, min(a.pos) FILTER (a.base <> b.base) - 1 AS prefix
-  FROM bases a JOIN bases b ON b.read_id = a.read_id AND b.pos = a.pos + 1 GROUP BY 1""")
+  FROM bases a LEFT JOIN bases b ON b.read_id = a.read_id AND b.pos = a.pos + 1 GROUP BY 1""")
 def hamming(spark, d):
     r = V.reads(spark, d).withColumn("t", F.expr("substring(seq, 2)"))
     p = S.common_prefix("seq", "t")
@@ -81,9 +81,7 @@ def hamming(spark, d):
 
 @query("B03_dinucleotide", V.duck("bases") + """ SELECT dinuc, count(*) AS n FROM (SELECT CASE WHEN prev IN ('A','C','G','T') AND base IN ('A','C','G','T') THEN 4 * (instr('AGCT', prev) - 1) + instr('AGCT', base) - 1 ELSE 16 END AS dinuc FROM bases) GROUP BY 1""")
 def dinucleotide(spark, d):
-    b = V.reads(spark, d).select("seq", F.explode(F.sequence(F.lit(1), F.length("seq"))).alias("i"))
-    prev = F.expr("CASE WHEN i > 1 THEN substring(seq, i - 1, 1) ELSE '' END")
-    return b.select(S.dinucleotide(prev, F.expr("substring(seq, i, 1)")).alias("dinuc")).groupBy("dinuc").agg(F.count("*").alias("n"))
+    return R.dinucleotides(V.sequences(spark, d))
 
 
 @query("G01_fastq_scalar", V.duck("bases") + f""" SELECT count(*) AS num_reads, min(length(seq)) AS min_length, max(length(seq)) AS max_length, avg(length(seq)) AS mean_length, round((SELECT avg(mq) FROM {_MEAN}), 6) AS mean_quality,
@@ -96,7 +94,7 @@ def fastq_scalar(spark, d):
 
 @query("G02_length_histogram", V.duck("reads") + " SELECT l AS length, count(read_id) AS n FROM (SELECT unnest(range(1, (SELECT max(length(seq)) + 1 FROM reads))) AS l) LEFT JOIN reads ON length(seq) = l GROUP BY 1")
 def length_histogram(spark, d):
-    return R.length_histogram(V.reads(spark, d))
+    return R.length_histogram(V.sequences(spark, d))
 
 
 @query("G03_quality_histogram", V.duck("bases") + f" SELECT CAST(round(mq) AS BIGINT) AS quality, count(*) AS n FROM {_MEAN} GROUP BY 1")
@@ -106,7 +104,7 @@ def quality_histogram(spark, d):
 
 @query("G04_gc_histogram", V.duck("reads") + " SELECT 100 * (length(seq) - length(replace(replace(seq, 'C', ''), 'G', ''))) // length(seq) AS gc, count(*) AS n FROM reads GROUP BY 1")
 def gc_histogram(spark, d):
-    return R.gc_histogram(V.reads(spark, d))
+    return R.gc_histogram(V.sequences(spark, d))
 
 
 @query("G05_position_quality", V.duck("bases") + " SELECT pos, count(*) AS n, CAST(sum(a) AS BIGINT) AS sum_q, round(sum(a) / count(*) - 33, 6) AS mean_quality FROM bases GROUP BY 1")
@@ -119,13 +117,13 @@ _NT = "SELECT pos, count(*) AS n, " + ", ".join(f"count(*) FILTER (base = '{b}')
 
 @query("G06_position_bases", V.duck("bases") + " " + _NT + ", " + ", ".join(f"round(100.0 * count(*) FILTER (base = '{b}') / count(*), 6) AS pct_{b.lower()}" for b in "ATGCN") + " FROM bases GROUP BY 1")
 def position_bases(spark, d):
-    out = R.position_bases(V.reads(spark, d))
+    out = R.position_bases(V.sequences(spark, d))
     return out.select(*[F.round(c, 6).alias(c) if c.startswith("pct") else c for c in out.columns])
 
 
 @query("G07_position_gc", V.duck("bases") + " SELECT pos, round(100.0 * count(*) FILTER (base IN ('G', 'C')) / count(*), 6) AS gc FROM bases GROUP BY 1 HAVING 100.0 * count(*) FILTER (base IN ('G', 'C')) / count(*) > 1")
 def position_gc(spark, d):
-    return R.position_gc(V.reads(spark, d)).withColumn("gc", F.round("gc", 6))
+    return R.position_gc(V.sequences(spark, d)).withColumn("gc", F.round("gc", 6))
 
 
 _WORDS = V.duck("reads") + """,
@@ -136,17 +134,17 @@ c AS (SELECT kmer, count(pos) AS n FROM a LEFT JOIN w USING (kmer) GROUP BY 1) "
 
 @query("G08_kmer_counts", _WORDS + "SELECT * FROM c")
 def kmer_counts(spark, d):
-    return R.kmer_counts(V.reads(spark, d))
+    return R.kmer_counts(V.sequences(spark, d))
 
 
 @query("G08_top_kmers", _WORDS + "SELECT * FROM c ORDER BY n DESC, kmer LIMIT 20")
 def top_kmers(spark, d):
-    return R.top_kmers(V.reads(spark, d))
+    return R.top_kmers(V.sequences(spark, d))
 
 
 @query("G09_kmer_positions", _WORDS + "SELECT kmer, pos, count(*) AS n FROM w WHERE kmer IN (SELECT kmer FROM c ORDER BY n DESC, kmer LIMIT 5) GROUP BY 1, 2")
 def kmer_positions(spark, d):
-    return R.kmer_positions(V.reads(spark, d))
+    return R.kmer_positions(V.sequences(spark, d))
 
 
 @query("G10_filtered_stats", _PASSED + ", b2 AS (SELECT b.* FROM bases b JOIN p USING (read_id) WHERE passed) SELECT pos, count(*) AS n, CAST(sum(a) AS BIGINT) AS sum_q FROM b2 GROUP BY 1")

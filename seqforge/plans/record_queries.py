@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 @query("A03_kmer_encode", V.duck("reads") + """ SELECT read_id, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(substr(seq, 1, 18), ''), lambda b: CAST(CASE b WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 0 END AS BIGINT))), lambda x, y: x * 4 + y) AS kmer FROM reads WHERE length(seq) >= 18""")
 def kmer_encode(spark, d):
-    return V.reads(spark, d).where("length(seq) >= 18").select("read_id", S.kmer_code(F.substring("seq", 1, 18)).alias("kmer"))
+    return V.sequences(spark, d).where("length(seq) >= 18").select("read_id", S.kmer_code(F.substring("seq", 1, 18)).alias("kmer"))
 
 
 @query("A05_merged_references", V.duck("genome") + """ SELECT contig, length(bases) AS length, CASE WHEN contig % 3 = 0 OR contig % 7 = 0 THEN 2 ELSE 0 END AS kind FROM genome""")

@@ -5,10 +5,14 @@ each document, which is its whole text in bases."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import sequence as S
+from ..functions import batches
 from ..operators import mapping
 
 WIDTH = 256
@@ -66,12 +70,23 @@ def _as_bases(text) -> Column:
     return F.regexp_replace(F.translate(F.lower(text), LETTERS, BASES), "[^ACGT]", "N")
 
 
-def reads(spark: SparkSession, d: str) -> DataFrame:
+def sequences(spark: SparkSession, d: str) -> DataFrame:
+    """read_id and seq of the reads."""
     pieces = F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{READ}}}"), F.lit(0))).alias("k", "piece")
     cut = table(spark, d, "documents").select("doc_id", pieces)
-    seqs = cut.select((F.col("doc_id") * 100_000 + F.col("k")).alias("read_id"), _as_bases(F.col("piece")).alias("seq"))
-    q = lambda i: F.char(35 + (F.ascii(F.substring(F.col("seq"), i, F.lit(1))) * 31 + i * 17 + F.col("read_id") * 13) % 40)
-    return seqs.withColumn("qual", F.array_join(F.transform(F.sequence(F.lit(1), F.length("seq")), q), ""))
+    return cut.select((F.col("doc_id") * 100_000 + F.col("k")).alias("read_id"), _as_bases(F.col("piece")).alias("seq"))
+
+
+def _with_qualities(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        data, at = batches.flat(b.column("seq"))
+        i = batches.places(at) + 1
+        q = 35 + (data * np.int64(31) + i * 17 + np.repeat(b.column("read_id").to_numpy(), np.diff(at)) * 13) % 40
+        yield pa.RecordBatch.from_arrays([*b.columns, batches.strings(q, at)], names=["read_id", "seq", "qual"])
+
+
+def reads(spark: SparkSession, d: str) -> DataFrame:
+    return sequences(spark, d).mapInArrow(_with_qualities, "read_id long, seq string, qual string")
 
 
 def alignments(spark: SparkSession, d: str) -> DataFrame:
