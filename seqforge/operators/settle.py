@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 1_000_000
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -12,5 +15,13 @@ def settled(df: DataFrame) -> DataFrame:
     names none): neither its plan nor its work is repeated by each reader, and a lost executor takes nothing with it."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="seqforge-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="seqforge-"))
     return df.checkpoint()
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for a broadcast if it has BROADCAST_ROWS rows at most; count what is settled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
