@@ -10,6 +10,7 @@ from ..functions import scores
 from ..functions import sequence as S
 from .intervals import overlap_join
 from .reads import ANY, Range, _filled
+from .settle import small
 
 PAIRED, PROPER, UNMAPPED, MATE_UNMAPPED, REVERSE, MATE_REVERSE, FIRST, SECOND, SECONDARY, QC_FAIL, DUPLICATE = (1 << i for i in range(11))
 
@@ -56,8 +57,8 @@ def unmapped_pairs(alignments: DataFrame) -> DataFrame:
 
 
 def is_paired(alignments: DataFrame, rows: int = 100) -> DataFrame:
-    """One row: whether one of the first rows is mapped and paired."""
-    return alignments.limit(rows).agg(F.coalesce(F.max((~has(UNMAPPED) & has(PAIRED)).cast("int")), F.lit(0)).cast("boolean").alias("paired"))
+    """One row: whether one of the first rows, by position, name and flag, is mapped and paired."""
+    return alignments.orderBy("contig", "pos", "qname", "flag").limit(rows).agg(F.coalesce(F.max((~has(UNMAPPED) & has(PAIRED)).cast("int")), F.lit(0)).cast("boolean").alias("paired"))
 
 
 def usable(max_flags: int = UNMAPPED | SECONDARY | QC_FAIL | DUPLICATE) -> Column:
@@ -156,7 +157,7 @@ def sam_header(contigs: DataFrame, program: str = "seqforge") -> DataFrame:
 
 def decoy_rule(alignments: DataFrame, contigs: DataFrame) -> DataFrame:
     """Drops mappings on decoy contigs (flag 2); a read with nothing else becomes unmapped with the decoy's name."""
-    marked = alignments.join(F.broadcast(contigs.select("contig", F.col("name").alias("_name"), (F.col("kind") == 2).alias("_decoy"))), "contig", "left")
+    marked = alignments.join(small(contigs.select("contig", F.col("name").alias("_name"), (F.col("kind") == 2).alias("_decoy"))), "contig", "left")
     n = F.count("*").over(Window.partitionBy("read_id"))
     return (
         marked.withColumn("_n", n).where(~F.coalesce("_decoy", F.lit(False)) | (F.col("_n") == 1))
@@ -168,7 +169,7 @@ def decoy_rule(alignments: DataFrame, contigs: DataFrame) -> DataFrame:
 def sam_single(reads: DataFrame, alignments: DataFrame, contigs: DataFrame) -> DataFrame:
     """SAM columns of single reads. alignments: read_id, contig, pos, mapq, cigar (extended text), strand, score."""
     per = alignments.withColumn("_n", F.count("*").over(Window.partitionBy("read_id")))
-    named = per.join(F.broadcast(contigs.select("contig", "name")), "contig")
+    named = per.join(small(contigs.select("contig", "name")), "contig")
     ops = C.parse("cigar")
     rows = reads.select("read_id", "seq", "qual").join(named, "read_id", "left")
     mapped = F.col("pos").isNotNull()

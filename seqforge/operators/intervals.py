@@ -1,7 +1,7 @@
 """Interval operators: merging, overlap and containment joins, depth and coverage.
 
 Overlap joins are equi-joins on (keys, bucket) with a residual test, so they shuffle by bucket instead of comparing all
-pairs; merging and depth are window sums. A hot contig is cut into tiles for depth.
+pairs; merging and depth are window sums. A hot contig is cut into tiles, of which only one number each is passed on.
 """
 
 from __future__ import annotations
@@ -23,10 +23,33 @@ def islands(df: DataFrame, keys: Sequence[str], start: str = "start", end: str =
     return df.withColumn("_fresh", fresh).withColumn(out, F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
 
 
+def tile_islands(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", distance: Column | int = 0, out: str = "island", tile: int = 1 << 16) -> DataFrame:
+    """islands for keys with many rows, such as contigs: windows run over the rows of a tile, and over a table of a row
+    for each tile, which tells how far earlier tiles reach and how many islands begin there."""
+    names = [*keys, "_tile"]
+    rows = df.withColumn("_tile", F.floor(F.col(start) / tile))
+    before = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(*names).orderBy(start, end)
+
+    def with_earlier(rows: DataFrame, of_tile: Column, earlier: Column, name: str) -> DataFrame:
+        tiles = rows.groupBy(*names).agg(of_tile.alias("_x")).withColumn(name, earlier)
+        tiles = tiles.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(names)], name)
+        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(names)]
+        return rows.join(tiles, same).drop(*[f"_k{i}" for i in range(len(names))])
+
+    d = F.lit(distance) if isinstance(distance, int) else distance
+    far = with_earlier(rows, F.max(end), F.max("_x").over(before), "_far")
+    reach = F.greatest("_far", F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)))  # the one that isn't null
+    fresh = far.withColumn("_reach", reach).withColumn("_fresh", F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach") + d), 1).otherwise(0))
+    counted = with_earlier(fresh, F.sum("_fresh"), F.coalesce(F.sum("_x").over(before), F.lit(0)), "_past")
+    number = F.col("_past") + F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return counted.withColumn(out, number).drop("_tile", "_far", "_reach", "_fresh", "_past")
+
+
 def merge_intervals(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", distance: Column | int = 0, aggregates: Sequence[Column] = ()) -> DataFrame:
     """keys, start, end, n and aggregates of the merged intervals."""
     own = [F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n"), *aggregates]
-    return islands(df, keys, start, end, distance).groupBy(*keys, "island").agg(*own).drop("island")
+    return tile_islands(df, keys, start, end, distance).groupBy(*keys, "island").agg(*own).drop("island")
 
 
 def tiled(df: DataFrame, start: str, end: str, bucket: int, out: str = "tile") -> DataFrame:

@@ -237,12 +237,12 @@ def contained_anti(spark, d):
     return I.containment_join(iv, big, ["contig"], bucket=100_000, how="left_anti").select("id")
 
 
-@query("J09_last_overlap", _IV + """, q AS (SELECT id, contig, s, e FROM intervals WHERE id % 10 = 0), t AS (SELECT contig, s AS rs, e + 3000 AS re FROM intervals)
+@query("J09_last_overlap", _IV + """, q AS (SELECT id, contig, s, e FROM intervals), t AS (SELECT contig, s AS rs, e + 3000 AS re FROM intervals)
  SELECT id, rs AS r_start, re AS r_end FROM (SELECT id, rs, re, row_number() OVER (PARTITION BY id ORDER BY rs DESC, re DESC) AS k FROM q JOIN t USING (contig) WHERE s <= re AND e >= rs) WHERE k = 1""")
 def last_overlap(spark, d):
     iv = V.intervals(spark, d)
     targets = iv.select("contig", F.col("start").alias("r_start"), (F.col("end") + 3000).alias("r_end"))
-    return I.last_overlap(iv.where("id % 10 = 0"), targets, ["contig"], "id", bucket=4096).select("id", "r_start", "r_end")
+    return I.last_overlap(iv, targets, ["contig"], "id", bucket=4096).select("id", "r_start", "r_end")
 
 
 _HALF = "len // 2"

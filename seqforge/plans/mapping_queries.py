@@ -49,11 +49,13 @@ def reference_windows(spark, d):
     return V.reference(spark, d)
 
 
-@query("J17_reference_fetch", V.duck("genome") + ", q AS (SELECT CAST(contig * 1000 + i AS BIGINT) AS id, contig, CAST(i * 97 AS BIGINT) AS s FROM genome, range(20) t(i)) SELECT id, substr(bases, s + 1, 300) AS bases FROM q JOIN genome USING (contig) WHERE substr(bases, s + 1, 300) <> ''")
+@query("J17_reference_fetch", V.duck("genome") + ", q AS (SELECT contig, bases, CAST(unnest(range(0, length(bases), 97)) AS BIGINT) AS s FROM genome) SELECT CAST(contig * 100000 + s // 97 AS BIGINT) AS id, substr(bases, s + 1, 300) AS bases FROM q")
 def reference_fetch(spark, d):
-    g = V.genome(spark, d).select("contig", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("i"))
-    spans = g.select((F.col("contig") * 1000 + F.col("i")).alias("id"), "contig", (F.col("i") * 97).cast("long").alias("start")).withColumn("end", F.col("start") + 300)
-    return M.fetch(spans, V.reference(spark, d), ["id"], V.WIDTH).where("bases <> ''").select("id", "bases")
+    """Spans of 300 bases from every 97th base of each contig on."""
+    at = F.explode(F.sequence(F.lit(0), F.floor((F.length("bases") - 1) / 97).cast("int"))).alias("i")
+    g = V.genome(spark, d).select("contig", at)
+    spans = g.select((F.col("contig") * 100_000 + F.col("i")).alias("id"), "contig", (F.col("i") * 97).cast("long").alias("start")).withColumn("end", F.col("start") + 300)
+    return M.fetch(spans, V.reference(spark, d), ["id"], V.WIDTH).select("id", "bases")
 
 
 @query("J01_seed_lookup", _GENOME + """ SELECT read_id, strand, contig, read_pos, pos FROM sd JOIN idx USING (w) QUALIFY count(*) OVER (PARTITION BY read_id, strand, read_pos) < 2000""")
@@ -377,9 +379,9 @@ def chain_introns(spark, d):
     return splice.chain_over_introns(c, 50_000).select("read_id", "contig", "seed_id", "chain")
 
 
-@query("J10_junction_lookup", _JN + """, q AS (SELECT pk AS id, strand, contig, lo, lo + 3 AS hi FROM (SELECT pk, flag // 16 % 2 AS strand, contig, pos // 700 AS lo FROM aln WHERE pk % 50 = 0)), u AS (SELECT DISTINCT strand, contig, s, e FROM jn) SELECT id, lo, s AS start, e AS "end" FROM q JOIN u USING (strand, contig) WHERE s BETWEEN lo AND hi""")
+@query("J10_junction_lookup", _JN + """, q AS (SELECT pk AS id, strand, contig, lo, lo + 3 AS hi FROM (SELECT pk, flag // 16 % 2 AS strand, contig, pos // 700 AS lo FROM aln)), u AS (SELECT DISTINCT strand, contig, s, e FROM jn) SELECT id, lo, s AS start, e AS "end" FROM q JOIN u USING (strand, contig) WHERE s BETWEEN lo AND hi""")
 def junction_lookup(spark, d):
-    q = V.alignments(spark, d).where("pk % 50 = 0").selectExpr("pk AS id", "flag div 16 % 2 AS strand", "contig", "pos div 700 AS lim_start", "pos div 700 + 3 AS lim_end")
+    q = V.alignments(spark, d).selectExpr("pk AS id", "flag div 16 % 2 AS strand", "contig", "pos div 700 AS lim_start", "pos div 700 + 3 AS lim_end")
     u = _junctions(spark, d).select("strand", "contig", "start", "end").distinct()
     return splice.junction_lookup(q, u, bucket=64).select("id", F.col("lim_start").alias("lo"), "start", "end")
 
@@ -392,7 +394,7 @@ def metaexons(spark, d):
 
 
 def _gaps(spark, d):
-    r = V.reads(spark, d).where("length(seq) >= 60")
+    r = V.sequences(spark, d).where("length(seq) >= 60")
     return r.select(F.col("read_id").alias("id"), F.expr("concat(substring(seq, 1, 6), substring(seq, 34, 6))").alias("query"), F.expr("concat(substring(seq, 1, 6), 'GT', substring(seq, 9, 6))").alias("donor"), F.expr("concat(substring(seq, 20, 6), 'AG', substring(seq, 34, 6))").alias("acceptor"), F.lit(1000).cast("long").alias("left_end"), F.lit(1200).cast("long").alias("right_start"))
 
 
