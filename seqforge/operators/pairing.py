@@ -124,9 +124,9 @@ def report(alignments: DataFrame, best: bool = False, n_best: int = 0, n_hits: i
 
 def mispaired(alignments: DataFrame) -> DataFrame:
     """Fragments mapped at both ends without a proper pair: quality by the number of hits, mate columns from the first
-    alignment of the other end."""
+    alignment (by id, contig and pos) of the other end."""
     w = Window.partitionBy("fragment", "mate")
-    first = alignments.groupBy("fragment", "mate").agg(F.min_by(F.struct("contig", "pos"), "id").alias("_m")).select("fragment", (3 - F.col("mate")).alias("mate"), F.col("_m.contig").alias("mcontig"), F.col("_m.pos").alias("mpos"))
+    first = alignments.groupBy("fragment", "mate").agg(F.min(F.struct("id", "contig", "pos")).alias("_m")).select("fragment", (3 - F.col("mate")).alias("mate"), F.col("_m.contig").alias("mcontig"), F.col("_m.pos").alias("mpos"))
     counted = alignments.withColumn("map_quality", scores.mispaired_quality(F.count("*").over(w)))
     return counted.join(first, ["fragment", "mate"], "left")
 

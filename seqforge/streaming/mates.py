@@ -14,33 +14,42 @@ from ..operators.alignments import FIRST, SECOND, SECONDARY, has
 _PAIR = "qname string, contig1 string, pos1 long, contig2 string, pos2 long"
 
 
-def _match(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Unmatched mates of a name are the state: [(first, contig, pos, mpos)]."""
-    waiting = [tuple(r) for r in state.get[0]] if state.exists else []
-    out = []
-    for rows in batches:
-        for r in rows.itertuples(index=False):
-            one = (bool(r.first), r.contig, int(r.pos), int(r.mpos))
-            other = next((w for w in waiting if w[0] != one[0] and w[2] == one[3] and w[3] == one[2]), None)
-            if other is None:
-                waiting.append(one)
-                continue
-            waiting.remove(other)
-            a, b = (one, other) if one[0] else (other, one)
-            out.append((key[0], a[1], a[2], b[1], b[2]))
-    if waiting:
-        state.update(([list(w) for w in waiting],))
-    elif state.exists:
-        state.remove()
-    yield pd.DataFrame(out, columns=["qname", "contig1", "pos1", "contig2", "pos2"])
-
-
-def match_mates(stream: DataFrame) -> DataFrame:
+def _matcher(wait_ms: int):
+    def match(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Unmatched mates of a name are the state: [(first, contig, pos, mpos)]."""
+        columns = ["qname", "contig1", "pos1", "contig2", "pos2"]
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=columns)
+            return
+        waiting = [tuple(r) for r in state.get[0]] if state.exists else []
+        out = []
+        for rows in batches:
+            for r in rows.itertuples(index=False):
+                one = (bool(r.first), r.contig, int(r.pos), int(r.mpos))
+                other = next((w for w in waiting if w[0] != one[0] and w[2] == one[3] and w[3] == one[2]), None)
+                if other is None:
+                    waiting.append(one)
+                    continue
+                waiting.remove(other)
+                a, b = (one, other) if one[0] else (other, one)
+                out.append((key[0], a[1], a[2], b[1], b[2]))
+        if waiting:
+            state.update(([list(w) for w in waiting],))
+            state.setTimeoutDuration(wait_ms)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=columns)
+
+    return match
+
+
+def match_mates(stream: DataFrame, wait_ms: int = 3_600_000) -> DataFrame:
     """Pairs of primary mates (qname, flag, contig, pos, mpos) of a stream; a mate waits in the state until its other
-    one comes."""
+    one comes, or for wait_ms since its name was last seen."""
     rows = stream.where(~has(SECONDARY) & (has(FIRST) | has(SECOND))).select("qname", has(FIRST).alias("first"), F.col("contig").cast("string").alias("contig"), "pos", "mpos")
     state = "waiting array<struct<first:boolean,contig:string,pos:long,mpos:long>>"
-    return rows.groupBy("qname").applyInPandasWithState(_match, _PAIR, state, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("qname").applyInPandasWithState(_matcher(wait_ms), _PAIR, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def position_quality(stream: DataFrame) -> DataFrame:
