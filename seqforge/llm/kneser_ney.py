@@ -11,11 +11,18 @@ Nothing is sampled or capped, and what is shuffled grows with the input.
 
 Scoring needs, of each word, the probabilities of its n-grams. A table of up to BROADCAST_ROWS n-grams (checked) is
 broadcast; a larger one is joined: distinct words are dealt into shards, each shard asks for its distinct n-grams by a
-shuffle join and scores its words, and documents get the sums by joining their words. Both ways give the same scores.
+shuffle join and scores its words, and the words of the documents meet their scores in a join; words that make up more
+than 1 / FREQUENT of these rows, of which there are fewer than FREQUENT, are broadcast for it. Both ways give the same
+scores.
+
+Defined cases: words of any length count and are scored whole (a long one in pieces that overlap by a context, which
+gives the same sums); null and empty texts have no event; equal n-grams, repeated texts and ties need no rule, since
+all is sums; an empty table gives a model in which all characters are equally likely.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -23,26 +30,39 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free, parts
+from .common import cut, free, map_batches, parts
 
 BROADCAST_ROWS = 2_000_000
-CACHED_WORDS = 500_000
-#: Characters of a word beyond which the rest counts as words of their own.
-LONGEST = 400
+CACHED_WORDS = 300_000
+#: A longer word's scores aren't kept.
+CACHED_CHARS = 64
+#: Characters of a word that are scored at a time.
+PIECE = 1 << 14
+FREQUENT = 1000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _LEFT, _RIGHT = "\x02", "\x03"
 
 
 def raw_words(text: str | None) -> list[str]:
-    """Words between ASCII white space, in pieces of LONGEST characters."""
-    words = (text or "").split()
-    if len(text or "") > LONGEST and max(map(len, words), default=0) > LONGEST:
-        words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
-    return words
+    """Words between white space."""
+    return (text or "").split()
+
+
+@dataclass(frozen=True)
+class Measures:
+    """What is made of the scores of a text's words.
+
+    names: of the figures. of: from arrays of scores (words x classes) and numbers of events. columns: the same as
+    aggregates of rows with times, l0, l1, ... and events, one for each distinct word. empty: of a text without words."""
+
+    names: list[str]
+    of: Callable[[np.ndarray, np.ndarray], list[float]]
+    columns: Callable[[], list[Column]]
+    empty: list[float]
 
 
 def longest_events(words: dict[str, np.ndarray], order: int, classes: int) -> dict[str, list[int]]:
@@ -97,7 +117,7 @@ def count_events(texts: DataFrame, order: int, classes: int, words_of: Callable[
             yield rows()
 
     names = [f"c{k}" for k in range(classes)]
-    partial = texts.select("text", "klass").mapInArrow(run, ", ".join(["g string", *(f"{c} long" for c in names)]))
+    partial = map_batches(texts.select("text", "klass"), run, ", ".join(["g string", *(f"{c} long" for c in names)]))
     return partial.groupBy("g").agg(*[F.sum(c).alias(c) for c in names])
 
 
@@ -228,13 +248,27 @@ class Scorer:
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihood of each word by class, and its number of events."""
+        if max(map(len, words), default=0) <= PIECE:
+            return self._pieces([f"{_LEFT}{w}{_RIGHT}" for w in words], np.ones(len(words), np.int64))
+        sums, events = np.zeros((len(words), self.classes)), np.zeros(len(words), np.int64)
+        for i, w in enumerate(words):
+            s = f"{_LEFT}{w}{_RIGHT}"
+            for at in range(0, len(s), PIECE):  # a piece begins with the context of its first event
+                skip = min(at, self.order) or 1
+                got, n = self._pieces([s[max(0, at - self.order) : at + PIECE]], np.array([skip]))
+                sums[i] += got[0]
+                events[i] += n[0]
+        return sums, events
+
+    def _pieces(self, pieces: list[str], skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over the events of each piece, without those of its first skip characters."""
         m = self.classes
-        codes, lengths = _codes([f"{_LEFT}{w}{_RIGHT}" for w in words])
+        codes, lengths = _codes(pieces)
         starts = np.cumsum(lengths) - lengths
         place = np.arange(len(codes)) - np.repeat(starts, lengths)
         left = np.minimum(place + 1, self.order)  # length of the event's n-gram that is being tried
         score = np.zeros((len(codes), m))
-        todo = np.flatnonzero(place > 0)
+        todo = np.flatnonzero(place >= np.repeat(skip, lengths))
         top = left.copy()
         h = {0: None}
         for n in range(1, self.order + 1):
@@ -261,7 +295,7 @@ class Scorer:
             else:
                 score[miss] += self.floor
         sums = np.add.reduceat(score, starts, axis=0) if len(starts) else np.zeros((0, m))
-        return sums, lengths - 1
+        return sums, np.maximum(lengths - skip, 0)
 
 
 class WordScores:
@@ -292,35 +326,35 @@ class WordScores:
                 self.events = np.concatenate([self.events, np.zeros(more, np.int64)])
             self.scores[base : base + len(new)], self.events[base : base + len(new)] = s, n
         i = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        return self.scores[i], self.events[i]
+        out = self.scores[i], self.events[i]
+        if max(map(len, new), default=0) > CACHED_CHARS and sum(map(len, new)) > PIECE:
+            self.clear()  # long words are not to fill the memory
+        return out
 
 
-_scorers: dict[int, WordScores] = {}
+#: A worker's scores, by the name of the model that it scores with.
+_scorers: dict[str, WordScores] = {}
 
 
-def score_documents(docs: DataFrame, model: Model, features: Callable[[np.ndarray, np.ndarray], list[float]], names: list[str], words_of: Callable[[str | None], list[str]] = raw_words, text_col: str = "text", sharded: bool | None = None) -> DataFrame:
-    """docs without the text, with columns names of what features makes of the scores and event counts of a text's
-    words. sharded: None decides by the model's size. The sharded way gives, and features must only use, sums over
-    words: it calls features with one row of sums for each distinct word."""
-    spark = docs.sparkSession
-    if sharded is None:
-        sharded = model.rows.count() > BROADCAST_ROWS
+def score_documents(docs: DataFrame, model: Model, measures: Measures, words_of: Callable[[str | None], list[str]] = raw_words, text_col: str = "text", sharded: bool | None = None) -> DataFrame:
+    """docs without the text, with the measures of each text's words, which replace columns of their names. sharded:
+    None decides by the model's size."""
+    docs = docs.drop(*measures.names)
+    if model.rows.count() > BROADCAST_ROWS if sharded is None else sharded:
+        return _score_sharded(docs, model, measures, words_of, text_col)
     others = [f for f in docs.schema.fields if f.name != text_col]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), *(f"{n} double" for n in names)])
-    m, order, vocabulary = model.classes, model.order, model.vocabulary
+    names, m, order, vocabulary = measures.names, model.classes, model.order, model.vocabulary
     values = [f"{x}{k}" for x in "pbs" for k in range(m)]
-    if sharded:
-        return _score_sharded(docs, model, features, names, words_of, text_col, others, schema)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.float32) for c in values])
             yield pa.RecordBatch.from_arrays([pa.array([gram_keys(b.column("g").to_pylist()).tobytes()]), pa.array([v.tobytes()])], names=["k", "v"])
 
-    rows = model.rows.select("g", *values).mapInArrow(packed, "k binary, v binary").collect()  # BROADCAST_ROWS n-grams at most
-    shipped = spark.sparkContext.broadcast((np.frombuffer(b"".join(r[0] for r in rows), np.uint64), np.frombuffer(b"".join(r[1] for r in rows), np.float32).reshape(-1, 3 * m)))
+    rows = map_batches(model.rows.select("g", *values), packed, "k binary, v binary").collect()  # BROADCAST_ROWS n-grams at most
+    shipped = docs.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(r[0] for r in rows), np.uint64), np.frombuffer(b"".join(r[1] for r in rows), np.float32).reshape(-1, 3 * m)))
     del rows
-    key = shipped.id if hasattr(shipped, "id") else id(shipped)
+    key, of = uuid.uuid4().hex, measures.of
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _scorers:
@@ -328,36 +362,49 @@ def score_documents(docs: DataFrame, model: Model, features: Callable[[np.ndarra
             _scorers[key] = WordScores(Scorer(*shipped.value, order, m, vocabulary))
         score = _scorers[key]
         for b in batches:
-            got = np.array([features(*score(words_of(t.as_py()))) for t in b.column(text_col)], float).reshape(-1, len(names))
+            got = np.array([of(*score(words_of(t.as_py()))) for t in b.column(text_col)], float).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in others), *(pa.array(got[:, i]) for i in range(len(names)))], names=[*(f.name for f in others), *names])
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), *(f"{n} double" for n in names)]))
 
 
-def _score_sharded(docs, model, features, names, words_of, text_col, others, schema) -> DataFrame:
+def _score_sharded(docs: DataFrame, model: Model, measures: Measures, words_of: Callable[[str | None], list[str]], text_col: str) -> DataFrame:
     m, order, vocabulary = model.classes, model.order, model.vocabulary
-    row_col, words_col = free(docs, "_row", "_words")
+    row_col, key_col = free(docs, "_row", "_key")
     keyed = cut(docs.withColumn(row_col, F.monotonically_increasing_id()), "docs")
 
-    def words(batches):
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, found, times = [], [], []
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(found, pa.string()), pa.array(times, pa.int64())], names=["_row", "word", "times"])
+            for x in (rows, found, times):
+                x.clear()
+            return out
+
         for b in batches:
             for r, t in zip(b.column("_row"), b.column("text")):
                 c = Counter(words_of(t.as_py()))
-                if c:
-                    yield pa.RecordBatch.from_arrays([pa.array([r.as_py()] * len(c), pa.int64()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["_row", "word", "times"])
-
-    used = cut(keyed.select(F.col(row_col).alias("_row"), F.col(text_col).alias("text")).mapInArrow(words, "_row long, word string, times long"), "words")
-    distinct = used.select("word").distinct()
-    shards = max(parts(docs.sparkSession), distinct.count() // 100_000 + 1)
+                rows += [r.as_py()] * len(c)
+                found += c
+                times += c.values()
+                if len(rows) > 50_000:
+                    yield flush()
+        yield flush()
+
+    used = cut(map_batches(keyed.select(F.col(row_col).alias("_row"), F.col(text_col).alias("text")), words, "_row long, word string, times long"), "words")
+    distinct = cut(used.groupBy("word").agg(F.count("*").alias("n")), "distinct")
+    total, kinds = distinct.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    shards = max(parts(docs.sparkSession), kinds // 100_000 + 1)
     sharded = distinct.select("word", F.pmod(F.xxhash64("word"), F.lit(shards)).cast("int").alias("shard"))
 
-    def asked(batches):
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             need = {(s.as_py(), g) for w, s in zip(b.column("word"), b.column("shard")) for t in [f"{_LEFT}{w.as_py()}{_RIGHT}"] for end in range(1, len(t) + 1) for g in {"", *(t[i:end] for i in range(max(0, end - order), end))}}
             got = list(need)
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in got], pa.int32()), pa.array([g for _, g in got], pa.string())], names=["shard", "g"])
 
-    need = sharded.mapInArrow(asked, "shard int, g string").distinct().join(model.rows, "g")
+    need = map_batches(sharded, asked, "shard int, g string").distinct().join(model.rows, "g")
     values = [f"{x}{k}" for x in "pbs" for k in range(m)]
 
     def scored(words: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
@@ -366,20 +413,10 @@ def _score_sharded(docs, model, features, names, words_of, text_col, others, sch
         s, n = Scorer(gram_keys(rows["g"].tolist()), rows[values].to_numpy(np.float32).reshape(-1, 3 * m), order, m, vocabulary)(words["word"].tolist())
         return pd.DataFrame({"word": words["word"], **{f"l{k}": s[:, k] for k in range(m)}, "events": n})
 
-    kinds = ", ".join(["word string", *(f"l{k} double" for k in range(m)), "events long"])
-    by_word = sharded.groupBy("shard").cogroup(need.groupBy("shard")).applyInPandas(scored, kinds)
-    of_doc = used.join(by_word, "word").groupBy(F.col("_row").alias(row_col)).agg(F.collect_list(F.struct("times", *[f"l{k}" for k in range(m)], "events")).alias(words_col))
-    back = keyed.drop(text_col).join(of_doc, row_col, "left")
-
-    def finished(batches):
-        for b in batches:
-            out = []
-            for w in b.column(words_col):
-                w = w.as_py() or []
-                times = np.array([x["times"] for x in w], int)
-                s = np.repeat(np.array([[x[f"l{k}"] for k in range(m)] for x in w], float).reshape(-1, m), times, axis=0)
-                out.append(features(s, np.repeat(np.array([x["events"] for x in w], int), times)))
-            got = np.array(out, float).reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in others), *(pa.array(got[:, i]) for i in range(len(names)))], names=[*(f.name for f in others), *names])
-
-    return back.mapInArrow(finished, schema)
+    schema = ", ".join(["word string", *(f"l{k} double" for k in range(m)), "events long"])
+    by_word = cut(sharded.groupBy("shard").cogroup(need.groupBy("shard")).applyInPandas(scored, schema), "scores")
+    often = F.broadcast(distinct.where(F.col("n") * FREQUENT > total).select("word"))  # fewer than FREQUENT
+    met = used.join(F.broadcast(by_word.join(often, "word")), "word").unionByName(used.join(often, "word", "left_anti").join(by_word, "word"))
+    found = met.groupBy(F.col("_row").alias(key_col)).agg(*[c.alias(n) for n, c in zip(measures.names, measures.columns())])
+    back = keyed.drop(text_col).join(found, F.col(row_col) == F.col(key_col), "left").drop(row_col, key_col)
+    return back.fillna(dict(zip(measures.names, measures.empty)))

@@ -6,16 +6,18 @@ of its most suspicious words, which a long document would else dilute. A logisti
 score. It is fitted on a bounded sample of labelled documents, by a model whose counts leave that sample out; the counts
 of the model that scores are those of all labelled documents. Texts are counted once, with the sample as further classes.
 
-Defined cases: a null or empty text has ratio 0 and the score that the logistic function gives it; documents without
-a label, and null ids, are not learned from; several labels of one document count as its highest; with labels of one
-class only, all scores are 0.5 at most; repeated rows are scored alike; an empty table gives an empty result.
+Defined cases: a null or empty text has ratio 0 and the score that the logistic function gives it; texts of any length
+are counted and scored whole; documents without a label, and null ids, are not learned from; several labels of one
+document count as its highest; with labels of one class only, all scores are 0.5 at most; a score of 0.5 is predicted
+as toxic; repeated rows are scored alike; an empty table gives an empty result; columns named as what score adds are
+replaced, others pass through it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kneser_ney
@@ -32,10 +34,7 @@ NAMES = ["mean_llr", "top_llr", "suspect_share"]
 
 
 def words_of(text: str | None) -> list[str]:
-    words = _LETTERS.findall((text or "").lower())
-    if max(map(len, words), default=0) > kneser_ney.LONGEST:
-        words = [w[i : i + kneser_ney.LONGEST] for w in words for i in range(0, len(w), kneser_ney.LONGEST)]
-    return words
+    return _LETTERS.findall((text or "").lower())
 
 
 def features(scores: np.ndarray, events: np.ndarray) -> list[float]:
@@ -48,6 +47,15 @@ def features(scores: np.ndarray, events: np.ndarray) -> list[float]:
     return [float(ratio.sum() / events.sum()), float((ratio / np.maximum(events, 4)).max()), float(events[own > 0.5].sum() / events.sum())]
 
 
+def feature_columns() -> list[Column]:
+    ratio, events, all_of = F.col("l1") - F.col("l0"), F.col("events"), F.sum(F.col("times") * F.col("events"))
+    suspect = F.sum(F.when(ratio / events > 0.5, F.col("times") * events).otherwise(0))
+    return [F.sum(F.col("times") * ratio) / all_of, F.max(ratio / F.greatest(events, F.lit(4))), suspect / all_of]
+
+
+MEASURES = kneser_ney.Measures(NAMES, features, feature_columns, [0.0, 0.0, 0.0])
+
+
 def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text and klass (1: toxic) of the documents that have a label."""
     docs = docs.select("doc_id", "text")
@@ -80,7 +88,7 @@ class ToxicityModel:
 
     def score(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """docs without the text, with NAMES, score and predicted, which replace columns of these names."""
-        rows = kneser_ney.score_documents(docs.drop(*NAMES, "score", "predicted"), self.model, features, NAMES, words_of, text_col)
+        rows = kneser_ney.score_documents(docs.drop("score", "predicted"), self.model, MEASURES, words_of, text_col)
         z = sum((F.col(n) * float(w) for n, w in zip(NAMES, self.weights)), F.lit(float(self.weights[-1])))
         score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
         return rows.withColumn("score", score).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
@@ -97,7 +105,7 @@ def fit(labelled: DataFrame, order: int = ORDER) -> ToxicityModel:
     others = kneser_ney.of_events(events.where("c0 + c1 > 0").select("g", "c0", "c1"), order, 2)
     model = kneser_ney.of_events(events.select("g", F.expr("c0 + c2").alias("c0"), F.expr("c1 + c3").alias("c1")), order, 2)
     rest = labelled.where(apart).select("doc_id", "klass", "text")
-    rows = kneser_ney.score_documents(rest, others, features, NAMES, words_of).select("klass", *NAMES).toPandas()
+    rows = kneser_ney.score_documents(rest, others, MEASURES, words_of).select("klass", *NAMES).toPandas()  # about 0.8 * CALIBRATION_ROWS
     x, y = rows[NAMES].to_numpy(float), rows["klass"].to_numpy(float)
     if len(set(y)) < 2:
         return ToxicityModel(model, np.array([0.0] * len(NAMES) + [-1.0]))

@@ -64,19 +64,22 @@ def test_scores_as_by_plain_counting(spark):
     df = spark.createDataFrame([(t, 0) for t in texts], "text string, klass int")
     model = K.fit(df, 4)
     want = brute_model(texts, 4)
-    asked = ["banana", "bandit", "zzz", "a", "nana", "dadcab"]
+    asked = ["banana", "bandit", "zzz", "a", "nana", "dadcab", "banana" * 3000 + "bandit" * 50]
+    whole = K.Measures(["l"], lambda s, n: [float(s.sum())], lambda: [F.sum(F.col("times") * F.col("l0"))], [0.0])
     docs = spark.createDataFrame([(i, w) for i, w in enumerate(asked)], "doc_id long, text string")
     for sharded in (False, True):
-        got = {r["doc_id"]: r["l"] for r in K.score_documents(docs, model, lambda s, n: [float(s.sum())], ["l"], sharded=sharded).collect()}
+        got = {r["doc_id"]: r["l"] for r in K.score_documents(docs, model, whole, sharded=sharded).collect()}
         for i, w in enumerate(asked):
             assert got[i] == pytest.approx(want(w), rel=1e-4), (w, sharded)
 
 
-def test_both_ways_of_scoring_agree(spark):
+def test_both_ways_of_scoring_agree(spark, monkeypatch):
     rows = [(t, k) for k in (0, 1) for t in corpus(60, k)] + [(None, 0), ("", 1)]
     model = K.fit(spark.createDataFrame(rows, "text string, klass int"), 5, 2, toxicity.words_of)
     docs = spark.createDataFrame([(1, None, "k"), (2, "", "k"), (3, "banana bandit banana", "k"), (3, "banana bandit banana", None), (None, "qqq " * 300, "k"), (5, "x" * 5000, "k")], "doc_id long, text string, _row string")
-    a, b = (sorted(map(str, K.score_documents(docs, model, lambda s, n: [round(float(x), 3) for x in toxicity.features(s, n)], toxicity.NAMES, toxicity.words_of, sharded=s).collect())) for s in (False, True))
+    rounded = [F.round(n, 3).alias(n) for n in toxicity.NAMES]
+    monkeypatch.setattr(K, "FREQUENT", 4)
+    a, b = (sorted(map(str, K.score_documents(docs, model, toxicity.MEASURES, toxicity.words_of, sharded=s).select("doc_id", "_row", *rounded).collect())) for s in (False, True))
     assert a == b and len(a) == 6
 
 
@@ -123,6 +126,67 @@ def test_quality_keeps_what_resembles_trusted_text(spark):
     assert len(rows) == len(good) + len(more)
     assert got[1000][0]["kept"] and not got[1001][0]["kept"] and not got[1002][0]["kept"] and not got[1003][0]["kept"]
     assert [r["kept"] for r in got[1004]] == [True, True] and got[1002][0]["perplexity"] is None
-    assert sum(got[i][0]["kept"] for i, *_ in good) >= 197
+    assert sum(got[i][0]["kept"] for i, *_ in good) >= 190  # the threshold knows a fifth of them, some of one word
     assert quality_lm.judged(docs.limit(0), labels).count() == 0
     assert quality_lm.judged(docs, labels.limit(0)).where("kept").count() == len(good) + 4
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
+def test_quality_held_out(spark):
+    """Labels of every fourth document are hidden; those documents are judged by what the others teach."""
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").where("quality IS NOT NULL")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    hidden = labels.where("doc_id % 4 = 0").select(F.col("doc_id").alias("_id"), "quality")
+    rows = quality_lm.judged(docs, labels.where("doc_id % 4 <> 0")).join(hidden, F.col("doc_id") == F.col("_id")).select("kept", "quality").collect()
+    good, bad = ([r["kept"] for r in rows if r["quality"] == q] for q in (1, 0))
+    assert len(good) > 40 and np.mean(good) > 0.9 and np.mean(bad) < 0.6
+
+
+def test_quality_against_plain_counting(spark):
+    """Perplexities, thresholds and verdicts, from the plain model and sorted perplexities."""
+    docs = [(i, t, "en") for i, t in enumerate(corpus(400, 21))] + [(1000, "xqzj kwvq", "en"), (1001, "banana dad", None)]
+    frame = spark.createDataFrame(docs, SCHEMA)
+    labels = spark.createDataFrame([(i, 1) for i in range(400)], "doc_id long, quality int")
+    apart = {r["doc_id"] for r in quality_lm.trusted(frame, labels).where("apart").collect()}
+    word = brute_model([t for i, t, _ in docs if i < 400 and i not in apart], 3)
+    perplexity = {i: math.exp(-sum(map(word, t.split())) / sum(len(w) + 1 for w in t.split())) for i, t, _ in docs}
+    held = sorted(p for i, p in perplexity.items() if i in apart and i < 400)
+    assert len(held) >= quality_lm.LEAST
+    limit = held[-int(-quality_lm.QUANTILE * len(held) // 1) - 1] * quality_lm.SLACK
+    for r in quality_lm.judged(frame, labels, 3).collect():
+        assert r["perplexity"] == pytest.approx(perplexity[r["doc_id"]], rel=1e-4) and r["threshold"] == pytest.approx(limit, rel=1e-4)
+        assert r["kept"] == (perplexity[r["doc_id"]] <= limit)
+
+
+def test_toxicity_against_plain_counting(spark):
+    """Features of texts and their score, from two plain models with shared lower orders."""
+    rows = [(i, t + (" zorg vile" if i % 2 else ""), i % 2) for i, t in enumerate(corpus(80, 31))]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, klass int"), 3)
+    asked = ["zorg", "banana zorg", "cab dad", "xyz vile vile", ""]
+    got = {r["doc_id"]: r for r in model.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")).collect()}
+    table = {r["g"]: r for r in model.model.rows.collect()}
+
+    def logp(g, k):
+        """Interpolated probabilities are in the table; what isn't backs off."""
+        top, weight = True, 0.0
+        while True:
+            r = table.get(g)
+            if r is not None and r[f"p{k}"] is not None:
+                return weight + r[f"p{k}"]
+            ctx = table.get(g[:-1])
+            b = ctx and ctx[f"b{k}" if top else f"s{k}"]
+            weight, top = weight + (b or 0.0), False
+            if len(g) == 1:
+                return weight - math.log(model.model.vocabulary)
+            g = g[1:]
+
+    for i, t in enumerate(asked):
+        ratios = []
+        for w in t.split():
+            s = f"\x02{w}\x03"
+            ratios.append((sum(logp(s[max(0, e - 3) : e], 1) - logp(s[max(0, e - 3) : e], 0) for e in range(2, len(s) + 1)), len(w) + 1))
+        n = sum(x for _, x in ratios)
+        want = [sum(r for r, _ in ratios) / n, max(r / max(x, 4) for r, x in ratios), sum(x for r, x in ratios if r / x > 0.5) / n] if ratios else [0.0] * 3
+        assert [got[i][name] for name in toxicity.NAMES] == pytest.approx(want, abs=1e-4)
+        z = sum(a * b for a, b in zip(model.weights, [*want, 1.0]))
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-3)
