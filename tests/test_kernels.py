@@ -199,3 +199,75 @@ def test_insert_size_needs_fragments(spark):
     assert tuple(pairing.insert_size(spark.createDataFrame(frag(11), schema)).first()) == (201, 801)
     assert tuple(pairing.insert_size(spark.createDataFrame(frag(10), schema)).first()) == (200, 800)
     assert tuple(pairing.insert_size(spark.createDataFrame([], schema)).first()) == (200, 800)
+
+
+def spliced_genome():
+    """Two contigs of exons of 150 bases and introns of 300 to 900, from GT to AG."""
+    rnd = random.Random(17)
+    base = lambda n: "".join(rnd.choice("ACGT") for _ in range(n))
+    contigs, exons = {}, {}
+    for c in (0, 1):
+        text, spans = base(500), []
+        for _ in range(8):
+            spans.append((len(text), len(text) + 150))
+            text += base(150) + "GT" + base(rnd.randrange(300, 900)) + "AG"
+        contigs[c], exons[c] = text + base(500), spans
+    return contigs, exons
+
+
+def test_spliced_reads_map_over_their_introns(spark):
+    """Reads of transcripts, with errors: the reference places that a CIGAR spells are those that the read came from."""
+    from seqforge.operators import spliced
+
+    contigs, exons = spliced_genome()
+    rnd = random.Random(18)
+    rows, truth = [], {}
+    for i in range(160):
+        c = rnd.randrange(2)
+        places = [p for s, e in exons[c] for p in range(s, e)]
+        at = rnd.randrange(len(places) - 100)
+        own = places[at : at + 100]
+        seq = [contigs[c][p] for p in own]
+        for _ in range(i % 2):
+            k = rnd.randrange(100)
+            seq[k] = rnd.choice([b for b in "ACGT" if b != seq[k]])
+        seq = "".join(seq)
+        strand = rnd.randrange(2)
+        rows.append((i, seq[::-1].translate(str.maketrans("ACGT", "TGCA")) if strand else seq, "I" * 100))
+        truth[i] = (c, strand, own)
+    frame = spark.createDataFrame(list(contigs.items()), "contig long, bases string")
+    reference, index = M.windows(frame, 1024), M.kmer_index(M.windows(frame, 1024, M.K - 1))
+    got = spliced.map_spliced(spark.createDataFrame(rows, "read_id long, seq string, qual string"), reference, index, width=1024).collect()
+    right, spliced_right, spliced_all = 0, 0, sum(own[-1] - own[0] > 99 for _, _, own in truth.values())
+    for r in got:
+        c, strand, own = truth[r["read_id"]]
+        at, spelled, clip = r["pos"], [], 0
+        for n, o in K._parsed(r["cigar"]):
+            if o == "M":
+                spelled += range(at, at + n)
+            if o == "S":
+                clip += n
+            at += n if o in "MDN" else 0
+        lead = K._parsed(r["cigar"])[0]
+        first = lead[0] if lead[1] == "S" else 0
+        ok = r["contig"] == c and r["strand"] == strand and spelled == own[first : first + len(spelled)] and clip < 40  # an anchor takes 18 bases and a place for a seed
+        right += ok
+        spliced_right += ok and own[-1] - own[0] > 99
+    assert spliced_all > 60 and right >= 150 and spliced_right >= 0.9 * spliced_all
+
+
+def test_known_junctions_close_ends(spark):
+    """Queries cut from either side of an intron, against plain comparison."""
+    from seqforge.operators import spliced
+
+    contigs, exons = spliced_genome()
+    text, ((_, e1), (s2, _), *_) = contigs[0], exons[0]
+    frame = spark.createDataFrame(list(contigs.items()), "contig long, bases string")
+    reference = M.windows(frame, 1024)
+    junctions = spark.createDataFrame([(0, 0, e1 + 1, s2), (0, 0, e1 + 1, s2 + 40)], "strand long, contig long, start long, end long")
+    right = spark.createDataFrame([(n, 0, 0, e1 - n, text[e1 - n : e1] + text[s2 : s2 + 20]) for n in range(6)], "id long, strand long, contig long, place long, query string")
+    got = {r["id"]: (r["l"], r["j_start"], r["j_end"], r["errors"]) for r in spliced.extend_right_anchor(right, junctions, reference, 1024).collect()}
+    assert got == {n: (n, e1 + 1, s2, 0) for n in range(6)}
+    left = spark.createDataFrame([(n, 0, 0, s2 + n, text[e1 - 20 : e1] + text[s2 : s2 + n]) for n in range(6)], "id long, strand long, contig long, place long, query string")
+    got = {r["id"]: (r["r"], r["j_start"], r["j_end"], r["errors"]) for r in spliced.extend_left_anchor(left, junctions, reference, 1024).collect()}
+    assert got == {n: (n, e1 + 1, s2, 0) for n in range(6)}
