@@ -3,22 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 1_000_000
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, checkpointed in the folder that the cluster names in spark.checkpoint.dir (a folder of our own where it
-    names none): neither its plan nor its work is repeated by each reader, and a lost executor takes nothing with it."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own where a local session names none."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="seqforge-"))
+    return sc.getCheckpointDir()
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/seqforge-{uuid.uuid4().hex}/{name}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, checkpointed in the shared folder: neither its plan nor its work is repeated by each reader, and a lost
+    executor takes nothing with it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
