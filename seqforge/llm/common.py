@@ -39,11 +39,11 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame, name: str = "t") -> DataFrame:
+def cut(df: DataFrame, name: str = "t", compression: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: what follows doesn't recompute it, whichever executor is lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/seqforge-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

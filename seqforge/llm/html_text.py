@@ -1,6 +1,6 @@
 """Main text of HTML pages, with suffix arrays per host for what markup doesn't tell.
 
-A page is cut into blocks, each with the path of its containers. Blocks in containers that name themselves as menus,
+A page is parsed once and cut into blocks, each with its region. Blocks in containers that name themselves as menus,
 headers, footers, sidebars, notices, adverts, forms or comments are left out. All tokens of a page, those of declared
 articles included, are a stream of its host; what MIN_PAGES pages of different content share on a host, as runs of RUN
 tokens or more, is boilerplate and goes from every page, and so do blocks of SHORT tokens or more outside of declared
@@ -19,8 +19,9 @@ The suffixes are sorted by their first DEPTH tokens, which orders all repeated s
 repeats are covered by overlapping ones.
 
 Defined cases: a null or empty html has the empty text; page ids and urls may be null or repeated, rows are judged one
-by one; a page cut off anywhere yields what was there; an empty table gives an empty result; other columns are neither
-read nor returned.
+by one; a page cut off anywhere yields what was there, and a container of other media that is never closed hides
+nothing; pages of any length are parsed whole; equal runs and anchors are one, so ties need no rule; an empty table
+gives an empty result; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -35,11 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_or_empty
+from .common import chunks, cut, map_batches, table, text_or_empty
+from .shingles import word_spans
 
 RUN, GRAM, SHORT, DEPTH, MIN_PAGES, SEGMENTS = 12, 5, 5, 16, 3, 10_000
 COVERED = 0.5
-#: Pages whose tokens are held at a time.
+#: Pages whose tokens are held at a time, at most.
 SLICE = 500
 BROADCAST_ROWS = 1_000_000
 
@@ -47,21 +49,32 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|
 _MARK = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORD = re.compile(r"[a-z]+")
+_REGION = {"m": "main", "c": "chrome", "o": "open"}
 #: Their content isn't text.
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "textarea", "title", "head"}
+#: Of these, what hides the rest of a page that doesn't close them.
+UNSEEN = {"script", "style", "head"}
 CHROME = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu"}
 MAIN = {"article", "main"}
 BLOCK = set("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption dialog menu".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SPACED = {"br", "td", "th"}
 #: Words of class, id and role that name what isn't the article.
-NAMES = set("ad ads advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal nav navbar navigation menu breadcrumb breadcrumbs sidebar widget footer header masthead contentinfo complementary comment comments disqus reply replies share sharing social related recommended newsletter subscribe signup login search pagination toolbar".split())
+NAMES = set("ad ads advert adverts advertisement banner sponsor sponsored cookie cookies consent gdpr popup modal nav navbar navigation menu breadcrumb breadcrumbs sidebar masthead contentinfo complementary comment comments disqus reply replies newsletter subscribe signup login pagination toolbar".split())
+#: Such words that say nothing beside one of TEXT in a class of several words.
+WEAK_NAMES = set("promo promotion notice widget footer header share sharing social related recommended search".split())
+TEXT = {"content", "text", "body", "story"}
 
 
-def blocks_of(html: str | None) -> list[tuple[str, str, str]]:
-    """(region, path, text) of each block with text; region: main, chrome or open."""
-    out: list[tuple[str, str, str]] = []
-    stack: list[tuple[str, str, str]] = []  # tag, region, step of the path
+def names_chrome(marks: str) -> bool:
+    """Whether one of the classes or ids, each of one or more words, names what isn't the article."""
+    return any(words & NAMES or (words & WEAK_NAMES and not words & TEXT) for c in marks.lower().split() for words in [set(_WORD.findall(c))])
+
+
+def blocks_of(html: str | None) -> list[tuple[str, str]]:
+    """(region, text) of each block with text; region: main, chrome or open."""
+    out: list[tuple[str, str]] = []
+    stack: list[tuple[str, str]] = []  # tag, region
     parts: list[str] = []
     html = html or ""
 
@@ -69,7 +82,14 @@ def blocks_of(html: str | None) -> list[tuple[str, str, str]]:
         text = " ".join(unescape("".join(parts)).split()) if parts else ""
         parts.clear()
         if text:
-            out.append((stack[-1][1] if stack else "open", ">".join(s[2] for s in stack), text))
+            out.append((stack[-1][1] if stack else "open", text))
+
+    ends: dict[str, int] = {}  # where the last end tag of a name begins
+
+    def closed_after(name: str, place: int) -> bool:
+        if name not in ends:
+            ends[name] = html.lower().rfind(f"</{name}")
+        return ends[name] >= place
 
     at, skip = 0, ""
     for m in _TOKEN.finditer(html):
@@ -102,7 +122,7 @@ def blocks_of(html: str | None) -> list[tuple[str, str, str]]:
                     break
             continue
         if name in RAW:
-            if not m[3].endswith("/"):
+            if not m[3].endswith("/") and (name in UNSEEN or closed_after(name, m.end())):
                 skip = name
             continue
         close()
@@ -112,14 +132,12 @@ def blocks_of(html: str | None) -> list[tuple[str, str, str]]:
             stack.pop()
         region = stack[-1][1] if stack else "open"
         marks = {k.lower(): (a or b or c) for k, a, b, c in _MARK.findall(m[3])} if "=" in m[3] else {}
-        words = {w for v in marks.values() for w in _WORD.findall(v.lower())}
         if region != "chrome":
-            if name in CHROME or (name == "header" and region != "main") or words & NAMES or (m[3] and _HIDDEN.search(m[3])):
+            if name in CHROME or (name == "header" and region != "main") or any(map(names_chrome, marks.values())) or (m[3] and _HIDDEN.search(m[3])):
                 region = "chrome"
             elif name in MAIN or marks.get("role", "").lower() == "main" or marks.get("itemprop", "") == "articleBody":
                 region = "main"
-        step = name + "".join(f".{w}" for w in sorted(_WORD.findall(marks.get("class", "").lower())))
-        stack.append((name, region, step))
+        stack.append((name, region))
     if not skip and at < len(html):
         parts.append(html[at:])
     close()
@@ -196,31 +214,41 @@ def window_hashes(h: np.ndarray, seed: np.ndarray, size: int) -> np.ndarray:
     return _mixed(code)
 
 
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, key (of the row), regions (a letter for each block) and text (a line for each block)."""
+    names = ["page_id", "url", "host", "key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, "html"):
+            blocks = [blocks_of(x.as_py()) for x in b.column("html")]
+            regions, texts = (pa.array([join.join(x[i][:n] for x in page) for page in blocks], pa.string()) for join, i, n in (("", 0, 1), ("\n", 1, None)))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), regions, texts], names=[*names, "regions", "text"])
+
+    keyed = pages.select("page_id", "url", _host("url").alias("host"), F.xxhash64("page_id", "url", "html").alias("key"), text_or_empty("html").alias("html"))
+    return map_batches(keyed, run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, host string, key long, regions string, text string")
+
+
 class Slice:
-    """Blocks and tokens of some pages, with hashes that are the same everywhere: run and anchor at each position (ok:
-    where a run lies in one page), and the hash of each block outside of declared articles."""
+    """Blocks and tokens of some parsed pages, with hashes that are the same everywhere: run and anchor at each position
+    (ok: where a run lies in one page), and the hash of each block outside of declared articles."""
 
-    def __init__(self, hosts: list[str], htmls: list[str | None]):
-        self.blocks = [blocks_of(x) for x in htmls]
-        self.words: list[str] = []
-        sizes, places, short, contents = [], [], [], []
+    def __init__(self, hosts: list[str], regions: list[str], texts: list[str]):
+        self.blocks = [[(_REGION[r], t) for r, t in zip(x, text.split("\n"))] for x, text in zip(regions, texts)]
+        places, short, contents = [], [], []
         for p, blocks in enumerate(self.blocks):
-            before = len(self.words)
-            declared = any(r == "main" for r, *_ in blocks)
-            contents.append("\n".join(t for r, _, t in blocks if r == ("main" if declared else "open")))
-            for i, (region, _, text) in enumerate(blocks):
-                words = text.split()
-                if region == "open" and len(words) >= SHORT:
+            wanted = "main" if any(r == "main" for r, _ in blocks) else "open"
+            contents.append("\n".join(t for r, t in blocks if r == wanted))
+            for i, (region, text) in enumerate(blocks):
+                if region == "open" and text.count(" ") >= SHORT - 1:
                     places.append((p, i))
-                    short.append(" ".join(words))
-                self.words += words
-            sizes.append(len(self.words) - before)
-        self.ends = np.cumsum(sizes)
-        self.page = np.repeat(np.arange(len(sizes)), sizes)
+                    short.append(text)
+        h, self.page, self.raw, self.starts, self.stops = word_spans([t.encode("utf-8", "surrogatepass") for t in texts])
+        self.tokens = len(h)
+        self.ends = np.cumsum(np.bincount(self.page, minlength=len(texts)))
         self.content = _hashes(contents).view(np.int64)
         seeds = _hashes(hosts)
-        n = max(0, len(self.words) - RUN + 1)
-        h, seed = _hashes(self.words), seeds[self.page]
+        n = max(0, len(h) - RUN + 1)
+        seed = seeds[self.page]
         self.run = window_hashes(h, seed, RUN)
         self.ok = self.page[:n] == self.page[RUN - 1 : RUN - 1 + n]
         gram = window_hashes(h, seed, GRAM)
@@ -228,6 +256,10 @@ class Slice:
         self.places = places
         self.block = _mixed(_hashes(short) + seeds[[p for p, _ in places]] * np.uint64(3)) if places else np.zeros(0, np.uint64)
 
+    def words(self, first: int, last: int) -> str:
+        """The tokens from first to last, one space between two."""
+        return self.raw[self.starts[first] : self.stops[last]].decode("utf-8", "surrogatepass").replace("\n", " ")
+
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """(page, hash) of anchors and blocks."""
         page = np.concatenate([self.page[: len(self.ok)][self.ok], np.array([p for p, _ in self.places], np.int64)])
@@ -235,9 +267,8 @@ class Slice:
 
 
 def _slices(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Slice]]:
-    for k in range(0, b.num_rows, SLICE):
-        part = b.slice(k, SLICE)
-        yield part, Slice(part.column("host").to_pylist(), part.column("html").to_pylist())
+    for part in chunks(iter([b]), "text", most=SLICE):
+        yield part, Slice(*(part.column(c).to_pylist() for c in ("host", "regions", "text")))
 
 
 def _few(frame: pd.DataFrame, by: list[str]) -> pd.DataFrame:
@@ -246,6 +277,13 @@ def _few(frame: pd.DataFrame, by: list[str]) -> pd.DataFrame:
     return frame[frame.groupby(by, sort=False).cumcount() < MIN_PAGES]
 
 
+def _among(values: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Which of values are in found, which is sorted."""
+    if not len(found):
+        return np.zeros(len(values), bool)
+    return found[np.minimum(np.searchsorted(found, values), len(found) - 1)] == values
+
+
 def _several(rows: DataFrame, by: str) -> DataFrame:
     """The values of by that MIN_PAGES contents have."""
     return rows.select(by, "content").repartition(by).distinct().groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES).select(by)
@@ -268,14 +306,14 @@ def _tell(keyed: DataFrame, wanted: DataFrame, runs: bool):
                 own = pd.DataFrame({"key": key, "hash": h}).drop_duplicates()
                 yield pa.RecordBatch.from_pandas(own, preserve_index=False)
 
-    asked = keyed.mapInArrow(ask, "key long, hash long").distinct()
+    asked = map_batches(keyed, ask, "key long, hash long").distinct()
     found = asked.join(wanted, "hash").groupBy("key").agg(F.collect_list("hash").alias("found"))
     return keyed.join(found, "key", "left"), lambda found: np.unique(found.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
 
 
 def boilerplate(keyed: DataFrame) -> DataFrame:
     """hash: of the runs that MIN_PAGES contents of a host share, and of their anchors and of blocks that they have whole,
-    from keyed (host, key, html)."""
+    from keyed (host, key, regions, text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -283,27 +321,27 @@ def boilerplate(keyed: DataFrame) -> DataFrame:
                 page, h = s.pairs()
                 yield pa.RecordBatch.from_pandas(_few(pd.DataFrame({"hash": h, "content": s.content[page]}), ["hash"]), preserve_index=False)
 
-    first = cut(_several(keyed.mapInArrow(count, "hash long, content long"), "hash"), "anchors")
+    first = cut(_several(map_batches(keyed, count, "hash long, content long"), "hash"), "anchors")
     asked, known = _tell(keyed, first, False)
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, s in _slices(b):
                 n = len(s.ok)
-                at = np.flatnonzero(s.ok & np.isin(s.anchor.view(np.int64), known(part.column("found"))))
+                at = np.flatnonzero(s.ok & _among(s.anchor.view(np.int64), known(part.column("found"))))
                 page, anchor = s.page[:n][at], s.anchor[at]
                 new = np.ones(len(at), bool)
                 new[1:] = (np.diff(at) > 1) | (page[1:] != page[:-1]) | (anchor[1:] != anchor[:-1])
                 begin = np.flatnonzero(new)
                 last = np.append(begin[1:], len(at)) - 1
                 hosts = part.column("host").to_pylist()
-                texts = [" ".join(s.words[at[i] : at[j] + RUN]) for i, j in zip(begin, last)]
+                texts = [s.words(at[i], at[j] + RUN - 1) for i, j in zip(begin, last)]
                 own = pd.DataFrame({"host": [hosts[p] for p in page[begin]], "anchor": anchor[begin].view(np.int64), "content": s.content[page[begin]], "text": texts})
                 own = _few(own, ["anchor", "text"]).astype({"host": object, "text": object})
                 kinds = [("host", pa.string()), ("anchor", pa.int64()), ("content", pa.int64()), ("text", pa.string())]
                 yield pa.RecordBatch.from_arrays([pa.array(own[c].tolist(), k) for c, k in kinds], names=[c for c, _ in kinds])
 
-    found = cut(asked.mapInArrow(passages, "host string, anchor long, content long, text string"), "passages")
+    found = cut(map_batches(asked, passages, "host string, anchor long, content long, text string"), "passages", "zstd")
     sizes = found.groupBy("host").agg(F.ceil(F.count("*") / SEGMENTS).alias("lots"))
     lots = found.join(_small(sizes), "host").withColumn("lot", F.pmod("anchor", "lots"))
 
@@ -314,7 +352,7 @@ def boilerplate(keyed: DataFrame) -> DataFrame:
         for words, hit in zip(streams, starts):
             if hit.any():
                 seed = np.repeat(_hashes([key[0]]), len(words))
-                out.append(window_hashes(_hashes(words), seed, RUN)[hit[: len(words) - RUN + 1]].view(np.int64))
+                out.append(window_hashes(word_spans([" ".join(words).encode("utf-8", "surrogatepass")])[0], seed, RUN)[hit[: len(words) - RUN + 1]].view(np.int64))
         return pd.DataFrame({"hash": np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)})
 
     return cut(lots.groupBy("host", "lot").applyInPandas(sort, "hash long").union(first), "runs").distinct()
@@ -324,11 +362,14 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def main_text(blocks: list[tuple[str, str, str]], covered: np.ndarray, shared: set[int]) -> str:
+def main_text(blocks: list[tuple[str, str]], covered: np.ndarray, shared: set[int]) -> str:
     """The text of a page, from its blocks, which of its tokens lie in shared runs, and which blocks are shared whole."""
+    if not covered.any() and not shared:
+        sizes = {r: sum(t.count(" ") + 1 for x, t in blocks if x == r) for r in ("main", "open")}
+        return "\n".join(t for r, t in blocks if r == "main" or (r == "open" and sizes["open"] > sizes["main"]))
     at, parts = 0, {"main": [], "open": []}
-    for i, (region, _, text) in enumerate(blocks):
-        words = text.split()
+    for i, (region, text) in enumerate(blocks):
+        words = text.split(" ")
         gone = covered[at : at + len(words)]
         at += len(words)
         if region in parts:
@@ -340,7 +381,7 @@ def main_text(blocks: list[tuple[str, str, str]], covered: np.ndarray, shared: s
     teaser = unique["open"] > (sizes["main"] if copy else unique["main"])
     kept = []
     at = {"main": iter(parts["main"]), "open": iter(parts["open"])}
-    for region, *_ in blocks:
+    for region, _ in blocks:
         if region in at:
             text, _, own = next(at[region])
             if region == "main":
@@ -352,26 +393,25 @@ def main_text(blocks: list[tuple[str, str, str]], covered: np.ndarray, shared: s
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and text of each row of pages (page_id, url, html)."""
-    keyed = pages.select("page_id", "url", text_or_empty("html").alias("html"), F.xxhash64("page_id", "url", "html").alias("key"), _host("url").alias("host"))
-    narrow = keyed.select("host", "key", "html")
-    asked, known = _tell(keyed, boilerplate(narrow), True)
+    keyed = cut(parsed(pages), "parsed", "zstd")
+    asked, known = _tell(keyed, boilerplate(keyed.select("host", "key", "regions", "text")), True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, s in _slices(b):
                 hashes = known(part.column("found"))
-                starts = np.zeros(len(s.words), bool)
-                starts[: len(s.ok)] = s.ok & np.isin(s.run.view(np.int64), hashes)
+                starts = np.zeros(s.tokens, bool)
+                starts[: len(s.ok)] = s.ok & _among(s.run.view(np.int64), hashes)
                 covered = spread(starts)
                 shared: dict[int, set[int]] = {}
-                for (p, i), hit in zip(s.places, np.isin(s.block.view(np.int64), hashes)):
+                for (p, i), hit in zip(s.places, _among(s.block.view(np.int64), hashes)):
                     if hit:
                         shared.setdefault(p, set()).add(i)
                 begin = np.append(0, s.ends)
                 texts = [main_text(x, covered[begin[p] : begin[p + 1]], shared.get(p, set())) for p, x in enumerate(s.blocks)]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return asked.select("page_id", "url", "html", "host", "found").mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string")
+    return map_batches(asked.select("page_id", "url", "regions", "text", "host", "found"), run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,19 +21,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word of all texts, and the text that it belongs to."""
-    raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
-    b = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+def word_spans(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+    """Of all words of all texts a hash and the text that it belongs to; the texts in a row, and where in it words begin
+    and end."""
+    joined = b" ".join(raw) + b" "
+    b = np.frombuffer(joined, np.uint8)
     lengths = np.fromiter((len(x) + 1 for x in raw), np.int64, len(raw))
-    if not len(raw):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
     space = (b == 32) | ((b >= 9) & (b <= 13))
     edge = np.flatnonzero(np.diff(np.concatenate([[1], space.view(np.int8)])))
-    starts, ends = edge[::2], edge[1::2]  # the text ends with a space, so words begin and end in turn
+    starts, ends = edge[::2], edge[1::2]  # the texts end with a space, so words begin and end in turn
     ends = ends[: len(starts)]
     if not len(starts):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), joined, starts, ends
     sizes = ends - starts
     begin = np.cumsum(sizes) - sizes
     power = np.full(sizes.max(), _B, np.uint64)
@@ -41,8 +40,12 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     power = np.multiply.accumulate(power)
     place = np.arange(sizes.sum()) - np.repeat(begin, sizes)  # of each byte in its word
     h = mix(np.add.reduceat((b[~space].astype(np.uint64) + np.uint64(1)) * power[place], begin))
-    of = np.searchsorted(np.cumsum(lengths), starts, side="right")
-    return h, of
+    return h, np.searchsorted(np.cumsum(lengths), starts, side="right"), joined, starts, ends
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each lower-cased word of all texts, and the text that it belongs to."""
+    return word_spans([t.lower().encode("utf-8", "surrogatepass") for t in texts])[:2]
 
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -95,3 +95,9 @@ def test_boilerplate_is_counted_over_the_whole_host(spark, monkeypatch):
     monkeypatch.setattr(H, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(H, "SEGMENTS", 2)
     assert dict(rows(spark, H.extract(df))) == dict(enumerate(bodies))
+
+
+def test_names_and_unclosed_containers(spark):
+    """A class of content that also names sharing, and a container of other media that nothing closes, hide nothing."""
+    data = ['<article><div class="content share-text"><p>Body text here</p></div></article>', "<article><p>begins<textarea>draft<p>goes on</p></article>", '<article><div class="social-share">x</div><p>told</p></article>']
+    assert dict(rows(spark, H.extract(pages_df(spark, data)))) == {0: "Body text here", 1: "beginsdraft\ngoes on", 2: "told"}
