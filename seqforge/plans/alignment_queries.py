@@ -274,3 +274,14 @@ def indel_region_merge(spark, d):
 def haplotypes(spark, d):
     a = V.alignments(spark, d).withColumn("region_start", F.floor(F.col("pos") / 1000))
     return realign.haplotypes(a)
+
+
+@query("L12_previous_region", _ALN + """, x AS (SELECT DISTINCT contig, pos // 1000 AS region_start, 2 AS n, CASE WHEN nm % 3 = 1 THEN 'D' ELSE 'I' END AS op, pos + len // 2 AS ref_pos FROM aln WHERE nm % 3 <> 0),
+ p AS (SELECT *, lag(region_start * 1000 + 700) OVER (PARTITION BY contig ORDER BY region_start) AS e FROM (SELECT DISTINCT contig, region_start FROM x)),
+ y AS (SELECT x.* FROM x JOIN p USING (contig, region_start) WHERE e IS NULL OR ref_pos + 1 > e + 700)
+ SELECT contig, region_start, n, op, ref_pos, haplotypes FROM (SELECT *, count(*) OVER (PARTITION BY contig, region_start) AS haplotypes FROM y) WHERE haplotypes >= 2""")
+def previous_region(spark, d):
+    """Regions of 1,000 bases that end 1,400 bases after their begin, so indels may lie in the one before."""
+    a = V.alignments(spark, d).withColumn("region_start", F.floor(F.col("pos") / 1000))
+    seen = a.where("nm % 3 <> 0").select("contig", F.col("region_start").alias("start")).distinct().withColumn("end", F.col("start") * 1000 + 1400)
+    return realign.haplotypes(a, realign.previous_ends(seen))
