@@ -1,3 +1,4 @@
+import random
 from pathlib import Path
 
 import duckdb
@@ -41,3 +42,13 @@ def test_query_against_sql(spark):
 def test_the_plan_has_no_python(spark):
     plan = D.op7_decontamination(spark, str(DATA))._jdf.queryExecution().toString() if DATA.exists() else ""
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_fingerprints_within_the_radius_meet_in_a_block():
+    rnd = random.Random(3)
+    for k in range(500):
+        a = rnd.getrandbits(D.BITS)
+        b = a
+        for bit in rnd.sample(range(D.BITS), rnd.randrange(D.RADIUS + 1) if k % 2 else D.RADIUS):
+            b ^= 1 << bit
+        assert any(((a >> 16 * j ^ b >> 16 * j) & 0xFFFF).bit_count() <= D.NEAR for j in range(D.BLOCKS))

@@ -1,6 +1,7 @@
 from pathlib import Path
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from seqforge.llm import language_id as L
@@ -42,3 +43,28 @@ def test_held_out_accuracy(spark):
     out = L.op8_language_id(spark, str(DATA)).where("held_out").join(docs, "doc_id").where("lang IS NOT NULL AND lang_pred <> 'und'")
     n, right = out.agg(F.count("*"), F.sum((F.col("lang") == F.col("lang_pred")).cast("int"))).first()
     assert n > 200 and right / n > 0.97
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
+def test_against_plain_compression(spark):
+    """Every text with every dictionary, block by block, by zstandard alone."""
+    docs = spark.read.parquet(str(DATA.parent / "sf0.001" / "documents.parquet"))
+    known = L.fit(docs)
+    rows = docs.select("doc_id", "text").collect() + [(9001, "Ja"), (9002, EN + FR), (9003, None)]
+    want = {}
+    for i, text in rows:
+        if not text or not any(c.isalpha() for c in text):
+            want[i] = ("und", True)
+            continue
+        raw = text.lower().encode().translate(None, bytes(c for c in range(128) if not chr(c).isalpha() and c not in b" \n"))
+        sizes = []
+        for lang, content in known.items():
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            size = 0
+            for at in range(0, max(1, len(raw)), L.BLOCK):
+                size += len(zstandard.ZstdCompressor(level=L.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw[at : at + L.BLOCK]))
+            sizes.append((size, len(sizes), lang))
+        (best, _, lang), (second, *_), *_ = sorted(sizes)
+        want[i] = (lang, second - best < L.MIN_MARGIN * second - L.ROUNDING)
+    frame = spark.createDataFrame([tuple(r) for r in rows], "doc_id long, text string")
+    assert {r["doc_id"]: (r["lang_pred"], r["lang_rejected"]) for r in L.classify(frame, known).collect()} == want

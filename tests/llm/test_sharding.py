@@ -47,3 +47,21 @@ def test_edges(spark):
     df = spark.createDataFrame([(i, t, 0, "p") for i, t in rows], "doc_id long, text string, shard int, part string")
     check(rows, S.sharded(df, 4).collect(), 4)
     assert S.sharded(df.limit(0), 4).count() == 0
+
+
+def test_groups_that_fit_stay_whole_and_ties_are_placed(spark):
+    """Groups of a third of a shard, all of one size; only what no shard can hold is cut."""
+    rows = [(g * 100 + i, f"group {g:03d} " + "x" * 90) for g in range(24) for i in range(20)]
+    rows += [(90_000 + i, "the largest group of all " * 4) for i in range(400)]
+    shards = 8
+    got = S.sharded(spark.createDataFrame(rows, "doc_id long, text string"), shards).collect()
+    check(rows, got, shards)
+    where, size = defaultdict(set), Counter()
+    for r in got:
+        size[r["shard"]] += r["size"]
+        if r["id"] < 90_000:
+            where[r["id"] // 100].add(r["shard"])
+    assert all(len(x) == 1 for x in where.values())
+    assert len({r["shard"] for r in got if r["id"] >= 90_000}) > 1
+    mean = sum(size.values()) / shards
+    assert max(size.values()) < 1.3 * mean and min(size.values()) > 0.7 * mean
