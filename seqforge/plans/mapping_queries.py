@@ -280,9 +280,13 @@ def pair_enumerate(spark, d):
     return P.enumerate_pairs(_frags(spark, d)).select("fragment", "id1", "id2", "distance", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query("P03_pair_greedy")
+@query("P03_pair_greedy", _FR.replace("WITH ", "WITH RECURSIVE ", 1) + """, rk AS (SELECT fragment, id1, id2, row_number() OVER (PARTITION BY fragment ORDER BY 0.5 * (mapq1 + mapq2) DESC, id1, id2) AS rank FROM pr WHERE adist BETWEEN 200 AND 800),
+ gr AS (SELECT fragment, id1, id2, rank, true AS kept, [id1] AS one, [id2] AS two FROM rk WHERE rank = 1
+  UNION ALL SELECT k.fragment, k.id1, k.id2, k.rank, NOT (list_contains(one, k.id1) OR list_contains(two, k.id2)), CASE WHEN list_contains(one, k.id1) OR list_contains(two, k.id2) THEN one ELSE list_append(one, k.id1) END, CASE WHEN list_contains(one, k.id1) OR list_contains(two, k.id2) THEN two ELSE list_append(two, k.id2) END
+   FROM gr JOIN rk k ON k.fragment = gr.fragment AND k.rank = gr.rank + 1)
+ SELECT fragment, id1, id2, rank FROM gr WHERE kept""")
 def pair_greedy(spark, d):
-    return P.greedy_pairs(P.enumerate_pairs(_frags(spark, d)))
+    return P.greedy_pairs(P.enumerate_pairs(_frags(spark, d))).select("fragment", "id1", "id2", F.col("rank").cast("long").alias("rank"))
 
 
 @query("P04_pair_rescue", _FR + """, r AS (SELECT fragment, id1, id2, mapq1 % 3 AS m1, mapq2 % 3 AS m2, 0.5 * (mapq1 % 3 + mapq2 % 3) AS score FROM pr WHERE adist BETWEEN 200 AND 800),
@@ -406,9 +410,16 @@ def canonical_search(spark, d):
     return splice.best_split(_gaps(spark, d)).select("id", F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"), "motif", "mism", "score", "start", "end")
 
 
-@query("R05_semi_canonical_search")
+_CUTS = ORACLES["R04_canonical_search"].split(" SELECT id, l, r, motif, mism, 0.5")[0]
+_BEST = "QUALIFY row_number() OVER (PARTITION BY id ORDER BY 0.5 * (12 - mism) - 0.4 * mism DESC, l) = 1"
+
+
+@query("R05_semi_canonical_search", _CUTS + f""", b1 AS (SELECT * FROM (SELECT * FROM m WHERE motif IN ('GT-AG', 'CT-AC') {_BEST}) WHERE mism <= 10),
+ b2 AS (SELECT * FROM (SELECT * FROM m WHERE motif IN ('AT-AC', 'GT-AT', 'GC-AG', 'CT-GC') AND id NOT IN (SELECT id FROM b1) {_BEST}) WHERE mism <= 10)
+ SELECT id, l, r, motif, mism, 0.5 * (12 - mism) - 0.4 * mism AS score, 1000 + l + 2 AS start, 1200 - r AS "end", CASE WHEN motif IN ('CT-AC', 'GT-AT', 'CT-GC') THEN 1 ELSE 0 END AS strand FROM (SELECT * FROM b1 UNION ALL SELECT * FROM b2)""")
 def semi_canonical(spark, d):
-    return splice.search_junctions(_gaps(spark, d))
+    out = splice.search_junctions(_gaps(spark, d))
+    return out.select("id", F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"), "motif", "mism", "score", "start", "end", "strand")
 
 
 @query("R06_break_candidates", V.duck("aln") + """, x AS (SELECT frag AS id, nm % 3 AS kind, ln * 3 AS off, ln % 2 AS side FROM aln), dn AS (SELECT DISTINCT id, kind, 12 AS gap_read, off FROM x WHERE side = 1), ac AS (SELECT DISTINCT id, kind, off FROM x WHERE side = 0)
