@@ -33,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free, map_batches, parts
+from .common import chunks, cut, free, map_batches, parts
 
 BROADCAST_ROWS = 2_000_000
-CACHED_WORDS = 300_000
-#: A longer word's scores aren't kept.
-CACHED_CHARS = 64
+CACHED_WORDS = 500_000
+#: Characters of all words whose scores are kept, at most.
+CACHED_CHARS = 16 << 20
 #: Characters of a word that are scored at a time.
 PIECE = 1 << 14
 FREQUENT = 1000
@@ -248,14 +248,13 @@ class Scorer:
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihood of each word by class, and its number of events."""
-        if max(map(len, words), default=0) <= PIECE:
-            return self._pieces([f"{_LEFT}{w}{_RIGHT}" for w in words], np.ones(len(words), np.int64))
-        sums, events = np.zeros((len(words), self.classes)), np.zeros(len(words), np.int64)
+        sums, events = self._pieces([f"{_LEFT}{w}{_RIGHT}" if len(w) <= PIECE else "" for w in words], np.ones(len(words), np.int64))
         for i, w in enumerate(words):
+            if len(w) <= PIECE:
+                continue
             s = f"{_LEFT}{w}{_RIGHT}"
             for at in range(0, len(s), PIECE):  # a piece begins with the context of its first event
-                skip = min(at, self.order) or 1
-                got, n = self._pieces([s[max(0, at - self.order) : at + PIECE]], np.array([skip]))
+                got, n = self._pieces([s[max(0, at - self.order) : at + PIECE]], np.array([min(at, self.order) or 1]))
                 sums[i] += got[0]
                 events[i] += n[0]
         return sums, events
@@ -294,7 +293,10 @@ class Scorer:
                 left[miss] = n - 1
             else:
                 score[miss] += self.floor
-        sums = np.add.reduceat(score, starts, axis=0) if len(starts) else np.zeros((0, m))
+        sums = np.zeros((len(pieces), m))
+        some = lengths > 0
+        if some.any():
+            sums[some] = np.add.reduceat(score, starts[some], axis=0)
         return sums, np.maximum(lengths - skip, 0)
 
 
@@ -307,6 +309,7 @@ class WordScores:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
+        self.chars = 0
         self.scores, self.events = np.zeros((0, self.scorer.classes)), np.zeros(0, np.int64)
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -327,8 +330,9 @@ class WordScores:
             self.scores[base : base + len(new)], self.events[base : base + len(new)] = s, n
         i = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
         out = self.scores[i], self.events[i]
-        if max(map(len, new), default=0) > CACHED_CHARS and sum(map(len, new)) > PIECE:
-            self.clear()  # long words are not to fill the memory
+        self.chars += sum(map(len, new))
+        if self.chars > CACHED_CHARS:  # few long words
+            self.clear()
         return out
 
 
@@ -361,8 +365,11 @@ def score_documents(docs: DataFrame, model: Model, measures: Measures, words_of:
             _scorers.clear()
             _scorers[key] = WordScores(Scorer(*shipped.value, order, m, vocabulary))
         score = _scorers[key]
-        for b in batches:
-            got = np.array([of(*score(words_of(t.as_py()))) for t in b.column(text_col)], float).reshape(-1, len(names))
+        for b in chunks(batches, text_col):  # new words of many texts are scored together
+            words = [words_of(t.as_py()) for t in b.column(text_col)]
+            scores, events = score([w for x in words for w in x])
+            ends = np.cumsum([0, *map(len, words)])
+            got = np.array([of(scores[i:j], events[i:j]) for i, j in zip(ends, ends[1:])], float).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in others), *(pa.array(got[:, i]) for i in range(len(names)))], names=[*(f.name for f in others), *names])
 
     return map_batches(docs, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), *(f"{n} double" for n in names)]))
