@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import sequence as S
 from ..operators import mapping as M
 from ..operators import reads as R
 from ..operators import recalibration as B
 from ..operators.intervals import overlap_join
-from ..operators.settle import new_path
+from ..operators.settle import new_path, settled
 from ..sources import sinks, tables
 from ..sources import text_records as T
 from . import mapping_queries, quality_queries
@@ -45,6 +46,16 @@ def fastq_scan(spark, d):
     return _records(T.read_fastq(spark, _written(spark, V.reads(spark, d))))
 
 
+@query("SC02_fastq_pairs", V.duck("reads") + " SELECT read_id, CAST(1 AS BIGINT) AS mate, seq FROM reads UNION ALL SELECT read_id, 2, reverse(translate(seq, 'ACGTN', 'TGCAN')) FROM reads")
+def fastq_pairs(spark, d):
+    """Both files of a pair are written by the same tasks, so they have the same records."""
+    both = settled(V.reads(spark, d))
+    first, second = _written(spark, both), _written(spark, both.withColumn("seq", S.revcomp("seq")).withColumn("qual", F.reverse("qual")))
+    files = lambda path: sorted(r[0] for r in spark.read.text(path).select("_metadata.file_path").distinct().collect())  # noqa: E731 - names of files
+    rows = T.read_fastq_pairs(spark, files(first), files(second))
+    return rows.select(F.col("read_id").cast("long").alias("read_id"), F.col("mate").cast("long").alias("mate"), "seq")
+
+
 @query("SC03_fastq_gz", _READS)
 def fastq_gz(spark, d):
     return _records(T.read_fastq(spark, _written(spark, V.reads(spark, d), "gzip")))

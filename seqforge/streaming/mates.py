@@ -14,7 +14,7 @@ from ..operators.alignments import FIRST, SECOND, SECONDARY, has
 _PAIR = "qname string, contig1 string, pos1 long, contig2 string, pos2 long"
 
 
-def _matcher(wait_ms: int):
+def _matcher(wait_ms: int | None):
     def match(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         """Unmatched mates of a name are the state: [(first, contig, pos, mpos)]."""
         columns = ["qname", "contig1", "pos1", "contig2", "pos2"]
@@ -36,7 +36,8 @@ def _matcher(wait_ms: int):
                 out.append((key[0], a[1], a[2], b[1], b[2]))
         if waiting:
             state.update(([list(w) for w in waiting],))
-            state.setTimeoutDuration(wait_ms)
+            if wait_ms is not None:
+                state.setTimeoutDuration(wait_ms)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=columns)
@@ -44,12 +45,13 @@ def _matcher(wait_ms: int):
     return match
 
 
-def match_mates(stream: DataFrame, wait_ms: int = 3_600_000) -> DataFrame:
+def match_mates(stream: DataFrame, wait_ms: int | None = None) -> DataFrame:
     """Pairs of primary mates (qname, flag, contig, pos, mpos) of a stream; a mate waits in the state until its other
-    one comes, or for wait_ms since its name was last seen."""
+    one comes. wait_ms: at most so long since its name was last seen; such a stream has batches without data too, in
+    which states time out, so it wants a trigger with an interval."""
     rows = stream.where(~has(SECONDARY) & (has(FIRST) | has(SECOND))).select("qname", has(FIRST).alias("first"), F.col("contig").cast("string").alias("contig"), "pos", "mpos")
     state = "waiting array<struct<first:boolean,contig:string,pos:long,mpos:long>>"
-    return rows.groupBy("qname").applyInPandasWithState(_matcher(wait_ms), _PAIR, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("qname").applyInPandasWithState(_matcher(wait_ms), _PAIR, state, "append", GroupStateTimeout.NoTimeout if wait_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def position_quality(stream: DataFrame) -> DataFrame:
