@@ -66,9 +66,9 @@ def insert_size(regions: DataFrame, spread: int = 300, far: int = 10_000, least:
 
 def enumerate_pairs(alignments: DataFrame, low: int = MIN_DISTANCE, high: int = MAX_DISTANCE) -> DataFrame:
     """All pairs of alignments (fragment, mate, contig, id, pos, len, mapq) within the distance, with score (mean mapq)
-    and rank."""
+    and rank; of pairs with equal scores and ids the nearer one comes first."""
     pairs = _mates(alignments, {"id": "id", "pos": "pos", "len": "len", "mapq": "mapq"}).withColumn("distance", alignment_distance()).where(F.col("distance").between(low, high))
-    w = Window.partitionBy("fragment").orderBy(F.desc("score"), "id1", "id2")
+    w = Window.partitionBy("fragment").orderBy(F.desc("score"), "id1", "id2", "distance")
     return pairs.withColumn("score", 0.5 * (F.col("mapq1") + F.col("mapq2"))).withColumn("rank", F.row_number().over(w))
 
 

@@ -275,12 +275,12 @@ def insert_size(spark, d):
     return P.insert_size(_frags(spark, d))
 
 
-@query("P02_pair_enumerate", _FR + " SELECT fragment, id1, id2, adist AS distance, 0.5 * (mapq1 + mapq2) AS score, row_number() OVER (PARTITION BY fragment ORDER BY 0.5 * (mapq1 + mapq2) DESC, id1, id2) AS rank FROM pr WHERE adist BETWEEN 200 AND 800")
+@query("P02_pair_enumerate", _FR + " SELECT fragment, id1, id2, adist AS distance, 0.5 * (mapq1 + mapq2) AS score, row_number() OVER (PARTITION BY fragment ORDER BY 0.5 * (mapq1 + mapq2) DESC, id1, id2, adist) AS rank FROM pr WHERE adist BETWEEN 200 AND 800")
 def pair_enumerate(spark, d):
     return P.enumerate_pairs(_frags(spark, d)).select("fragment", "id1", "id2", "distance", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query("P03_pair_greedy", _FR.replace("WITH ", "WITH RECURSIVE ", 1) + """, rk AS (SELECT fragment, id1, id2, row_number() OVER (PARTITION BY fragment ORDER BY 0.5 * (mapq1 + mapq2) DESC, id1, id2) AS rank FROM pr WHERE adist BETWEEN 200 AND 800),
+@query("P03_pair_greedy", _FR.replace("WITH ", "WITH RECURSIVE ", 1) + """, rk AS (SELECT fragment, id1, id2, row_number() OVER (PARTITION BY fragment ORDER BY 0.5 * (mapq1 + mapq2) DESC, id1, id2, adist) AS rank FROM pr WHERE adist BETWEEN 200 AND 800),
  gr AS (SELECT fragment, id1, id2, rank, true AS kept, [id1] AS one, [id2] AS two FROM rk WHERE rank = 1
   UNION ALL SELECT k.fragment, k.id1, k.id2, k.rank, NOT (list_contains(one, k.id1) OR list_contains(two, k.id2)), CASE WHEN list_contains(one, k.id1) OR list_contains(two, k.id2) THEN one ELSE list_append(one, k.id1) END, CASE WHEN list_contains(one, k.id1) OR list_contains(two, k.id2) THEN two ELSE list_append(two, k.id2) END
    FROM gr JOIN rk k ON k.fragment = gr.fragment AND k.rank = gr.rank + 1)
