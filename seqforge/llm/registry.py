@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["bpe", "quality_lm", "quality_rules", "html_text", "sharding", "near_dedup", "decontamination", "language_id", "line_dedup", "toxicity", "resampling", "vector_codes"]
+MODULES = ["bpe", "quality_lm", "quality_rules", "html_text", "sharding", "near_dedup", "decontamination", "language_id", "line_dedup", "toxicity", "ngram_join", "vector_codes", "resampling"]
 
 
 def collected() -> tuple[dict, dict]:
