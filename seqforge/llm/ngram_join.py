@@ -8,12 +8,13 @@ Two texts link if the Jaccard similarity of their sets of SIZE-word shingles is
    n - ceil(PERCENT n / 100) + 1 shingles (its prefix). Only shingles of the low share are counted, so the counting has
    LOW of all shingles as rows; a set with fewer of them than its prefix is long counts its next ones as well. A set
    whose prefix has a shingle that nobody shares in every place is out: most texts end here.
-3. Nodes that share a prefix shingle are a group; of shingles with the same nodes one stays. First every node goes to its
-   largest group only, in lots of bounded size that all hold the group's leader (the node with most company), and each
-   lot is joined by its trie: most of each cloud of copies becomes one component.
-4. Groups whose nodes aren't one component yet are joined completely: the nodes outside of the group's main component are
-   a query set, compared in blocks of bounded size with all nodes of the group. So no pair of a group is left out, and
-   none is emitted without being a link that merges two components.
+3. Nodes that share a prefix shingle are a group; of shingles with the same nodes one stays. Groups with common nodes are a
+   cluster, and a cluster of up to WHOLE shingles is one lot, joined by its trie: its sets travel once.
+4. In larger clusters every node first goes to its largest group only, in lots of bounded size that all hold the group's
+   leader (the node with most company), so that most of a cloud of copies becomes one component. Then groups whose nodes
+   aren't one component yet are joined completely: the nodes outside of the group's main component are a query set,
+   compared in blocks of bounded size with all nodes of the group. So no pair of a group is left out, and none is emitted
+   without being a link that merges two components.
 
 A lot's trie stores its sets as paths of shingles, those that most of its sets have first, so that copies share long
 paths; an edge holds a run of shingles without a fork. A set that asks goes down from the root, all edges of a depth at
@@ -47,8 +48,8 @@ from .shingles import mix, word_spans
 SIZE, PERCENT = 4, 85
 #: Share of the hashes whose shingles are counted.
 LOW = 0.3
-#: Shingles of a lot, of a block that asks and of one that is asked, about.
-LOT, ASKING, ASKED = 1 << 16, 1 << 16, 1 << 17
+#: Shingles of a cluster that is one lot at most; of a lot, of a block that asks and of one that is asked, about.
+WHOLE, LOT, ASKING, ASKED = 1 << 20, 1 << 16, 1 << 16, 1 << 17
 #: Rows broadcast at most to pick texts before they are shuffled.
 BROADCAST_IDS = 2_000_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], np.uint64)
@@ -247,6 +248,16 @@ def _groups(reps: DataFrame, percent: int) -> DataFrame:
     return cut(prefixes.join(groups, "token").select(F.col("token").alias("gid"), "node", "n", "size", "total"), "members")
 
 
+def _clusters(members: DataFrame) -> DataFrame:
+    """node, n, cluster and whole (if the cluster is one lot) of all nodes of members."""
+    lowest = members.groupBy("gid").agg(F.min("node").alias("a"))
+    star = members.join(cut(lowest, "lowest"), "gid").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    of = cut(components(star).select(F.col("id").alias("node"), F.col("comp").alias("cluster")), "clusters")
+    sized = of.join(members.select("node", "n").distinct(), "node")
+    totals = cut(sized.groupBy("cluster").agg((F.sum("n") <= WHOLE).alias("whole")), "totals")
+    return cut(sized.join(totals, "cluster").select("node", "n", "cluster", "whole"), "clusters")
+
+
 def _first_lots(members: DataFrame) -> DataFrame:
     """Rows (gid, bx, by, asks, node, comp) of the lots in which each node is in its largest group, with that group's leader."""
     mine = members.groupBy("node").agg(F.max(F.struct("size", "gid"))["gid"].alias("gid"), F.first("n").alias("n"), F.sum("size").alias("company"))
@@ -316,13 +327,19 @@ def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: st
     ours = sketched.join(reps.select("node"), "node", "left_semi").select("node", "n", "low", "tokens")
     members = _groups(ours, percent)
     rows = reps.select("node", "id", "th")
-    links = _joined(_first_lots(members), docs, rows, size, percent)
+    clusters = _clusters(members)
+    lots = clusters.where("whole").select((-1 - F.col("cluster")).alias("gid"), F.lit(0).alias("bx"), F.lit(0).alias("by"), F.lit(False).alias("asks"), "node", F.col("node").alias("comp"))
+    large = clusters.where("NOT whole")
+    more = not large.isEmpty()
+    if more:
+        members = cut(members.join(large.select("node"), "node", "left_semi"), "large")
+        lots = lots.union(_first_lots(members))
+    links = _joined(lots, docs, rows, size, percent)
     labels = components(links)
-    undecided = cut(_open_lots(members, labels), "open")
-    if not undecided.isEmpty():
-        more = _joined(undecided, docs, rows, size, percent)
-        if not more.isEmpty():
-            labels = components(links.union(more))
+    if more:
+        undecided = cut(_open_lots(members, labels), "open")
+        if not undecided.isEmpty():
+            labels = components(links.union(_joined(undecided, docs, rows, size, percent)))
     by_link = reps.select("c1", "c2", "node", "first").join(labels.select(F.col("id").alias("node"), "comp"), "node")
     firsts = by_link.groupBy("comp").agg(F.min("first").alias("low_id"))
     by_link = by_link.join(firsts, "comp").select("c1", "c2", "low_id")

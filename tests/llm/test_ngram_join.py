@@ -60,9 +60,10 @@ def run(spark, rows, **how):
     return sorted(((r["id"], r["n_shingles"], r["component_id"]) for r in J.linked(df, **how).collect()), key=str)
 
 
-@pytest.mark.parametrize("lot", [1 << 16, 300])
-def test_clouds_match_brute_force(spark, monkeypatch, lot):
+@pytest.mark.parametrize("whole, lot", [(1 << 20, 1 << 16), (1000, 300)])
+def test_clouds_match_brute_force(spark, monkeypatch, whole, lot):
     """Near copies on both sides of the threshold, a passage that all of some texts share, and lots of a few sets each."""
+    monkeypatch.setattr(J, "WHOLE", whole)
     for name in ("LOT", "ASKING"):
         monkeypatch.setattr(J, name, lot)
     monkeypatch.setattr(J, "ASKED", 2 * lot)
