@@ -8,16 +8,19 @@ a join by window, never a broadcast of a genome.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cigar as C
-from ..functions import scores
+from ..functions import kmers, scores
 from ..functions import sequence as S
 from . import kernels
 from .intervals import islands
-from .reads import seeds, with_strands
+from .reads import with_strands
 
 K = 18
 WINDOW = 1 << 12
@@ -50,9 +53,8 @@ def mark_decoys(contigs: DataFrame, names: DataFrame) -> DataFrame:
 def kmer_index(reference: DataFrame, k: int = K, most: int = 2000) -> DataFrame:
     """kmer, contig, pos of every k-mer that doesn't begin with N and stands at fewer than most places. reference:
     contig, start, bases, where windows overlap by k - 1 so that each k-mer stands in one (see windows)."""
-    at = F.explode(F.sequence(F.lit(0), F.length("bases") - k)).alias("i")
-    words = reference.where(F.length("bases") >= k).select("contig", "start", "bases", at)
-    found = words.select(S.kmer_code(F.expr(f"substring(bases, i + 1, {k})")).alias("kmer"), "contig", (F.col("start") + F.col("i")).cast("long").alias("pos"), F.expr("substring(bases, i + 1, 1)").alias("_b")).where("_b <> 'N'").drop("_b")
+    kind = reference.schema["contig"].dataType.simpleString()
+    found = reference.select("contig", F.col("start").cast("long").alias("start"), "bases").mapInArrow(lambda it: kmers.window_kmers(it, k), f"kmer long, contig {kind}, pos long")
     frequent = found.groupBy("kmer").agg(F.count("*").alias("n")).where(F.col("n") >= most).select("kmer")
     return found.join(frequent, "kmer", "left_anti")
 
@@ -74,14 +76,44 @@ def fetch(spans: DataFrame, reference: DataFrame, id_cols: list[str], width: int
     return parts.groupBy(*id_cols, "contig", "start", "end").agg(joined.alias("bases"))
 
 
+def spanning(reference: DataFrame, longest: int, width: int = WINDOW) -> DataFrame:
+    """contig, window and bases from each window's start on, as far as a span of longest bases from it may reach.
+    reference: windows of width without overlap."""
+    more = -(-longest // width)
+    copies = reference.select("contig", F.floor(F.col("start") / width).alias("w"), "bases", F.explode(F.sequence(F.lit(0), F.lit(more))).alias("back"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("back", "bases"))), lambda x: x["bases"]), "")
+    both = copies.where("w >= back").groupBy("contig", (F.col("w") - F.col("back")).alias("window")).agg(joined.alias("bases"), F.min("back").alias("first"))
+    return both.where("first = 0").select("contig", "window", "bases")
+
+
+def fetch_short(spans: DataFrame, long_windows: DataFrame, width: int = WINDOW) -> DataFrame:
+    """spans (contig, start, end; half-open) with their bases, by one join: no span is longer than the windows reach (see
+    spanning), so no pieces are put together."""
+    lo = F.greatest(F.col("start"), F.lit(0))
+    asked = spans.withColumn("_w", F.floor(lo / width))
+    have = long_windows.select("contig", F.col("window").alias("_w"), F.col("bases").alias("_b"))
+    piece = F.col("_b").substr((lo - F.col("_w") * width + 1).cast("int"), F.greatest(F.col("end") - lo, F.lit(0)).cast("int"))
+    return asked.join(have, ["contig", "_w"]).withColumn("bases", piece).drop("_w", "_b")
+
+
 # -- seeds and exact hits
 
 
+def read_seeds(reads: DataFrame, k: int = K, number: int = 20) -> DataFrame:
+    """read_id, strand, read_pos, kmer and length of each seed of both strands."""
+    kind = reads.schema["read_id"].dataType.simpleString()
+    return reads.select("read_id", "seq").mapInArrow(lambda it: kmers.read_seeds(it, k, number), f"read_id {kind}, strand int, read_pos long, kmer long, length long")
+
+
 def seed_hits(reads: DataFrame, index: DataFrame, k: int = K, number: int = 20, limit: int = 2000) -> DataFrame:
     """read_id, strand, contig, read_pos, pos of each seed's places; seeds at limit places or more are dropped."""
-    hits = seeds(with_strands(reads), k, number).select("read_id", "strand", "read_pos", "kmer").join(index, "kmer")
+    hits = read_seeds(reads, k, number).drop("length").join(index, "kmer")
     n = F.count("*").over(Window.partitionBy("read_id", "strand", "read_pos"))
-    return hits.withColumn("_n", n).where(F.col("_n") < limit).select("read_id", "strand", "contig", F.col("read_pos").cast("long").alias("read_pos"), "pos")
+    return hits.withColumn("_n", n).where(F.col("_n") < limit).select("read_id", "strand", "contig", "read_pos", "pos")
+
+
+def longest_read(reads: DataFrame) -> int:
+    return reads.agg(F.max(F.length("seq")).alias("n")).first()["n"] or 1
 
 
 def exact_reads(reads: DataFrame, index: DataFrame, reference: DataFrame, k: int = K, most: int = 500, width: int = WINDOW) -> DataFrame:
@@ -90,18 +122,27 @@ def exact_reads(reads: DataFrame, index: DataFrame, reference: DataFrame, k: int
     both = with_strands(reads).where(F.length("seq") >= k)
     probe = both.select("read_id", "strand", F.col("seq").alias("s"), S.kmer_code(F.substring("seq", 1, k)).alias("kmer"))
     places = probe.join(index, "kmer").select("read_id", "strand", "s", "contig", F.col("pos").alias("start"), (F.col("pos") + F.length("s")).alias("end"))
-    got = fetch(places, reference, ["read_id", "strand", "s"], width).where("bases = s")
+    got = fetch_short(places, spanning(reference, longest_read(reads), width), width).where("bases = s")
     n = F.count("*").over(Window.partitionBy("read_id"))
-    return got.withColumn("_n", n).where(F.col("_n") <= most).select("read_id", "strand", "contig", F.col("start").alias("pos"), F.concat(F.length("s").cast("string"), F.lit("=")).alias("cigar"), F.length("s").cast("long").alias("length"))
+    return got.select("read_id", "strand", "contig", F.col("start").alias("pos"), F.length("s").alias("_l")).withColumn("_n", n).where(F.col("_n") <= most).select("read_id", "strand", "contig", "pos", F.concat(F.col("_l").cast("string"), F.lit("=")).alias("cigar"), F.col("_l").cast("long").alias("length"))
 
 
 def longest_matches(hits: DataFrame, reads: DataFrame, reference: DataFrame, k: int = K, width: int = WINDOW) -> DataFrame:
     """Of each seed the hits with the longest match to the right, all ties, with match_len."""
     sides = with_strands(reads).select("read_id", "strand", F.col("seq").alias("s"))
-    spans = hits.join(sides, ["read_id", "strand"]).select("read_id", "strand", "read_pos", F.expr("substring(s, read_pos + 1)").alias("rest"), "contig", F.col("pos").alias("start"), (F.col("pos") + F.length("s") - F.col("read_pos")).alias("end"))
-    got = fetch(spans, reference, ["read_id", "strand", "read_pos", "rest"], width).withColumn("match_len", S.common_prefix("rest", "bases"))
+    spans = hits.join(sides, ["read_id", "strand"]).select("read_id", "strand", "read_pos", F.expr("substring(s, int(read_pos + 1))").alias("rest"), "contig", F.col("pos").alias("start"), (F.col("pos") + F.length("s") - F.col("read_pos")).alias("end"))
+    got = fetch_short(spans, spanning(reference, longest_read(reads), width), width)
+    names = ["read_id", "strand", "contig", "read_pos", "start"]
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = kmers.common_prefixes(b.column("rest"), b.column("bases"))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(n)], names=[*names, "match_len"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in got.schema.fields}
+    long = got.select(*names, "rest", "bases").mapInArrow(measured, ", ".join(f"{c} {kinds[c]}" for c in names) + ", match_len long")
     best = F.max("match_len").over(Window.partitionBy("read_id", "strand", "read_pos"))
-    return got.withColumn("_m", best).where("match_len = _m").select("read_id", "strand", "contig", "read_pos", F.col("start").alias("pos"), "match_len")
+    return long.withColumn("_m", best).where("match_len = _m").select("read_id", "strand", "contig", "read_pos", F.col("start").alias("pos"), "match_len")
 
 
 # -- candidate regions
