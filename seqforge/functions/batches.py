@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -44,3 +46,29 @@ def added(total: np.ndarray, part: np.ndarray) -> np.ndarray:
 
 def table(b: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v) for v in b.values()], names=list(b))
+
+
+def _changes(b: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Where a row's keys differ from those of the row before; always in the first."""
+    out = np.ones(b.num_rows, bool)
+    if b.num_rows > 1:
+        out[1:] = False
+        for c in (b.column(k) for k in keys):
+            left, right = c.slice(0, len(c) - 1), c.slice(1)
+            same = pc.fill_null(pc.equal(left, right), False).to_numpy(zero_copy_only=False) | (pc.is_null(left).to_numpy(zero_copy_only=False) & pc.is_null(right).to_numpy(zero_copy_only=False))
+            out[1:] |= ~same
+    return out
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of sorted rows, cut anew so that no group of equal keys is divided, and the number of each row's group."""
+    held = None
+    for b in batches:
+        b = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        new = _changes(b, keys)
+        last = int(np.flatnonzero(new)[-1]) if b.num_rows else 0
+        held = b.slice(last)
+        if last:
+            yield b.slice(0, last), np.cumsum(new[:last]) - 1
+    if held is not None and held.num_rows:
+        yield held, np.zeros(held.num_rows, np.int64)

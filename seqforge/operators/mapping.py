@@ -1,4 +1,4 @@
-"""Mapping reads to a reference: k-mer index, seeds, candidate regions, extension, ranking.
+"""Parts of mapping reads to a reference: k-mer index, seeds, candidate regions, ranking (the flow is in flow.py).
 
 The index is a table (kmer, contig, pos). Seeds meet it in one equi-join; k-mers with too many places are left out of
 the index when it is built, which also bounds the join's skew. Whole-read hits are resolved first and leave the flow,
@@ -9,14 +9,14 @@ a join by window, never a broadcast of a genome.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cigar as C
-from ..functions import kmers, scores
+from ..functions import batches, kmers, scores
 from ..functions import sequence as S
 from . import kernels
 from .intervals import islands
@@ -86,12 +86,24 @@ def spanning(reference: DataFrame, longest: int, width: int = WINDOW) -> DataFra
     return both.where("first = 0").select("contig", "window", "bases")
 
 
-def fetch_short(spans: DataFrame, long_windows: DataFrame, width: int = WINDOW) -> DataFrame:
-    """spans (contig, start, end; half-open) with their bases, by one join: no span is longer than the windows reach (see
-    spanning), so no pieces are put together."""
+class Windows(NamedTuple):
+    """Windows from which spans of up to longest bases can be taken whole (see spanning)."""
+
+    df: DataFrame
+    longest: int
+
+
+def reaching(reference: DataFrame, longest: int, width: int = WINDOW, known: Windows | None = None) -> Windows:
+    """known if it reaches as far as longest, else such windows."""
+    return known if known and known.longest >= longest else Windows(spanning(reference, longest, width), longest)
+
+
+def fetch_short(spans: DataFrame, windows: Windows, width: int = WINDOW) -> DataFrame:
+    """spans (contig, start, end; half-open) with their bases, by one join: no span is longer than the windows reach, so no
+    pieces are put together."""
     lo = F.greatest(F.col("start"), F.lit(0))
     asked = spans.withColumn("_w", F.floor(lo / width))
-    have = long_windows.select("contig", F.col("window").alias("_w"), F.col("bases").alias("_b"))
+    have = windows.df.select("contig", F.col("window").alias("_w"), F.col("bases").alias("_b"))
     piece = F.col("_b").substr((lo - F.col("_w") * width + 1).cast("int"), F.greatest(F.col("end") - lo, F.lit(0)).cast("int"))
     return asked.join(have, ["contig", "_w"]).withColumn("bases", piece).drop("_w", "_b")
 
@@ -116,13 +128,13 @@ def longest_read(reads: DataFrame) -> int:
     return reads.agg(F.max(F.length("seq")).alias("n")).first()["n"] or 1
 
 
-def exact_reads(reads: DataFrame, index: DataFrame, reference: DataFrame, k: int = K, most: int = 500, width: int = WINDOW) -> DataFrame:
+def exact_reads(reads: DataFrame, index: DataFrame, reference: DataFrame, k: int = K, most: int = 500, width: int = WINDOW, windows: Windows | None = None) -> DataFrame:
     """Whole-read matches: the first k-mer's places where the reference goes on as the read does. Reads at more than
     most places are left out."""
     both = with_strands(reads).where(F.length("seq") >= k)
     probe = both.select("read_id", "strand", F.col("seq").alias("s"), S.kmer_code(F.substring("seq", 1, k)).alias("kmer"))
     places = probe.join(index, "kmer").select("read_id", "strand", "s", "contig", F.col("pos").alias("start"), (F.col("pos") + F.length("s")).alias("end"))
-    got = fetch_short(places, spanning(reference, longest_read(reads), width), width).where("bases = s")
+    got = fetch_short(places, windows or reaching(reference, longest_read(reads), width), width).where("bases = s")
     n = F.count("*").over(Window.partitionBy("read_id"))
     return got.select("read_id", "strand", "contig", F.col("start").alias("pos"), F.length("s").alias("_l")).withColumn("_n", n).where(F.col("_n") <= most).select("read_id", "strand", "contig", "pos", F.concat(F.col("_l").cast("string"), F.lit("=")).alias("cigar"), F.col("_l").cast("long").alias("length"))
 
@@ -131,7 +143,7 @@ def longest_matches(hits: DataFrame, reads: DataFrame, reference: DataFrame, k:
     """Of each seed the hits with the longest match to the right, all ties, with match_len."""
     sides = with_strands(reads).select("read_id", "strand", F.col("seq").alias("s"))
     spans = hits.join(sides, ["read_id", "strand"]).select("read_id", "strand", "read_pos", F.expr("substring(s, int(read_pos + 1))").alias("rest"), "contig", F.col("pos").alias("start"), (F.col("pos") + F.length("s") - F.col("read_pos")).alias("end"))
-    got = fetch_short(spans, spanning(reference, longest_read(reads), width), width)
+    got = fetch_short(spans, reaching(reference, longest_read(reads), width), width)
     names = ["read_id", "strand", "contig", "read_pos", "start"]
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,53 +275,18 @@ def rna_rank(cals: DataFrame, cap: int = 200, keep: int = 5, least: float = 30)
     return scored.withColumn("rank", F.row_number().over(by)).where((F.col("rank") <= keep) & ((F.col("rank") == 1) | (F.col("coverage") >= least)))
 
 
-def chains(fragments: DataFrame) -> DataFrame:
-    """Best collinear chain of each (read_id, strand, contig): a read has a bounded number of fragments (seeds x limit
-    of places), so a group is small."""
+def chains(fragments: DataFrame, keys: tuple[str, ...] = ("read_id", "strand", "contig")) -> DataFrame:
+    """Best collinear chain of the fragments (r_start, r_end, g_start, g_end, inclusive) of each group of equal keys, with
+    chain_score. Rows are dealt and sorted by group; whole batches of groups are chained at once. A read has a bounded
+    number of fragments (seeds x limit of places), so a group is small."""
     kind = fragments.schema
-    names = ["read_id", "strand", "contig", "r_start", "r_end", "g_start", "g_end"]
+    names = [*keys, "r_start", "r_end", "g_start", "g_end"]
     ddl = ", ".join(f"{n} {kind[n].dataType.simpleString()}" for n in names)
 
-    def best(group: pd.DataFrame) -> pd.DataFrame:
-        return kernels.chain(group)[[*names, "chain_score"]]
+    def best(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, group in batches.whole_groups(batches_, list(keys)):
+            rows, score = kernels.chains(group, *[b.column(c).to_numpy() for c in names[-4:]])
+            yield pa.RecordBatch.from_arrays([*b.take(pa.array(rows)).columns, pa.array(score[group[rows]])], names=[*names, "chain_score"])
 
-    return fragments.select(*names).groupBy("read_id", "strand", "contig").applyInPandas(best, ddl + ", chain_score double")
-
-
-# -- the whole flow
-
-
-def align(candidates: DataFrame, reads: DataFrame, reference: DataFrame, flank: int = 20, width: int = WINDOW) -> DataFrame:
-    """Affine alignment of reads to their candidate regions (read_id, strand, contig, start, end): pos, cigar with soft
-    clips, score, nm."""
-    sides = with_strands(reads).select("read_id", "strand", F.col("seq").alias("s"))
-    wide = candidates.join(sides, ["read_id", "strand"]).withColumn("_n", F.length("s"))
-    spans = wide.select("read_id", "strand", "s", "contig", F.greatest(F.col("start") - F.col("read_start") - flank, F.lit(0)).alias("start"), (F.col("end") + F.col("_n") - F.col("read_end") + flank).alias("end")).distinct()
-    got = fetch(spans, reference, ["read_id", "strand", "s"], width)
-    run = kernels.smith_waterman()
-    done = got.withColumn("a", run("s", "bases"))
-    left, right = F.col("a.q_start"), F.length("s") - F.col("a.q_end")
-    text = F.concat(F.when(left > 0, F.concat(left.cast("string"), F.lit("S"))).otherwise(""), F.col("a.cigar"), F.when(right > 0, F.concat(right.cast("string"), F.lit("S"))).otherwise(""))
-    return done.where("a.score > 0").select("read_id", "strand", "contig", (F.col("start") + F.col("a.r_start")).alias("pos"), text.alias("cigar"), F.col("a.score").alias("score"), F.length("s").cast("long").alias("length")).withColumn("nm", C.distance(C.parse("cigar")))
-
-
-def map_reads(reads: DataFrame, reference: DataFrame, index: DataFrame, k: int = K, number: int = 20, width: int = WINDOW) -> DataFrame:
-    """Alignments read_id, strand, contig, pos, cigar, score, nm, mapq, status. reads: read_id, seq, qual; reference:
-    windows of width without overlap; index: kmer_index of the same reference."""
-    exact = exact_reads(reads, index, reference, k, width=width).select("read_id", "strand", "contig", "pos", "cigar", (F.col("length") * scores.MATCH).alias("score"), "length", F.lit(0).cast("long").alias("nm"))
-    rest = reads.join(exact.select("read_id").distinct(), "read_id", "left_anti")
-    hits = seed_hits(rest, index, k, number).join(rest.select("read_id", F.length("seq").cast("long").alias("length")), "read_id")
-    placed = hits.select("read_id", "strand", "contig", F.col("read_pos").alias("read_start"), (F.col("read_pos") + k - 1).alias("read_end"), F.col("pos").alias("g_start"), (F.col("pos") + k - 1).alias("g_end"), "length")
-    # overlapping seeds of one diagonal are one exact match
-    line = placed.withColumn("diagonal", F.col("g_start") - F.col("read_start"))
-    runs = islands(line, ["read_id", "strand", "contig", "diagonal"], "read_start", "read_end", 1)
-    merged = runs.groupBy("read_id", "strand", "contig", "diagonal", "island").agg(F.min("read_start").alias("read_start"), F.max("read_end").alias("read_end"), F.min("g_start").alias("g_start"), F.max("g_end").alias("g_end"), F.max("length").alias("length"))
-    regions = diagonal_regions(merged).where(F.col("read_area") >= 20)
-    top = F.max("read_area").over(Window.partitionBy("read_id"))
-    candidates = regions.withColumn("_t", top).where(F.col("read_area") >= 0.6 * F.col("_t")).drop("_t")
-    aligned = align(candidates, rest, reference, width=width)
-    every = exact.unionByName(aligned.select(*exact.columns)).dropDuplicates(["read_id", "strand", "contig", "pos"])
-    # scores in matches, as the mapping quality takes them
-    ranked = rank_regions(every.withColumn("start", F.col("pos")).withColumn("raw", F.col("score")).withColumn("score", F.col("score") / scores.MATCH).withColumn("read_area", F.col("length") - C.left_clip(C.parse("cigar"))))
-    best = with_mapq(ranked).where((F.col("rank") == 1) | ((F.col("mapq") == 0) & (F.col("rank") <= F.col("num_hits"))))
-    return best.select("read_id", "strand", "contig", "pos", "cigar", F.col("raw").alias("score"), "nm", "mapq", F.when(F.col("mapq") == 0, 2).otherwise(0).alias("status"))
+    dealt = fragments.select(*names).repartition(*keys).sortWithinPartitions(*keys, "g_start", "r_start")
+    return dealt.mapInArrow(best, ddl + ", chain_score double")

@@ -26,13 +26,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/seqforge-{uuid.uuid4().hex}/{name}"
 
 
+_written: list[str] = []
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df, checkpointed in the shared folder: neither its plan nor its work is repeated by each reader, and a lost
-    executor takes nothing with it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df, written to the shared folder and read again: neither its plan nor its work is repeated by each reader, and a
+    lost executor takes nothing with it. The files stay until clear."""
+    path = new_path(df.sparkSession, "settled")
+    _written.append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that settled has written in this session: for between queries, when no result of one is read any more."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop()).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df, marked for a broadcast if it has BROADCAST_ROWS rows at most; count what is settled."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for a broadcast if it has so many rows at most; count what is settled."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar as C
 from ..functions import scores
-from ..operators import kernels
+from ..operators import extension, flow, kernels
 from ..operators import mapping as M
 from ..operators import pairing as P
 from ..operators import splice
+from ..operators.settle import settled
 from . import views as V
 
 QUERIES, ORACLES = {}, {}
@@ -80,8 +81,23 @@ def longest_match(spark, d):
 
 @query("Q_map_reads")
 def map_reads(spark, d):
-    """The whole DNA flow: exact hits, seeds, regions, affine alignment, ranking."""
-    return M.map_reads(V.probes(spark, d), V.reference(spark, d), V.index(spark, d), width=V.WIDTH)
+    """The whole DNA flow: exact hits, extended seeds, gaps, second look-up, ranking."""
+    return flow.map_reads(V.probes(spark, d), V.reference(spark, d), V.index(spark, d), width=V.WIDTH)
+
+
+@query("A07_seed_extension")
+def seed_extension(spark, d):
+    """Regions of all probes: extended seeds with spans, errors and CIGARs."""
+    return extension.extended_seeds(V.probes(spark, d), settled(V.index(spark, d)), V.reference(spark, d), width=V.WIDTH)
+
+
+@query("A10_second_look_up")
+def second_look_up(spark, d):
+    """Chains of seeds of the probes that have no exact place."""
+    probes, index = V.probes(spark, d), settled(V.index(spark, d))
+    exact = M.exact_reads(probes, index, V.reference(spark, d), width=V.WIDTH)
+    chained = extension.chained_regions(probes.join(exact, "read_id", "left_anti"), index)
+    return chained.select("read_id", "strand", "contig", "length", "read_area", F.size("seeds").alias("n_seeds"), F.col("seeds")[0]["g_start"].alias("start"), F.element_at("seeds", -1)["g_end"].alias("end"))
 
 
 @query("A12_smith_waterman")

@@ -86,7 +86,13 @@ def reads_in_regions(spark, d):
     return realign.reads_in_regions(a, regions).select("frag", "ln", "pk", "region_start")
 
 
-@query("A09_chain")
+@query("A09_chain", V.duck("aln").replace("WITH ", "WITH RECURSIVE ", 1) + """,
+ f AS (SELECT *, row_number() OVER (PARTITION BY read_id, strand, contig ORDER BY g_start, r_start) AS k FROM (SELECT DISTINCT frag AS read_id, flag // 16 % 2 AS strand, contig, ln * 10 AS r_start, ln * 10 + 17 AS r_end, pos AS g_start, pos + 17 AS g_end FROM aln)),
+ p AS (SELECT read_id, strand, contig, k, r_end, g_end, 18 AS score, [k] AS path FROM f
+  UNION ALL SELECT f.read_id, f.strand, f.contig, f.k, f.r_end, f.g_end, p.score - abs((f.g_start - p.g_end) - (f.r_start - p.r_end)) + 18, list_concat([f.k], p.path) FROM p JOIN f ON f.read_id = p.read_id AND f.strand = p.strand AND f.contig = p.contig
+   AND p.r_end < f.r_start AND p.g_end < f.g_start AND p.score - abs((f.g_start - p.g_end) - (f.r_start - p.r_end)) > 0),
+ best AS (SELECT read_id, strand, contig, score, unnest(path) AS k FROM p QUALIFY row_number() OVER (PARTITION BY read_id, strand, contig ORDER BY score DESC, path) = 1)
+ SELECT read_id, strand, contig, r_start, r_end, g_start, g_end, CAST(score AS DOUBLE) AS chain_score FROM best JOIN f USING (read_id, strand, contig, k)""")
 def chain(spark, d):
     """Best collinear chain of the seeds of each fragment, strand and contig."""
     a = V.alignments(spark, d).selectExpr("frag AS read_id", "flag div 16 % 2 AS strand", "contig", "ln * 10 AS r_start", "ln * 10 + 17 AS r_end", "pos AS g_start", "pos + 17 AS g_end").distinct()

@@ -2,7 +2,7 @@
 
 import random
 
-import pandas as pd
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +10,7 @@ from seqforge.functions import cigar as C
 from seqforge.functions import scores
 from seqforge.functions import sequence as S
 from seqforge.operators import kernels as K
+from seqforge.operators import flow
 from seqforge.operators import mapping as M
 from seqforge.operators import pairing, recalibration
 from seqforge.operators import reads as R
@@ -106,9 +107,9 @@ def test_extension_and_chain():
     assert K.extend("ACGTACGTAC", "ACGTACGTACTT")[:4] == (10, 10, 10, 0)
     assert K.extend("ACGTTCGTACGG", "ACGTACGTACGG")[3] == 1
     assert "1I" in K.extend("ACGTACCGTACGATCGATCC", "ACGTACGTACGATCGATCC")[-1]
-    f = pd.DataFrame([(0, 9, 100, 109), (12, 20, 112, 120), (11, 19, 900, 908), (25, 40, 125, 140)], columns=["r_start", "r_end", "g_start", "g_end"])
-    best = K.chain(f)
-    assert best["g_start"].tolist() == [100, 112, 125] and best["chain_score"].iloc[0] == 35
+    f = np.array([(0, 9, 100, 109), (12, 20, 112, 120), (25, 40, 125, 140), (11, 19, 900, 908)]).T
+    rows, score = K.chains(np.zeros(4, int), *f)
+    assert rows.tolist() == [0, 1, 2] and score.tolist() == [35]
     assert K.left_aligned("ACAAAAGT", "5M1I2M", "ACAAAGT") == "2M1I5M"
     assert K.left_aligned("ACGT", "4M", "ACGT") == "4M"
 
@@ -147,7 +148,7 @@ def test_reads_map_to_their_origin(spark, genome, errors, least):
     contigs = spark.createDataFrame(list(genome.items()), "contig long, bases string")
     reference, index = M.windows(contigs, 1024), M.kmer_index(M.windows(contigs, 1024, M.K - 1))
     reads = spark.createDataFrame(simulated(genome, 200, errors, errors), "read_id string, seq string, qual string")
-    got = M.map_reads(reads, reference, index, width=1024).toPandas()
+    got = flow.map_reads(reads, reference, index, width=1024).toPandas()
     t = got["read_id"].str.split("_", expand=True)
     right = (t[0].astype(int) == got["contig"]) & ((t[1].astype(int) - got["pos"]).abs() <= 5) & (t[3].astype(int) == got["strand"])
     assert got.loc[right, "read_id"].nunique() >= least * 200
