@@ -1,13 +1,15 @@
 """Main text of HTML pages, with suffix arrays per host for what markup doesn't tell.
 
 A page is parsed once and cut into blocks, each with its region. Blocks in containers that name themselves as menus,
-headers, footers, sidebars, notices, adverts, forms or comments are left out. All tokens of a page, those of declared
-articles included, are a stream of its host; what MIN_PAGES pages of different content share on a host, as runs of RUN
-tokens or more, is boilerplate and goes from every page, and so do blocks of SHORT tokens or more outside of declared
-articles that as many pages have whole. Unique runs stay. Markup is a prior: a declared article of which runs cover
-COVERED or more is a copy of others and stays whole; text beside a declared article is kept where more of it is unique
-than of the article, which then is a teaser. Content is the text of the declared articles, or else of all blocks that
-no container names.
+headers, footers, sidebars, notices, adverts, forms or comments are left out. The tokens of a page are streams of its host,
+one for each stretch of blocks of one region, so no run goes over a region's border. What MIN_PAGES pages of different
+content share on a host, as runs of RUN tokens or more, is boilerplate, and so are blocks of SHORT tokens or more outside
+of declared articles that as many pages have whole. It goes wherever markup doesn't vouch for the text: from all of a page
+without a declared article, and within one from blocks that stand in no element of prose (PROSE), such as a bare div.
+Paragraphs, headings and lists of a declared article stay, shared or not: articles quote the same passages. Unique runs
+stay. A declared article of which runs cover COVERED or more is a copy of others and stays whole; text beside a declared
+article is kept where more of it is unique than of the article, which then is a teaser. Content is the text of the
+declared articles, or else of all blocks that no container names.
 
 Counts are those of the whole host, however large. Of each run of RUN tokens the anchor, its GRAM tokens of the least
 hash, is counted by host; equal runs have equal anchors. Passages around the anchors that MIN_PAGES contents share are
@@ -49,7 +51,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|
 _MARK = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORD = re.compile(r"[a-z]+")
-_REGION = {"m": "main", "c": "chrome", "o": "open"}
+_REGION = {"m": "main", "b": "bare", "c": "chrome", "o": "open"}
 #: Their content isn't text.
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "textarea", "title", "head"}
 #: Of these, what hides the rest of a page that doesn't close them.
@@ -57,6 +59,8 @@ UNSEEN = {"script", "style", "head"}
 CHROME = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu"}
 MAIN = {"article", "main"}
 BLOCK = set("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption dialog menu".split())
+#: What vouches for the text of a declared article.
+PROSE = set("article main p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th figcaption caption summary legend address".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SPACED = {"br", "td", "th"}
 #: Words of class, id and role that name what isn't the article.
@@ -72,7 +76,7 @@ def names_chrome(marks: str) -> bool:
 
 
 def blocks_of(html: str | None) -> list[tuple[str, str]]:
-    """(region, text) of each block with text; region: main, chrome or open."""
+    """(region, text) of each block with text; region: main, bare (main, but in no element of prose), chrome or open."""
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []  # tag, region
     parts: list[str] = []
@@ -82,7 +86,8 @@ def blocks_of(html: str | None) -> list[tuple[str, str]]:
         text = " ".join(unescape("".join(parts)).split()) if parts else ""
         parts.clear()
         if text:
-            out.append((stack[-1][1] if stack else "open", text))
+            region = stack[-1][1] if stack else "open"
+            out.append(("bare" if region == "main" and stack[-1][0] not in PROSE else region, text))
 
     ends: dict[str, int] = {}  # where the last end tag of a name begins
 
@@ -230,14 +235,14 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 class Slice:
     """Blocks and tokens of some parsed pages, with hashes that are the same everywhere: run and anchor at each position
-    (ok: where a run lies in one page), and the hash of each block outside of declared articles."""
+    (ok: where a run lies in one region of a page), and the hash of each block outside of declared articles."""
 
     def __init__(self, hosts: list[str], regions: list[str], texts: list[str]):
         self.blocks = [[(_REGION[r], t) for r, t in zip(x, text.split("\n"))] for x, text in zip(regions, texts)]
         places, short, contents = [], [], []
         for p, blocks in enumerate(self.blocks):
-            wanted = "main" if any(r == "main" for r, _ in blocks) else "open"
-            contents.append("\n".join(t for r, t in blocks if r == wanted))
+            wanted = ("main", "bare") if any(r in ("main", "bare") for r, _ in blocks) else ("open",)
+            contents.append("\n".join(t for r, t in blocks if r in wanted))
             for i, (region, text) in enumerate(blocks):
                 if region == "open" and text.count(" ") >= SHORT - 1:
                     places.append((p, i))
@@ -250,7 +255,9 @@ class Slice:
         n = max(0, len(h) - RUN + 1)
         seed = seeds[self.page]
         self.run = window_hashes(h, seed, RUN)
-        self.ok = self.page[:n] == self.page[RUN - 1 : RUN - 1 + n]
+        border = [k == 0 or r != blocks[k - 1][0] for blocks in self.blocks for k, (r, _) in enumerate(blocks)]
+        stretch = np.repeat(np.cumsum(border), [t.count(" ") + 1 for blocks in self.blocks for _, t in blocks]) if border else np.zeros(0, np.int64)
+        self.ok = stretch[:n] == stretch[RUN - 1 : RUN - 1 + n]
         gram = window_hashes(h, seed, GRAM)
         self.anchor = np.minimum.reduce([gram[k : k + n] for k in range(RUN - GRAM + 1)]) if n else self.run
         self.places = places
@@ -365,16 +372,16 @@ def _small(df: DataFrame) -> DataFrame:
 def main_text(blocks: list[tuple[str, str]], covered: np.ndarray, shared: set[int]) -> str:
     """The text of a page, from its blocks, which of its tokens lie in shared runs, and which blocks are shared whole."""
     if not covered.any() and not shared:
-        sizes = {r: sum(t.count(" ") + 1 for x, t in blocks if x == r) for r in ("main", "open")}
-        return "\n".join(t for r, t in blocks if r == "main" or (r == "open" and sizes["open"] > sizes["main"]))
+        sizes = {r: sum(t.count(" ") + 1 for x, t in blocks if ("main" if x == "bare" else x) == r) for r in ("main", "open")}
+        return "\n".join(t for r, t in blocks if r in ("main", "bare") or (r == "open" and sizes["open"] > sizes["main"]))
     at, parts = 0, {"main": [], "open": []}
     for i, (region, text) in enumerate(blocks):
         words = text.split(" ")
         gone = covered[at : at + len(words)]
         at += len(words)
-        if region in parts:
+        if region != "chrome":
             own = [] if i in shared else [w for w, g in zip(words, gone) if not g]
-            parts[region].append((text, len(words), own))
+            parts["main" if region == "bare" else region].append((text, len(words), own))
     sizes = {r: sum(n for _, n, _ in p) for r, p in parts.items()}
     unique = {r: sum(len(own) for *_, own in p) for r, p in parts.items()}
     copy = sizes["main"] > 0 and sizes["main"] - unique["main"] >= COVERED * sizes["main"]
@@ -382,11 +389,12 @@ def main_text(blocks: list[tuple[str, str]], covered: np.ndarray, shared: set[in
     kept = []
     at = {"main": iter(parts["main"]), "open": iter(parts["open"])}
     for region, _ in blocks:
-        if region in at:
-            text, _, own = next(at[region])
-            if region == "main":
-                kept.append(text if copy else " ".join(own))
-            elif not sizes["main"] or teaser:
+        if region in ("main", "bare"):
+            text, _, own = next(at["main"])
+            kept.append(text if copy or region == "main" else " ".join(own))
+        elif region == "open":
+            _, _, own = next(at["open"])
+            if not sizes["main"] or teaser:
                 kept.append(" ".join(own))
     return "\n".join(t for t in kept if t)
 

@@ -101,3 +101,31 @@ def test_names_and_unclosed_containers(spark):
     """A class of content that also names sharing, and a container of other media that nothing closes, hide nothing."""
     data = ['<article><div class="content share-text"><p>Body text here</p></div></article>', "<article><p>begins<textarea>draft<p>goes on</p></article>", '<article><div class="social-share">x</div><p>told</p></article>']
     assert dict(rows(spark, H.extract(pages_df(spark, data)))) == {0: "Body text here", 1: "beginsdraft\ngoes on", 2: "told"}
+
+
+def test_runs_end_at_region_borders(spark):
+    """A short last paragraph that articles share, before a footer that the host shares, is no run together with it; and
+    longer passages that articles quote stay as well."""
+    rnd = random.Random(14)
+    last, quote = "so it was and so it will be", words(rnd, 30)
+    bodies = [words(rnd, 40) for _ in range(8)]
+    data = [f"<article><p>{b}</p><p>{quote}</p><p>{last}</p></article><footer>site example all rights reserved by us imprint privacy terms contact</footer>" for b in bodies]
+    assert dict(rows(spark, H.extract(pages_df(spark, data)))) == {i: f"{b}\n{quote}\n{last}" for i, b in enumerate(bodies)}
+
+
+def test_hosts_without_articles_by_precision_and_recall(spark):
+    """Hosts that mark nothing: blocks in bare divs, menus and footers between unique text. Words that should stay and words
+    that do, over all pages."""
+    rnd = random.Random(15)
+    data, want = [], []
+    for host in range(6):
+        top, low, aside = words(rnd, 14), words(rnd, 25), words(rnd, 8)
+        for page in range(20):
+            body = [words(rnd, rnd.randrange(5, 60)) for _ in range(rnd.randrange(1, 6))]
+            blocks = [top, *body[:1], *([aside] if page % 2 else []), *body[1:], low]
+            data.append((len(data), f"https://h{host}.example/{page}", "".join(f"<div>{b}</div>" for b in blocks)))
+            want.append("\n".join(body))
+    got = dict(rows(spark, H.extract(spark.createDataFrame(data, "page_id long, url string, html string"))))
+    right = sum(len(set(got[i].split()) & set(w.split())) for i, w in enumerate(want))
+    assert right >= 0.999 * sum(len(set(w.split())) for w in want)  # recall
+    assert right >= 0.99 * sum(len(set(t.split())) for t in got.values())  # precision
