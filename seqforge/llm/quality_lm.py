@@ -2,12 +2,13 @@
 
 The model (kneser_ney) learns from four fifths of the documents labelled as good, picked by a hash of their ids. Every
 document gets the perplexity of its characters within words; it is kept if that isn't beyond its language's threshold,
-a high quantile of the perplexities of the last fifth, which the model hasn't seen, with some slack. Quantiles are exact
-to the rank error of KLL sketches, merged over tasks.
+a high quantile of the perplexities of the last fifth, which the model hasn't seen, with some slack. The distribution of a
+language is a mixture, its own with weight n / (n + PRIOR) and that of all languages with the rest, so each language has a
+threshold of its own, and none jumps at a size. Quantiles are exact to the rank error of KLL sketches, merged over tasks.
 
 Defined cases: a null or empty text has no perplexity (null) and isn't kept; texts of any length are scored whole; a
-language without LEAST trusted documents in the last fifth, and null languages, take the threshold of all languages;
-documents without labels, and null ids, aren't trusted; a perplexity equal to the threshold is kept; repeated rows are
+language without trusted documents in the last fifth takes the threshold of all languages, null is a language like
+others; documents without labels, and null ids, aren't trusted; a perplexity equal to the threshold is kept; repeated rows are
 scored alike; with nothing trusted every text with a word is kept; an empty table gives an empty result; further
 columns of the tables, whatever their names, are not read.
 """
@@ -19,10 +20,13 @@ from pyspark.sql import functions as F
 
 from . import kneser_ney
 from .common import cut, table
+from .quantiles import borrowed_weights, mixed_quantiles
 from .toxicity import BROADCAST_LABELS
 
 ORDER = 5
-QUANTILE, SLACK, LEAST = 0.995, 1.05, 50
+QUANTILE, SLACK = 0.995, 1.05
+#: A language with so many trusted documents in the last fifth counts half by itself, and half by all languages.
+PRIOR = 5
 #: Accuracy of the sketches: ranks err by about 0.002.
 SKETCH_K = 2000
 MEASURES = kneser_ney.Measures(
@@ -50,11 +54,13 @@ def judged(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     scored = scored.withColumn("perplexity", F.when(F.col("events") > 0, F.exp(-F.col("loglik") / F.col("events"))))
     good = scored.where("klass = 0 AND apart AND perplexity IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n"), F.kll_sketch_agg_double("perplexity", SKETCH_K).alias("sketch"))
     whole = good.agg(F.sum("n").alias("all_n"), F.kll_merge_agg_double("sketch", SKETCH_K).alias("all_sketch"))
-    limit = lambda s: F.kll_sketch_get_quantile_double(s, F.lit(QUANTILE)) * SLACK
-    by_lang = good.where(F.col("n") >= LEAST).select(F.col("lang").alias("_lang"), limit(F.col("sketch")).alias("own"))
-    rest = whole.where("all_n > 0").select(limit(F.col("all_sketch")).alias("rest"))
-    joined = scored.join(by_lang, F.col("lang") == F.col("_lang"), "left").join(F.broadcast(rest), F.lit(True), "left")  # rest is one row
-    threshold = F.coalesce("own", "rest")
+    good = cut(good, "sketches")
+    whole = cut(whole.where("all_n > 0"), "whole")
+    langs = scored.select("lang").distinct().join(good.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left").join(F.broadcast(whole))  # whole is one row
+    mixed = mixed_quantiles([F.col("sketch"), F.col("all_sketch")], borrowed_weights(F.col("n"), F.col("all_n"), prior=PRIOR), [QUANTILE])[0]
+    limits = cut(langs.select(F.col("lang").alias("_lang"), (mixed * SLACK).alias("threshold")), "limits")
+    joined = scored.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    threshold = F.col("threshold")
     kept = F.col("perplexity").isNotNull() & (threshold.isNull() | (F.col("perplexity") <= threshold))
     return joined.select("doc_id", "lang", F.col("events").cast("long").alias("n_events"), "perplexity", threshold.alias("threshold"), kept.alias("kept"))
 

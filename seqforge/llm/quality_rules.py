@@ -1,10 +1,12 @@
 """Quality rules with thresholds that the data set.
 
 Each document gets counts of its words, symbols and repetitions. Ratios of these counts go, by language and source,
-into mergeable KLL quantile sketches; sketches of small sources are merged into those of their language, and these
-into one of all documents. A document fails a rule if its ratio lies beyond the threshold of its group: upper quartile
-+ SPREAD x interquartile range or, where the middle half of the group has one value (most have no symbol at all), the
-quantile TAIL. No threshold is fixed. They are a few rows a (language, source) pair and join the documents by that pair.
+into mergeable KLL quantile sketches, which are merged into those of their language, and these into one of all documents.
+The distribution of a group is a mixture: its own with weight n / (n + PRIOR), n being its documents, its language's with
+the like share of the rest, and that of all documents. So every (language, source) pair has thresholds of its own, a small
+one close to those of its language, and none of them jumps at a size. A document fails a rule if its ratio lies beyond the
+threshold of its group: upper quartile + SPREAD x interquartile range or, where the middle half of the group has one value
+(most have no symbol at all), the quantile TAIL. No threshold is fixed. They are a row for each pair and join by it.
 
 Defined cases: a null or empty text has no words and fails the base; null languages and sources form groups of their
 own; a ratio equal to the threshold passes, so a group of equal ratios fails nowhere; repeated rows are judged alike;
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, cut, map_batches, table
+from .quantiles import borrowed_weights, mixed_quantiles
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -34,8 +37,9 @@ RULES = [
     ("word_length", "word_chars", "n_words"),
 ]
 SPREAD, TAIL = 6.0, 0.99
-#: Documents below which a group takes the sketch of its language, and a language that of all.
-LEAST = 200
+#: A group of so many documents counts half by itself, and half by its language; a language likewise, and all documents.
+#: Small, since the quantile TAIL is that of others as soon as they have more than 1 - TAIL of the mixture.
+PRIOR = 5
 #: Accuracy of the sketches: ranks err by about 0.003.
 SKETCH_K = 1000
 
@@ -97,30 +101,26 @@ def ratio(n: str, d: str) -> Column:
     return F.when(F.col(d) > 0, F.col(n) / F.col(d)).otherwise(0.0)
 
 
-def thresholds(counts: DataFrame, spread: float = SPREAD, tail: float = TAIL, least: int = LEAST) -> DataFrame:
-    """A row for each (lang, source) with max_<ratio>: groups of under least documents use the sketch of their
-    language, languages of under least documents that of all documents."""
+def thresholds(counts: DataFrame, spread: float = SPREAD, tail: float = TAIL, prior: float = PRIOR) -> DataFrame:
+    """A row for each (lang, source) with max_<ratio>, from its own distribution, its language's and that of all."""
     base = counts.where("n_words >= 10").select("lang", "source", *[ratio(n, d).alias(r) for r, n, d in RULES])
     names = [r for r, *_ in RULES]
-    own = base.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(r, SKETCH_K).alias(r) for r in names])
+    own = cut(base.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(r, SKETCH_K).alias(r) for r in names]), "sketches")
     merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(r, SKETCH_K).alias(r) for r in names]]
     by_lang = own.groupBy("lang").agg(*merged)
     whole = own.agg(*merged)
     a, b, c = own.alias("a"), by_lang.alias("b"), whole.alias("c")
     joined = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang"))).join(F.broadcast(c))  # c is one row
-
-    def limit(r: str) -> Column:
-        sketch = F.when(F.col("a.n") >= least, F.col(f"a.{r}")).when(F.col("b.n") >= least, F.col(f"b.{r}")).otherwise(F.col(f"c.{r}"))
-        q1, q3, far = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75, tail))
-        return F.when(q3 > q1, q3 + spread * (q3 - q1)).otherwise(far).alias(f"max_{r}")
-
-    return joined.select(F.col("a.lang").alias("lang"), F.col("a.source").alias("source"), *[limit(r) for r in names])
+    weights = borrowed_weights(F.col("a.n"), F.col("b.n"), F.col("c.n"), prior=prior)
+    points = joined.select(F.col("a.lang").alias("lang"), F.col("a.source").alias("source"), *[mixed_quantiles([F.col(f"{t}.{r}") for t in "abc"], weights, [0.25, 0.75, tail]).alias(r) for r in names])
+    limit = lambda r: F.when(F.col(r)[1] > F.col(r)[0], F.col(r)[1] + spread * (F.col(r)[1] - F.col(r)[0])).otherwise(F.col(r)[2])
+    return points.select("lang", "source", *[limit(r).alias(f"max_{r}") for r in names])
 
 
 def judged(docs: DataFrame, spread: float = SPREAD, tail: float = TAIL) -> DataFrame:
     """doc_id, COUNTS, base_failed, kept and the first rule that failed (null: none)."""
     counts = cut(document_counts(docs.select("doc_id", "text", "lang", "source")), "counts")
-    limits = thresholds(counts, spread, tail).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    limits = cut(thresholds(counts, spread, tail), "limits").withColumnsRenamed({"lang": "_lang", "source": "_source"})
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     rule = F.coalesce(*[F.when(ratio(n, d) > F.col(f"max_{r}"), F.lit(r)) for r, n, d in RULES])

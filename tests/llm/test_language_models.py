@@ -151,13 +151,22 @@ def test_quality_against_plain_counting(spark):
     word = brute_model([t for i, t, _ in docs if i < 400 and i not in apart], 3)
     perplexity = {i: math.exp(-sum(map(word, t.split())) / sum(len(w) + 1 for w in t.split())) for i, t, _ in docs}
     held = sorted(p for i, p in perplexity.items() if i in apart and i < 400)
-    assert len(held) >= quality_lm.LEAST
+    assert len(held) >= 50
     limit = held[-int(-quality_lm.QUANTILE * len(held) // 1) - 1] * quality_lm.SLACK
     for r in quality_lm.judged(frame, labels, 3).collect():
         assert r["perplexity"] == pytest.approx(perplexity[r["doc_id"]], rel=1e-4) and r["threshold"] == pytest.approx(limit, rel=1e-4)
         assert r["kept"] == (perplexity[r["doc_id"]] <= limit)
 
 
+def test_each_language_has_its_own_threshold(spark):
+    docs = [(i, t, ("en", "fr", None)[i % 3] if i % 7 else "rare") for i, t in enumerate(corpus(400, 25))]
+    docs = [(i, t + (" qqq zzq" if lang == "fr" else ""), lang) for i, t, lang in docs]
+    labels = spark.createDataFrame([(i, 1) for i in range(400)], "doc_id long, quality int")
+    got = quality_lm.judged(spark.createDataFrame(docs, SCHEMA), labels, 3).select("lang", "threshold").distinct().collect()
+    limit = {r["lang"]: r["threshold"] for r in got}
+    assert len(got) == 4 and limit["fr"] not in (limit["en"], limit[None]) and limit["en"] != limit[None]
+
+
 def test_toxicity_against_plain_counting(spark):
     """Features of texts and their score, from two plain models with shared lower orders."""
     rows = [(i, t + (" zorg vile" if i % 2 else ""), i % 2) for i, t in enumerate(corpus(80, 31))]

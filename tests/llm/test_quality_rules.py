@@ -1,7 +1,9 @@
 import random
 import re
+from bisect import bisect_right
 
 from seqforge.llm import quality_rules as Q
+from seqforge.llm.quantiles import STEPS
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -81,15 +83,24 @@ def test_against_plain_quantiles(spark):
         if c["n_words"] >= 10:
             for key in ((lang, source), (lang, "any"), "all"):
                 groups.setdefault(key, []).append(i)
-    at = lambda x, q: x[max(0, -int(-q * len(x) // 1) - 1)]
+
+    def at(parts, q):
+        """The smallest value at which the mixture of (weight, sorted values), each at the middles of equal steps, reaches q."""
+        steps = [(w, [v[max(0, -int(-(k + 0.5) * len(v) // STEPS) - 1)] for k in range(STEPS)]) for w, v in parts if v]
+        return next(x for x in sorted({x for _, v in parts for x in v}) if sum(w * bisect_right(v, x) / STEPS for w, v in steps) >= q - 1e-9)
+
     want = {}
     for i, _, lang, source in rows:
-        mine = next(g for key in ((lang, source), (lang, "any"), "all") if len(g := groups.get(key, [])) >= Q.LEAST or key == "all")
+        nested = [groups.get(key, []) for key in ((lang, source), (lang, "any"), "all")]
+        left, weights = 1.0, []
+        for g in nested[:2]:
+            weights.append(left * len(g) / (len(g) + Q.PRIOR))
+            left *= Q.PRIOR / (len(g) + Q.PRIOR)
         first = None
         for r, *_ in Q.RULES:
-            x = sorted(ratios[k][1][r] for k in mine)
-            q1, q3 = at(x, 0.25), at(x, 0.75)
-            limit = q3 + Q.SPREAD * (q3 - q1) if q3 > q1 else at(x, Q.TAIL)
+            parts = [(w, sorted(ratios[k][1][r] for k in g)) for w, g in zip([*weights, left], nested)]
+            q1, q3 = at(parts, 0.25), at(parts, 0.75)
+            limit = q3 + Q.SPREAD * (q3 - q1) if q3 > q1 else at(parts, Q.TAIL)
             first = first or (r if ratios[i][1][r] > limit else None)
         want[i] = (not ratios[i][0] and first is None, first)
     got = {r["doc_id"]: (r["kept"], r["failed_rule"]) for r in Q.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
@@ -101,3 +112,15 @@ def test_ties_at_the_threshold_pass(spark):
     """A group whose ratios are all equal fails no rule."""
     rows = [(i, "one two three four five six seven eight nine ten eleven #", "en", "s") for i in range(250)]
     assert all(r["kept"] for r in Q.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect())
+
+
+def test_every_group_has_its_own_thresholds(spark):
+    """Groups of a few documents differ as well, and a group's weight grows with it."""
+    rnd = random.Random(3)
+    rows = []
+    for k, source in enumerate("abcdef"):
+        for _ in range(12 + 40 * k):
+            rows.append((len(rows), " ".join("x" * rnd.randrange(2 + k, 9 + k) for _ in range(20)), "en", source))
+    counts = Q.document_counts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    got = {r["source"]: r["max_word_length"] for r in Q.thresholds(counts).collect()}
+    assert len({*got.values()}) == 6
