@@ -4,11 +4,13 @@ Mates meet in equi-joins on (fragment, contig); a fragment has a bounded number
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scores
+from ..functions import batches, scores
 
 MIN_DISTANCE, MAX_DISTANCE = 200, 800
 
@@ -67,26 +69,31 @@ def insert_size(regions: DataFrame, spread: int = 300, far: int = 10_000, least:
 def enumerate_pairs(alignments: DataFrame, low: int = MIN_DISTANCE, high: int = MAX_DISTANCE) -> DataFrame:
     """All pairs of alignments (fragment, mate, contig, id, pos, len, mapq) within the distance, with score (mean mapq)
     and rank; of pairs with equal scores and ids the nearer one comes first."""
-    pairs = _mates(alignments, {"id": "id", "pos": "pos", "len": "len", "mapq": "mapq"}).withColumn("distance", alignment_distance()).where(F.col("distance").between(low, high))
+    more = {c: c for c in ("strand", "points") if c in alignments.columns}
+    pairs = _mates(alignments, {"id": "id", "pos": "pos", "len": "len", "mapq": "mapq"} | more).withColumn("distance", alignment_distance()).where(F.col("distance").between(low, high))
     w = Window.partitionBy("fragment").orderBy(F.desc("score"), "id1", "id2", "distance")
     return pairs.withColumn("score", 0.5 * (F.col("mapq1") + F.col("mapq2"))).withColumn("rank", F.row_number().over(w))
 
 
 def greedy_pairs(pairs: DataFrame, most: int = 10_000) -> DataFrame:
-    """Pairs in order of rank, each if neither member is taken."""
-    names = pairs.columns
+    """Pairs in order of rank, each if neither member is taken. Rows are dealt and sorted by fragment; a task goes through
+    its batches once."""
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields)
 
-    def take(group: pd.DataFrame) -> pd.DataFrame:
-        one, two, keep = set(), set(), []
-        for r in group.sort_values("rank").itertuples():
-            if len(keep) < most and r.id1 not in one and r.id2 not in two:
-                one.add(r.id1)
-                two.add(r.id2)
-                keep.append(r.Index)
-        return group.loc[keep, names]
-
-    return pairs.groupBy("fragment").applyInPandas(take, ddl)
+    def take(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, group in batches.whole_groups(it, ["fragment"]):
+            keep, last, one, two, n = [], -1, set(), set(), 0
+            for i, (g, x, y) in enumerate(zip(group.tolist(), b.column("id1").to_pylist(), b.column("id2").to_pylist())):
+                if g != last:
+                    last, one, two, n = g, set(), set(), 0
+                if n < most and x not in one and y not in two:
+                    one.add(x)
+                    two.add(y)
+                    n += 1
+                    keep.append(i)
+            yield b.take(pa.array(keep, pa.int64()))
+
+    return pairs.repartition("fragment").sortWithinPartitions("fragment", "rank").mapInArrow(take, ddl)
 
 
 def rescue_quality(pairs: DataFrame) -> DataFrame:

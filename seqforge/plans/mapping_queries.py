@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar as C
 from ..functions import scores
-from ..operators import extension, flow, kernels
+from ..functions import sequence as S
+from ..operators import extension, flow, inexact, kernels
 from ..operators import mapping as M
 from ..operators import pairing as P
 from ..operators import splice
@@ -85,6 +86,15 @@ def map_reads(spark, d):
     return flow.map_reads(V.probes(spark, d), V.reference(spark, d), V.index(spark, d), width=V.WIDTH)
 
 
+@query("Q_map_pairs")
+def map_pairs(spark, d):
+    """The paired flow: every read with the reverse complement of the third one after it in its document, if there is one."""
+    probes = settled(V.probes(spark, d).select("read_id", "seq"))
+    later = probes.select((F.col("read_id") - 3).alias("fragment"), F.lit(2).alias("mate"), S.revcomp("seq").alias("seq"))
+    fragments = probes.select(F.col("read_id").alias("fragment"), F.lit(1).alias("mate"), "seq").unionByName(later.join(probes.select(F.col("read_id").alias("fragment")), "fragment", "left_semi"))
+    return flow.map_pairs(fragments, V.reference(spark, d), V.index(spark, d), width=V.WIDTH)
+
+
 @query("A07_seed_extension")
 def seed_extension(spark, d):
     """Regions of all probes: extended seeds with spans, errors and CIGARs."""
@@ -100,6 +110,36 @@ def second_look_up(spark, d):
     return chained.select("read_id", "strand", "contig", "length", "read_area", F.size("seeds").alias("n_seeds"), F.col("seeds")[0]["g_start"].alias("start"), F.element_at("seeds", -1)["g_end"].alias("end"))
 
 
+_GENOME_12 = _GENOME + """,
+k12 AS (SELECT contig, s + o AS pos, substr(piece, CAST(o + 1 AS BIGINT), 12) AS word, substr(piece, CAST(o + 1 AS BIGINT), 24) AS win FROM (SELECT contig, s, piece, unnest(range(0, least(256, length(piece) - 11))) AS o
+  FROM (SELECT contig, s, substr(bases, CAST(s + 1 AS BIGINT), 279) AS piece FROM (SELECT contig, bases, unnest(range(0, length(bases) - 11, 256)) AS s FROM genome)))),
+i12 AS (SELECT contig, pos, replace(word, 'N', 'A') AS w FROM k12 WHERE word NOT LIKE 'N%' QUALIFY count(*) OVER (PARTITION BY replace(word, 'N', 'A')) < 2000)"""
+
+
+@query("A15_one_error", _GENOME + """,
+ c AS (SELECT DISTINCT read_id, strand, s, contig, start FROM (SELECT read_id, strand, s, contig, pos AS start FROM sides JOIN idx ON w = replace(substr(s, 1, 18), 'N', 'A') WHERE length(s) >= 36
+   UNION ALL SELECT read_id, strand, s, contig, pos - length(s) + 18 FROM sides JOIN idx ON w = replace(right(s, 18), 'N', 'A') WHERE length(s) >= 36)),
+ h AS (SELECT read_id, strand, s, c.contig, start, substr(win, 1, length(s)) AS ref FROM c JOIN k ON k.contig = c.contig AND k.pos = c.start WHERE length(win) >= length(s))
+ SELECT read_id, strand, contig, start AS pos, CAST(hamming(s, ref) AS BIGINT) AS mism FROM h WHERE hamming(s, ref) <= 1""")
+def one_error(spark, d):
+    """All places of whole reads with at most one mismatch."""
+    return inexact.one_error_reads(V.probes(spark, d), V.index(spark, d), V.reference(spark, d), width=V.WIDTH).drop("cigar")
+
+
+@query("A15_retry_seeds", _GENOME_12 + """,
+ long AS (SELECT read_id, strand, s FROM sides WHERE length(s) >= 24),
+ p AS (SELECT read_id, strand, unnest(list_distinct(list_concat(range(0, length(s) - 23, 12), [length(s) - 24]))) AS read_pos, s FROM long),
+ q AS (SELECT read_id, strand, read_pos, substr(s, CAST(read_pos + 1 AS BIGINT), 24) AS s FROM p),
+ c AS (SELECT DISTINCT read_id, strand, read_pos, s, contig, start FROM (SELECT read_id, strand, read_pos, s, contig, pos AS start FROM q JOIN i12 ON w = replace(substr(s, 1, 12), 'N', 'A')
+   UNION ALL SELECT read_id, strand, read_pos, s, contig, pos - 12 FROM q JOIN i12 ON w = replace(right(s, 12), 'N', 'A'))),
+ h AS (SELECT read_id, strand, read_pos, s, c.contig, start, win FROM c JOIN k12 ON k12.contig = c.contig AND k12.pos = c.start WHERE length(win) = 24)
+ SELECT read_id, strand, read_pos, contig, start AS pos, CAST(hamming(s, win) AS BIGINT) AS mism FROM h WHERE hamming(s, win) <= 1""")
+def retry_seeds(spark, d):
+    """Places of seeds of 24 bases with at most one mismatch."""
+    short = M.kmer_index(M.windows(V.genome(spark, d), V.WIDTH, 11), 12)
+    return inexact.retry_seeds(V.probes(spark, d), short, V.reference(spark, d), width=V.WIDTH).drop("cigar")
+
+
 @query("A12_smith_waterman")
 def smith_waterman(spark, d):
     p = V.probes(spark, d)
