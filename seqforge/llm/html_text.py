@@ -2,14 +2,15 @@
 
 A page is parsed once and cut into blocks, each with its region. Blocks in containers that name themselves as menus,
 headers, footers, sidebars, notices, adverts, forms or comments are left out. The tokens of a page are streams of its host,
-one for each stretch of blocks of one region, so no run goes over a region's border. What MIN_PAGES pages of different
+one for each stretch of blocks of one region, so no run goes over a region's border; prose of declared articles is none of
+them, since articles quote the same passages. What MIN_PAGES pages of different
 content share on a host, as runs of RUN tokens or more, is boilerplate, and so are blocks of SHORT tokens or more outside
 of declared articles that as many pages have whole. It goes wherever markup doesn't vouch for the text: from all of a page
 without a declared article, and within one from blocks that stand in no element of prose (PROSE), such as a bare div.
-Paragraphs, headings and lists of a declared article stay, shared or not: articles quote the same passages. Unique runs
-stay. A declared article of which runs cover COVERED or more is a copy of others and stays whole; text beside a declared
-article is kept where more of it is unique than of the article, which then is a teaser. Content is the text of the
-declared articles, or else of all blocks that no container names.
+Paragraphs, headings and lists of a declared article stay, shared or not. Unique runs stay. A declared article of which
+runs cover COVERED or more is a copy of others and stays whole; text beside a declared article is kept where more of it is
+unique than of the article, which then is a teaser. Content is the text of the declared articles, or else of all blocks
+that no container names.
 
 Counts are those of the whole host, however large. Of each run of RUN tokens the anchor, its GRAM tokens of the least
 hash, is counted by host; equal runs have equal anchors. Passages around the anchors that MIN_PAGES contents share are
@@ -255,9 +256,14 @@ class Slice:
         n = max(0, len(h) - RUN + 1)
         seed = seeds[self.page]
         self.run = window_hashes(h, seed, RUN)
-        border = [k == 0 or r != blocks[k - 1][0] for blocks in self.blocks for k, (r, _) in enumerate(blocks)]
-        stretch = np.repeat(np.cumsum(border), [t.count(" ") + 1 for blocks in self.blocks for _, t in blocks]) if border else np.zeros(0, np.int64)
-        self.ok = stretch[:n] == stretch[RUN - 1 : RUN - 1 + n]
+        letters = [r or "-" for r in regions]  # a page without blocks has an empty line of text
+        of = np.repeat(np.arange(len(letters)), [len(x) for x in letters])
+        kind = np.frombuffer("".join(letters).encode(), np.uint8)
+        border = np.ones(len(kind), bool)
+        border[1:] = (kind[1:] != kind[:-1]) | (of[1:] != of[:-1])
+        block = np.searchsorted(np.flatnonzero(np.frombuffer(self.raw, np.uint8) == 10), self.starts) + self.page
+        stretch = np.cumsum(border)[block]
+        self.ok = (stretch[:n] == stretch[RUN - 1 : RUN - 1 + n]) & (kind[block][:n] != ord("m"))
         gram = window_hashes(h, seed, GRAM)
         self.anchor = np.minimum.reduce([gram[k : k + n] for k in range(RUN - GRAM + 1)]) if n else self.run
         self.places = places
