@@ -140,21 +140,6 @@ def break_candidates(donors: DataFrame, acceptors: DataFrame, slack: int = 4) ->
     return donors.select("id", "kind", "gap_read", F.col("off").alias("left")).join(acceptors.select("id", "kind", F.col("off").alias("right")), ["id", "kind"]).where(F.abs(F.col("left") + F.col("right") - F.col("gap_read")) <= slack)
 
 
-def extend_single_anchor(ends: DataFrame, junctions: DataFrame, reference: DataFrame, width: int, most_errors: int = 4) -> DataFrame:
-    """Open right ends of reads (id, strand, contig, place: 0-based reference place after the anchor, query) over known
-    junctions that begin within the query: cut, errors and the place beyond, the fewest errors first."""
-    from .mapping import fetch
-
-    n = F.length("query")
-    near = junction_lookup(ends.withColumn("lim_start", F.col("place") + 1).withColumn("lim_end", F.col("place") + n), junctions.select("strand", "contig", F.col("start").alias("j_start"), F.col("end").alias("j_end")), "j_start")
-    cut = near.withColumn("l", (F.col("j_start") - 1 - F.col("place")).cast("int")).withColumn("_q", F.col("query"))
-    a = fetch(cut.select("id", "l", "j_end", "_q", "contig", F.col("place").alias("start"), (F.col("place") + F.col("l")).alias("end")).where("l > 0"), reference, ["id", "l", "j_end", "_q"], width).select("id", "l", "j_end", F.col("bases").alias("_a"))
-    b = fetch(cut.select("id", "l", "j_end", "_q", "contig", F.col("j_end").alias("start"), (F.col("j_end") + F.length("_q") - F.col("l")).alias("end")).where("end > start"), reference, ["id", "l", "j_end", "_q"], width).select("id", "l", "j_end", "_q", F.col("bases").alias("_b"))
-    both = b.join(a, ["id", "l", "j_end"], "left").withColumn("errors", S.mismatches("_q", F.concat(F.coalesce("_a", F.lit("")), F.col("_b"))))
-    w = Window.partitionBy("id").orderBy("errors", "l", "j_end")
-    return both.where(F.col("errors") <= most_errors).withColumn("_r", F.row_number().over(w)).where("_r = 1").select("id", "l", "j_end", "errors")
-
-
 def connect_anchors(pairs: DataFrame, junctions: DataFrame) -> DataFrame:
     """Double anchors (id, strand, contig, end1, start2, gap: read bases between) joined by a known junction between
     them whose two sides use up the gap."""

@@ -391,10 +391,15 @@ def anchor_pairs(spark, d):
 # -- splicing
 
 
-@query("R01_splice_type", "WITH m AS (SELECT unnest(['GT-AG', 'CT-AC', 'AT-AC', 'GT-AT', 'GC-AG', 'CT-GC', 'AA-AA']) AS motif), t AS (SELECT motif, CASE motif WHEN 'GT-AG' THEN 1 WHEN 'CT-AC' THEN 2 WHEN 'AT-AC' THEN 3 WHEN 'GT-AT' THEN 4 WHEN 'GC-AG' THEN 5 WHEN 'CT-GC' THEN 6 ELSE -1 END AS kind FROM m) SELECT *, CASE WHEN kind IN (2, 4, 6) THEN 1 WHEN kind IN (1, 3, 5) THEN 0 END AS strand FROM t")
+@query("R01_splice_type", V.duck("genome") + f""", w AS (SELECT contig, substr(bases, CAST(s + 1 AS BIGINT), {V.WIDTH}) AS b FROM (SELECT contig, bases, unnest(range(0, length(bases), {V.WIDTH})) AS s FROM genome)),
+ m AS (SELECT contig, unnest(list_transform(range(1, length(b) - 38), lambda i: substr(b, i, 2) || '-' || substr(b, i + 38, 2))) AS motif FROM w),
+ t AS (SELECT contig, motif, CASE motif WHEN 'GT-AG' THEN 1 WHEN 'CT-AC' THEN 2 WHEN 'AT-AC' THEN 3 WHEN 'GT-AT' THEN 4 WHEN 'GC-AG' THEN 5 WHEN 'CT-GC' THEN 6 ELSE -1 END AS kind FROM m)
+ SELECT contig, motif, kind, CASE WHEN kind IN (2, 4, 6) THEN 1 WHEN kind IN (1, 3, 5) THEN 0 END AS strand, count(*) AS n FROM t GROUP BY 1, 2, 3, 4""")
 def splice_type(spark, d):
-    m = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in [*splice.TYPES, "AA-AA"]])).alias("motif"))
-    return m.withColumn("kind", splice.splice_type("motif")).withColumn("strand", splice.splice_strand("kind"))
+    """The ends of all spans of 40 bases in the windows of the reference."""
+    ends = F.transform(F.sequence(F.lit(1), F.length("bases") - 39), lambda i: F.concat(F.substring("bases", i, F.lit(2)), F.lit("-"), F.substring("bases", i + 38, F.lit(2))))
+    motifs = V.reference(spark, d).where("length(bases) >= 40").select("contig", F.explode(ends).alias("motif")).groupBy("contig", "motif").agg(F.count("*").alias("n"))
+    return motifs.withColumn("kind", splice.splice_type("motif")).withColumn("strand", splice.splice_strand("kind"))
 
 
 @query("R03_cigar_junctions", V.duck("aln") + " SELECT frag AS read_id, contig, pos + len // 2 + 1 AS start, pos + len // 2 + 100 + nm AS \"end\", pos + 1 AS start_extend, pos + len + 100 + nm AS end_extend FROM aln")
