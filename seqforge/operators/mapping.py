@@ -50,11 +50,16 @@ def mark_decoys(contigs: DataFrame, names: DataFrame) -> DataFrame:
     return contigs.join(listed, F.col("name") == F.col("_n"), "left").withColumn("kind", F.when(F.col("_n").isNotNull(), 2).otherwise(F.col("kind"))).drop("_n")
 
 
+def window_kmers(windows: DataFrame, k: int = K) -> DataFrame:
+    """kmer, contig, pos of every k-mer of windows (contig, start, bases) that doesn't begin with N."""
+    kind = windows.schema["contig"].dataType.simpleString()
+    return windows.select("contig", F.col("start").cast("long").alias("start"), "bases").mapInArrow(lambda it: kmers.window_kmers(it, k), f"kmer long, contig {kind}, pos long")
+
+
 def kmer_index(reference: DataFrame, k: int = K, most: int = 2000) -> DataFrame:
     """kmer, contig, pos of every k-mer that doesn't begin with N and stands at fewer than most places. reference:
     contig, start, bases, where windows overlap by k - 1 so that each k-mer stands in one (see windows)."""
-    kind = reference.schema["contig"].dataType.simpleString()
-    found = reference.select("contig", F.col("start").cast("long").alias("start"), "bases").mapInArrow(lambda it: kmers.window_kmers(it, k), f"kmer long, contig {kind}, pos long")
+    found = window_kmers(reference, k)
     frequent = found.groupBy("kmer").agg(F.count("*").alias("n")).where(F.col("n") >= most).select("kmer")
     return found.join(frequent, "kmer", "left_anti")
 

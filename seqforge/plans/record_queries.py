@@ -23,9 +23,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("A03_kmer_encode", V.duck("reads") + """ SELECT read_id, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(substr(seq, 1, 18), ''), lambda b: CAST(CASE b WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 0 END AS BIGINT))), lambda x, y: x * 4 + y) AS kmer FROM reads WHERE length(seq) >= 18""")
+@query("A03_kmer_encode", V.duck("reads") + """, w AS (SELECT read_id, i AS pos, substr(seq, CAST(i + 1 AS BIGINT), 18) AS w FROM (SELECT read_id, seq, unnest(range(0, length(seq) - 17)) AS i FROM reads) WHERE substr(seq, CAST(i + 1 AS BIGINT), 1) <> 'N')
+ SELECT read_id, pos, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(w, ''), lambda b: CAST(CASE b WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 0 END AS BIGINT))), lambda x, y: x * 4 + y) AS kmer FROM w""")
 def kmer_encode(spark, d):
-    return V.sequences(spark, d).where("length(seq) >= 18").select("read_id", S.kmer_code(F.substring("seq", 1, 18)).alias("kmer"))
+    """The codes of all 18-mers of all reads that don't begin with N."""
+    return M.window_kmers(V.sequences(spark, d).select(F.col("read_id").alias("contig"), F.lit(0).cast("long").alias("start"), F.col("seq").alias("bases"))).select(F.col("contig").alias("read_id"), "pos", "kmer")
 
 
 @query("A05_merged_references", V.duck("genome") + """ SELECT contig, length(bases) AS length, CASE WHEN contig % 3 = 0 OR contig % 7 = 0 THEN 2 ELSE 0 END AS kind FROM genome""")
