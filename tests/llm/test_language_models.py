@@ -158,13 +158,24 @@ def test_quality_against_plain_counting(spark):
         assert r["kept"] == (perplexity[r["doc_id"]] <= limit)
 
 
-def test_each_language_has_its_own_threshold(spark):
+def test_thresholds_are_quantiles_of_mixtures(spark):
+    """Of each language with all others: its held-out perplexities weigh n / (n + PRIOR)."""
     docs = [(i, t, ("en", "fr", None)[i % 3] if i % 7 else "rare") for i, t in enumerate(corpus(400, 25))]
-    docs = [(i, t + (" qqq zzq" if lang == "fr" else ""), lang) for i, t, lang in docs]
+    frame = spark.createDataFrame(docs, SCHEMA)
     labels = spark.createDataFrame([(i, 1) for i in range(400)], "doc_id long, quality int")
-    got = quality_lm.judged(spark.createDataFrame(docs, SCHEMA), labels, 3).select("lang", "threshold").distinct().collect()
-    limit = {r["lang"]: r["threshold"] for r in got}
-    assert len(got) == 4 and limit["fr"] not in (limit["en"], limit[None]) and limit["en"] != limit[None]
+    apart = {r["doc_id"] for r in quality_lm.trusted(frame, labels).where("apart").collect()}
+    rows = quality_lm.judged(frame, labels, 3).collect()
+    held = {}
+    for r in rows:
+        if r["doc_id"] in apart:
+            held.setdefault(r["lang"], []).append(r["perplexity"])
+    every = [p for x in held.values() for p in x]
+    for lang, own in held.items():
+        w = len(own) / (len(own) + quality_lm.PRIOR)
+        share = lambda x: w * np.mean(np.array(own) <= x) + (1 - w) * np.mean(np.array(every) <= x)  # noqa: B023, E731
+        want = min(x for x in every if share(x) >= quality_lm.QUANTILE - 1e-9) * quality_lm.SLACK
+        assert all(r["threshold"] == pytest.approx(want, rel=1e-9) for r in rows if r["lang"] == lang)
+    assert len({r["threshold"] for r in rows}) >= 3
 
 
 def test_toxicity_against_plain_counting(spark):
