@@ -7,14 +7,17 @@ Two texts link if the Jaccard similarity of their sets of SIZE-word shingles is
    that have them, the others after them by hash. A set of n can only link with another if they share one of its first
    n - ceil(PERCENT n / 100) + 1 shingles (its prefix). Only shingles of the low share are counted, so the counting has
    LOW of all shingles as rows; a set with fewer of them than its prefix is long counts its next ones as well. A set
-   whose prefix has a shingle that nobody shares in every place is out: most texts end here.
+   whose prefix has a shingle that nobody shares in every place is out: most texts end here. What travels to be counted
+   are the first BITS bits of the hashes, sorted and packed by ranges with the numbers of their nodes, about five bytes
+   each; shingles of equal bits count as one, which only adds candidates.
 3. Nodes that share a prefix shingle are a group; of shingles with the same nodes one stays. Groups with common nodes are a
    cluster, and a cluster of up to WHOLE shingles is one lot, joined by its trie: its sets travel once.
 4. In larger clusters every node first goes to its largest group only, in lots of bounded size that all hold the group's
    leader (the node with most company), so that most of a cloud of copies becomes one component. Then groups whose nodes
-   aren't one component yet are joined completely: the nodes outside of the group's main component are a query set,
-   compared in blocks of bounded size with all nodes of the group. So no pair of a group is left out, and none is emitted
-   without being a link that merges two components.
+   aren't one component yet (or a cluster as a whole, if so fewer shingles travel) are joined by bands of sizes, so wide that sets of other than neighbouring bands can't link:
+   the nodes outside of the group's main component are a query set, compared in blocks of bounded size with the nodes of
+   each band near theirs, unless all of these are one component. So no pair of a group that may link is left out, and
+   none is emitted without being a link that merges two components.
 
 A lot's trie stores its sets as paths of shingles, those that most of its sets have first, so that copies share long
 paths; an edge holds a run of shingles without a fork. A set that asks goes down from the root, all edges of a depth at
@@ -33,7 +36,8 @@ any length are taken whole; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -49,7 +53,11 @@ SIZE, PERCENT = 4, 85
 #: Share of the hashes whose shingles are counted.
 LOW = 0.3
 #: Shingles of a cluster that is one lot at most; of a lot, of a block that asks and of one that is asked, about.
-WHOLE, LOT, ASKING, ASKED = 1 << 20, 1 << 16, 1 << 16, 1 << 17
+WHOLE, LOT, ASKING, ASKED = 1 << 20, 1 << 16, 1 << 19, 1 << 19
+#: Bits of a shingle's hash that are counted; hashes that a task sorts and packs, and those of a range, at a time, about.
+BITS, PACKED, RANGE = 44, 1 << 20, 1 << 21
+#: Of the hashes of the low share, by these bits.
+BOUND = int(LOW * 2**BITS)
 #: Rows broadcast at most to pick texts before they are shuffled.
 BROADCAST_IDS = 2_000_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], np.uint64)
@@ -95,7 +103,7 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
 def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Of docs (id, th, text): id, th, c1, c2 (hash of the set), n, low (how many shingles are of the low share) and
     tokens (these, and the next ones that the prefix needs)."""
-    bound = int(LOW * 2**63)
+    bound = BOUND << (63 - BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
@@ -228,21 +236,99 @@ def merging_links(asked: list[tuple], asking: list[tuple] | None, percent: int =
     return out
 
 
+# -- counting
+
+
+def _bytes_of(values: np.ndarray) -> bytes:
+    """Integers from 0 on, in as many bytes each as the largest needs."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8)
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _values_of(packed: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(packed, np.uint8).reshape(n, -1)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : raw.shape[1]] = raw
+    return out.view("<u8").ravel().astype(np.int64)
+
+
+def _packer(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows (node, tokens) to rows of ranges of width: part, base (of the nodes), n, tokens and nodes (packed)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, tokens = [], []
+
+        def flush() -> pa.RecordBatch:
+            node, token = np.concatenate(nodes), np.concatenate(tokens)
+            by = np.argsort(token, kind="stable")
+            node, token, base = node[by], token[by], int(node.min())
+            part = token // width
+            at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            ends = np.append(at[1:], len(token))
+            gaps = [_bytes_of(np.diff(token[i:j], prepend=part[i] * width)) for i, j in zip(at, ends)]
+            whose = [_bytes_of(node[i:j] - base) for i, j in zip(at, ends)]
+            nodes.clear()
+            tokens.clear()
+            return pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array(np.full(len(at), base)), pa.array(ends - at), pa.array(gaps, pa.binary()), pa.array(whose, pa.binary())], names=["part", "base", "n", "tokens", "nodes"])
+
+        for b in batches:
+            at = b.column("tokens").offsets.to_numpy()
+            tokens.append(b.column("tokens").values.to_numpy()[at[0] : at[-1]] >> (63 - BITS))
+            nodes.append(np.repeat(b.column("node").to_numpy(), np.diff(at)))
+            if sum(map(len, tokens)) > PACKED:
+                yield flush()
+        if sum(map(len, tokens)):
+            yield flush()
+
+    return run
+
+
+def _counter(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows of _packer, sorted by part, to node, token and df of the tokens that are there more than once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns]))
+        for part, packed in groupby(rows, lambda r: r[0]):
+            tokens, nodes = [], []
+            for _, base, n, gaps, whose in packed:
+                tokens.append(part * width + np.cumsum(_values_of(gaps, n)))
+                nodes.append(base + _values_of(whose, n))
+            token, node = np.concatenate(tokens), np.concatenate(nodes)
+            del tokens, nodes
+            by = np.argsort(token, kind="stable")
+            token, node = token[by], node[by]
+            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            df = np.diff(np.append(first, len(token)))
+            df = np.repeat(df, df)
+            some = np.flatnonzero(df > 1)
+            for i in range(0, len(some), 1 << 16):
+                k = some[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(node[k]), pa.array(token[k]), pa.array(df[k])], names=["node", "token", "df"])
+
+    return run
+
+
+def _shared(reps: DataFrame) -> DataFrame:
+    """node, token (its first BITS bits) and df of the tokens that are in the table more than once; reps: node, low, tokens."""
+    n = parts(reps.sparkSession)
+    total = reps.agg(F.coalesce(F.sum("low"), F.lit(0))).first()[0]
+    width = BOUND // max(n, total // RANGE + 1) + 1
+    packed = map_batches(reps.select("node", "tokens"), _packer(width), "part long, base long, n long, tokens binary, nodes binary")
+    return map_batches(packed.repartition(n, "part").sortWithinPartitions("part"), _counter(width), "node long, token long, df long")
+
+
 # -- groups and lots
 
 
 def _groups(reps: DataFrame, percent: int) -> DataFrame:
     """Members (gid, node, n, size, total) of the groups of nodes that share a prefix shingle; reps: node, n, low, tokens."""
-    tokens = reps.select("node", F.explode("tokens").alias("token"))
-    shared = cut(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared")
-    bound = int(LOW * 2**63)
-    high = F.when(F.col("token") < bound, F.col("df")).otherwise(F.lit(2**62))  # high ones after all others, by hash
-    listed = tokens.join(shared, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct(high.alias("df"), "token"))).alias("have"))
+    high = F.when(F.col("token") < BOUND, F.col("df")).otherwise(F.lit(2**62))  # high ones after all others, by hash
+    listed = _shared(reps).groupBy("node").agg(F.array_sort(F.collect_list(F.struct(high.alias("df"), "token"))).alias("have"))
     sized = listed.join(reps.select("node", "n", "low"), "node")
-    alone = F.col("low") - F.size(F.filter("have", lambda x: x["token"] < bound))  # of the low share, and of one node only: first in order
+    alone = F.col("low") - F.size(F.filter("have", lambda x: x["token"] < BOUND))  # of the low share, and of one node only: first in order
     length = F.col("n") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 1
     take = F.when(F.col("low") < length, F.size("have")).otherwise(F.greatest(F.lit(0), length - alone)).cast("int")
-    prefixes = cut(sized.select("node", "n", F.explode(F.slice("have", F.lit(1), take)).alias("x")).select(F.col("x.token").alias("token"), "node", "n"), "prefixes")
+    prefixes = cut(sized.select("node", "n", F.explode(F.array_distinct(F.slice("have", F.lit(1), take))).alias("x")).select(F.col("x.token").alias("token"), "node", "n"), "prefixes")
     groups = prefixes.groupBy("token").agg(F.count("*").alias("size"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("size > 1")
     groups = cut(groups.groupBy("size", "total", "x", "y").agg(F.min("token").alias("token")).select("token", "size", "total"), "groups")
     return cut(prefixes.join(groups, "token").select(F.col("token").alias("gid"), "node", "n", "size", "total"), "members")
@@ -259,7 +345,7 @@ def _clusters(members: DataFrame) -> DataFrame:
 
 
 def _first_lots(members: DataFrame) -> DataFrame:
-    """Rows (gid, bx, by, asks, node, comp) of the lots in which each node is in its largest group, with that group's leader."""
+    """Rows (gid, zone, bx, by, asks, node, comp) of the lots in which each node is in its largest group, with that group's leader."""
     mine = members.groupBy("node").agg(F.max(F.struct("size", "gid"))["gid"].alias("gid"), F.first("n").alias("n"), F.sum("size").alias("company"))
     mine = cut(mine, "mine")
     leaders = members.join(mine.select("node", "company"), "node").groupBy("gid").agg(F.max(F.struct("company", F.xxhash64("node").alias("o"), "node"))["node"].alias("leader"))
@@ -267,43 +353,65 @@ def _first_lots(members: DataFrame) -> DataFrame:
     sums = cut(sums, "lots")
     rows = mine.join(sums.select("gid", "lots"), "gid").select("gid", F.pmod(F.xxhash64("node"), F.col("lots")).cast("int").alias("bx"), "node")
     led = sums.select("gid", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("bx"), F.col("leader").alias("node"))
-    return rows.union(led).distinct().select("gid", "bx", F.lit(0).alias("by"), F.lit(False).alias("asks"), "node", F.col("node").alias("comp"))
-
-
-def _open_lots(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (gid, bx, by, asks, node, comp) of the blocks of the groups whose nodes aren't one component."""
-    got = members.join(labels.select(F.col("id").alias("node"), "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    by_comp = got.groupBy("gid", "comp").agg(F.sum("n").alias("k"))
-    mixed = by_comp.groupBy("gid").agg(F.count("*").alias("comps"), F.max(F.struct("k", "comp"))["comp"].alias("main"), F.max("k").alias("k")).where("comps > 1")
-    rows = got.join(cut(mixed.select("gid", "main", "k"), "mixed"), "gid")
-    x, y = F.ceil((F.col("total") - F.col("k")) / ASKING).cast("int"), F.ceil(F.col("total") / ASKED).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    asking = rows.where("comp <> main").select("gid", F.pmod(F.xxhash64("node"), x).cast("int").alias("bx"), spread(y).alias("by"), F.lit(True).alias("asks"), "node", "comp")
-    asked = rows.select("gid", spread(x).alias("bx"), F.pmod(F.xxhash64("node", F.lit(1)), y).cast("int").alias("by"), F.lit(False).alias("asks"), "node", "comp")
+    return rows.union(led).distinct().select("gid", F.lit(0).cast("long").alias("zone"), "bx", F.lit(0).alias("by"), F.lit(False).alias("asks"), "node", F.col("node").alias("comp"))
+
+
+def _zones(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows (cluster, gid, node, n, comp) those of groups that aren't one component, with main (the largest one) and band
+    (of sizes); and the bands to compare (cluster, gid, zone): x blocks that ask, y that are asked, shingles that travel."""
+    # a little wider than the sizes of two sets that link may differ, so that rounding can't put them two bands apart
+    width = max(math.log(100 / percent), 1e-4) * (1 + 1e-9)
+    by_comp = rows.groupBy("gid", "comp").agg(F.sum("n").alias("k"))
+    mixed = by_comp.groupBy("gid").agg(F.count("*").alias("comps"), F.max(F.struct("k", "comp"))["comp"].alias("main")).where("comps > 1")
+    rows = cut(rows.join(mixed.select("gid", "main"), "gid").withColumn("band", F.floor(F.log("n") / width)), "rows")
+    zones = _near(rows).groupBy("cluster", "gid", "zone").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.sum(F.when(F.col("comp") != F.col("main"), F.col("n"))).alias("asking"), F.sum(F.when(F.col("zone") == F.col("band"), F.col("n"))).alias("asked"))
+    zones = zones.where("least <> most AND asking > 0 AND asked > 0")
+    x, y = F.ceil(F.col("asking") / ASKING).cast("int").alias("x"), F.ceil(F.col("asked") / ASKED).cast("int").alias("y")
+    return rows, cut(zones.select("cluster", "gid", "zone", x, y, (F.col("asking") * y + F.col("asked") * x).cast("double").alias("travels")), "zones")
+
+
+def _near(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("zone", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])))
+
+
+def _blocks(rows: DataFrame, zones: DataFrame) -> DataFrame:
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    zones = zones.select("gid", "zone", "x", "y")
+    asking = _near(rows.where("comp <> main")).join(zones, ["gid", "zone"]).select("gid", "zone", F.pmod(F.xxhash64("node"), F.col("x")).cast("int").alias("bx"), spread("y").alias("by"), F.lit(True).alias("asks"), "node", "comp")
+    asked = rows.withColumnRenamed("band", "zone").join(zones, ["gid", "zone"]).select("gid", "zone", spread("x").alias("bx"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("y")).cast("int").alias("by"), F.lit(False).alias("asks"), "node", "comp")
     return asking.union(asked)
 
 
+def _open_lots(members: DataFrame, clusters: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Rows (gid, zone, bx, by, asks, node, comp) of the blocks of the groups whose nodes aren't one component, or of a whole
+    cluster (gid below 0) where this makes fewer shingles travel; clusters: node, n, cluster. zone is a band of sizes, whose
+    nodes are asked by those of this and the neighbouring bands."""
+    got = clusters.join(labels.select(F.col("id").alias("node"), "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    got = cut(got.select("node", "n", "cluster", "comp"), "got")
+    by_group, group_zones = _zones(members.select("gid", "node").join(got, "node").select("cluster", "gid", "node", "n", "comp"), percent)
+    by_cluster, cluster_zones = _zones(got.select("cluster", (-1 - F.col("cluster")).alias("gid"), "node", "n", "comp"), percent)
+    sums = [z.groupBy("cluster").agg(F.sum("travels").alias(name)) for z, name in ((group_zones, "g"), (cluster_zones, "c"))]
+    whole = cut(sums[0].join(sums[1], "cluster").where("c < g").select("cluster"), "whole")
+    parts_of = [_blocks(by_group, group_zones.join(whole, "cluster", "left_anti")), _blocks(by_cluster, cluster_zones.join(whole, "cluster", "left_semi"))]
+    return parts_of[0].union(parts_of[1])
+
+
 def _joined(lots: DataFrame, docs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) of all lots; docs: id, th, text; rows: node, id, th."""
     spark = docs.sparkSession
-    wanted = cut(lots.join(rows, "node").select("gid", "bx", "by", "asks", "node", "comp", F.col("id").alias("_id"), F.col("th").alias("_th")), "wanted")
+    wanted = cut(lots.join(rows, "node").select("gid", "zone", "bx", "by", "asks", "node", "comp", F.col("id").alias("_id"), F.col("th").alias("_th")), "wanted")
     small = wanted.count() <= BROADCAST_IDS
-    found = docs.join(F.broadcast(wanted) if small else wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("gid", "bx", "by", "asks", "node", "comp", "text")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "text"):
-            t, s = shingle_sets(b.column("text").to_pylist(), size)
-            yield pa.RecordBatch.from_arrays([*b.columns[:6], _lists(s, np.bincount(t, minlength=b.num_rows))], names=[*b.schema.names[:6], "shingles"])
+    found = docs.join(F.broadcast(wanted) if small else wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("gid", "zone", "bx", "by", "asks", "node", "comp", "text")
 
     def joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows_of() -> Iterator[tuple]:
-            for b in batches:
-                at = b.column("shingles").offsets.to_numpy()
-                s = b.column("shingles").values.to_numpy()
-                for k, r in enumerate(zip(*[c.to_pylist() for c in b.columns[:6]])):
-                    yield (*r, s[at[k] : at[k + 1]])
+            for b in chunks(batches, "text"):
+                t, s = shingle_sets(b.column("text").to_pylist(), size)
+                at = np.searchsorted(t, np.arange(b.num_rows + 1))
+                for k, r in enumerate(zip(*[c.to_pylist() for c in b.columns[:7]])):
+                    yield (*r, s[at[k] : at[k + 1]].copy())
 
-        for _, lot in groupby(rows_of(), lambda r: r[:3]):
+        for _, lot in groupby(rows_of(), lambda r: r[:4]):
             asked, asking = {}, {}
             for *_, asks, node, comp, s in lot:  # rows that share id and text come once
                 (asking if asks else asked)[node] = (node, comp, s)
@@ -311,11 +419,20 @@ def _joined(lots: DataFrame, docs: DataFrame, rows: DataFrame, size: int, percen
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    schema = "gid long, bx int, by int, asks boolean, node long, comp long, shingles array<long>"
-    dealt = map_batches(found, sets, schema).repartition(parts(spark), "gid", "bx", "by").sortWithinPartitions("gid", "bx", "by")
+    dealt = found.repartition(parts(spark), "gid", "zone", "bx", "by").sortWithinPartitions("gid", "zone", "bx", "by")
     return cut(map_batches(dealt, joins, "a long, b long"), "links")
 
 
+def _firsts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of nodes. Up to BROADCAST_IDS nodes, or rows that aren't nodes, are broadcast, so that no tokens travel."""
+    n = nodes.count()
+    if n <= BROADCAST_IDS:
+        return rows.join(F.broadcast(nodes), "node", "left_semi")
+    if rows.count() - n <= BROADCAST_IDS:
+        return rows.join(F.broadcast(cut(rows.select("node").join(nodes, "node", "left_anti"), "copies")), "node", "left_anti")
+    return rows.join(nodes, "node", "left_semi")
+
+
 def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id of each row of docs."""
     text = text_or_empty(text_col)
@@ -324,11 +441,10 @@ def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: st
     named = F.min(F.struct("node", "id", "th")).alias("named")
     reps = sketched.where("n > 0").groupBy("c1", "c2").agg(named, F.min("id").alias("first"), F.count("*").alias("copies"))
     reps = cut(reps.select("c1", "c2", "named.node", "named.id", "named.th", "first", "copies"), "nodes")
-    ours = sketched.join(reps.select("node"), "node", "left_semi").select("node", "n", "low", "tokens")
-    members = _groups(ours, percent)
+    members = _groups(_firsts(sketched.where("n > 0").select("node", "n", "low", "tokens"), reps.select("node")), percent)
     rows = reps.select("node", "id", "th")
     clusters = _clusters(members)
-    lots = clusters.where("whole").select((-1 - F.col("cluster")).alias("gid"), F.lit(0).alias("bx"), F.lit(0).alias("by"), F.lit(False).alias("asks"), "node", F.col("node").alias("comp"))
+    lots = clusters.where("whole").select((-1 - F.col("cluster")).alias("gid"), F.lit(0).cast("long").alias("zone"), F.lit(0).alias("bx"), F.lit(0).alias("by"), F.lit(False).alias("asks"), "node", F.col("node").alias("comp"))
     large = clusters.where("NOT whole")
     more = not large.isEmpty()
     if more:
@@ -337,7 +453,7 @@ def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: st
     links = _joined(lots, docs, rows, size, percent)
     labels = components(links)
     if more:
-        undecided = cut(_open_lots(members, labels), "open")
+        undecided = cut(_open_lots(members, large, labels, percent), "open")
         if not undecided.isEmpty():
             labels = components(links.union(_joined(undecided, docs, rows, size, percent)))
     by_link = reps.select("c1", "c2", "node", "first").join(labels.select(F.col("id").alias("node"), "comp"), "node")

@@ -5,7 +5,9 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from seqforge.llm import ngram_join as J
 
@@ -74,6 +76,39 @@ def test_clouds_match_brute_force(spark, monkeypatch, whole, lot):
     assert run(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("travels", [1, 0])
+def test_sets_of_large_clusters_travel_a_few_times(spark, monkeypatch, travels):
+    """A cloud that isn't one component, and short texts of one passage: its groups have most nodes in common. Comparing by
+    clusters (1) and by groups (0: what travels counts for nothing) gives the same classes."""
+    monkeypatch.setattr(J, "WHOLE", 1000)
+    if not travels:
+        monkeypatch.setattr(J, "_zones", lambda rows, percent, f=J._zones: (x := f(rows, percent)) and (x[0], x[1].withColumn("travels", F.lit(0.0))))
+    sent, joined = [], J._joined
+    monkeypatch.setattr(J, "_joined", lambda lots, *a: sent.append(lots.count()) or joined(lots, *a))
+    texts = cloud(80, 200, 16, 11) + [f"all rights are reserved by the {t}" for t in cloud(60, 12, 2, 12)]
+    rows = list(enumerate(texts))
+    assert run(spark, rows) == brute(rows)
+    assert not travels or len(sent) == 2 and sent[1] <= 6 * len(texts)
+
+
+def test_counted_shingles_are_packed():
+    rng = np.random.default_rng(3)
+    sets = [np.sort(rng.integers(0, J.BOUND << (63 - J.BITS), 200)) for _ in range(3000)]
+    sets[7] = sets[5]
+    nodes = np.arange(3000) + (5 << 33)
+    sets[9][:2] = sets[9][0]
+    batch = pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([x.tolist() for x in sets], pa.list_(pa.int64()))], names=["node", "tokens"])
+    width = J.BOUND // 5 + 1
+    packed = list(J._packer(width)(iter([batch.slice(0, 1000), batch.slice(1000)])))
+    size = sum(len(t.as_py()) + len(n.as_py()) for b in packed for t, n in zip(b.column("tokens"), b.column("nodes")))
+    assert size <= 6 * 600_000
+    got = sorted(r for b in J._counter(width)(iter(packed)) for r in zip(*[c.to_pylist() for c in b.columns]))
+    bits = [(x >> (63 - J.BITS)).tolist() for x in sets]
+    df = Counter(t for x in bits for t in x)
+    assert got == sorted((int(n), t, df[t]) for n, x in zip(nodes, bits) for t in x if df[t] > 1)
+    assert {n for n, *_ in got} >= {nodes[5], nodes[7], nodes[9]}
+
+
 def test_edges(spark):
     text = " ".join(map(str, range(50)))
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "a b c"), (5, "A b c"), (6, text), (6, text), (6, "other words of one id"), (7, text), (None, "a b c"), (None, "alone here"), (None, "two of"), (None, "two of"), (8, "é É é É é"), (9, "é é é é é"), (10, text + " " + text), (11, "word " * 20000), (12, "word " * 5)]
