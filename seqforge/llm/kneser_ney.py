@@ -336,6 +336,17 @@ class WordScores:
         return out
 
 
+def gathered(rows: DataFrame, grams: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values (width columns) of all rows (k, v), a partition at a time: the driver holds each n-gram once."""
+    key, values, at = np.empty(grams, np.uint64), np.empty((grams, width), np.float32), 0
+    for k, v in rows.toLocalIterator():
+        end = at + len(k) // 8
+        key[at:end] = np.frombuffer(k, np.uint64)
+        values[at:end] = np.frombuffer(v, np.float32).reshape(-1, width)
+        at = end
+    return key, values
+
+
 #: A worker's scores, by the name of the model that it scores with.
 _scorers: dict[str, WordScores] = {}
 
@@ -344,7 +355,8 @@ def score_documents(docs: DataFrame, model: Model, measures: Measures, words_of:
     """docs without the text, with the measures of each text's words, which replace columns of their names. sharded:
     None decides by the model's size."""
     docs = docs.drop(*measures.names)
-    if model.rows.count() > BROADCAST_ROWS if sharded is None else sharded:
+    grams = model.rows.count()
+    if grams > BROADCAST_ROWS if sharded is None else sharded:
         return _score_sharded(docs, model, measures, words_of, text_col)
     others = [f for f in docs.schema.fields if f.name != text_col]
     names, m, order, vocabulary = measures.names, model.classes, model.order, model.vocabulary
@@ -355,9 +367,8 @@ def score_documents(docs: DataFrame, model: Model, measures: Measures, words_of:
             v = np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.float32) for c in values])
             yield pa.RecordBatch.from_arrays([pa.array([gram_keys(b.column("g").to_pylist()).tobytes()]), pa.array([v.tobytes()])], names=["k", "v"])
 
-    rows = map_batches(model.rows.select("g", *values), packed, "k binary, v binary").collect()  # BROADCAST_ROWS n-grams at most
-    shipped = docs.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(r[0] for r in rows), np.uint64), np.frombuffer(b"".join(r[1] for r in rows), np.float32).reshape(-1, 3 * m)))
-    del rows
+    rows = map_batches(model.rows.select("g", *values), packed, "k binary, v binary")  # BROADCAST_ROWS n-grams at most
+    shipped = docs.sparkSession.sparkContext.broadcast(gathered(rows, grams, 3 * m))
     key, of = uuid.uuid4().hex, measures.of
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -73,6 +73,24 @@ def test_scores_as_by_plain_counting(spark):
             assert got[i] == pytest.approx(want(w), rel=1e-4), (w, sharded)
 
 
+def test_models_are_gathered_by_partitions(spark, monkeypatch):
+    """The driver never holds all packed rows beside the arrays that it makes of them."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    model = K.fit(spark.createDataFrame([(t, 0) for t in corpus(60, 2)], "text string, klass int"), 4)
+    rows = [(K.gram_keys([r["g"]]).tobytes(), np.array([r["p0"], r["b0"]], np.float32).tobytes()) for r in model.rows.select("g", F.coalesce("p0", F.lit(0.0)).alias("p0"), F.coalesce("b0", F.lit(0.0)).alias("b0")).collect()]
+    packed = spark.createDataFrame(rows, "k binary, v binary").repartition(3)
+
+    def whole(self):
+        raise AssertionError("collected")
+
+    monkeypatch.setattr(DataFrame, "collect", whole)
+    key, values = K.gathered(packed, len(rows), 2)
+    assert sorted((k.tobytes(), v.tobytes()) for k, v in zip(key, values)) == sorted(rows)
+    empty = K.gathered(packed.limit(0), 0, 2)
+    assert empty[0].shape == (0,) and empty[1].shape == (0, 2)
+
+
 def test_both_ways_of_scoring_agree(spark, monkeypatch):
     rows = [(t, k) for k in (0, 1) for t in corpus(60, k)] + [(None, 0), ("", 1)]
     model = K.fit(spark.createDataFrame(rows, "text string, klass int"), 5, 2, toxicity.words_of)
