@@ -1,7 +1,5 @@
 """Interval operators on rows that come out of a shuffle and on many equal rows, against plain Python."""
 
-from collections import Counter
-
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
