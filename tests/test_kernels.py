@@ -272,3 +272,22 @@ def test_known_junctions_close_ends(spark):
     left = spark.createDataFrame([(n, 0, 0, s2 + n, text[e1 - 20 : e1] + text[s2 : s2 + n]) for n in range(6)], "id long, strand long, contig long, place long, query string")
     got = {r["id"]: (r["r"], r["j_start"], r["j_end"], r["errors"]) for r in spliced.extend_left_anchor(left, junctions, reference, 1024).collect()}
     assert got == {n: (n, e1 + 1, s2, 0) for n in range(6)}
+
+
+def test_base_sums_make_no_row_for_a_base(spark):
+    """The sums from counts by cell are those of the exploded bases, and their plan explodes no read."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        n = rng.randrange(1, 60)
+        seq = "".join(rng.choice("ACGTN") for _ in range(n))
+        cigar = f"{n}M" if n < 10 else rng.choice([f"{n}M", f"{n // 2}M2D{n - n // 2}M", f"{n // 2}M2I{n - n // 2 - 2}M"])
+        rows.append((i, seq, "".join(chr(33 + rng.randrange(0, 41)) for _ in range(n)), cigar, "".join(rng.choice("ACGT") for _ in range(n + 2))))
+    a = spark.createDataFrame(rows, "read_id long, seq string, qual string, cigar string, reference string")
+    want = recalibration.explode_bases(a).groupBy("cycle", "miss").agg(F.count("*").alias("n"), F.sum("q").alias("sum_q"), F.sum("dinuc").alias("sum_dinuc"))
+    got = recalibration.base_sums(recalibration.cells(a))
+    assert sorted(tuple(r) for r in got.select(want.columns).collect()) == sorted(tuple(r) for r in want.collect())
+    from seqforge.plans import catalog
+
+    plan = catalog.QUERIES["B01_explode_bases"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "explode(sequence(" not in plan
